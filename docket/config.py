@@ -141,4 +141,4 @@ TEST_SPLITS = [
 ]
 TEST_CUTOFF = _dt.datetime(2001, 1, 1)
 # Dashboard "now" for the events-derived prediction table.
-TEST_AS_OF = _dt.datetime(2024, 1, 31)
+TEST_AS_OF = _dt.datetime(2024, 2, 10)

@@ -72,7 +72,7 @@ po AS (
          any_value(o.o_orderdate) AS o_orderdate, any_value(o.o_orderpriority) AS o_orderpriority,
          min(CASE WHEN l.l_shipdate >= o.o_orderdate THEN l.l_shipdate END) AS first_ship,
          max(l.l_shipdate) AS last_ship,
-         arg_min(l.l_partkey, l.l_linenumber) AS first_partkey
+         min(l.l_partkey) AS first_partkey
   FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
   GROUP BY o.o_orderkey)""")
 
@@ -169,7 +169,8 @@ preds2 AS (
 CTES["scored"] = (("pt",), """
 scored AS (
   SELECT pt.external_id, pt.split, pt.created_at, pt.is_delayed AS y,
-         round(0.55 * coalesce(pt.is_delayed, 0) + 0.45 * ((floor(o.o_totalprice * 7) % 100) / 100.0), 2) AS p,
+         CAST(30 * coalesce(pt.is_delayed, 0) + floor(CAST(floor(o.o_totalprice * 7) % 100 AS BIGINT) * 7 / 10) AS DOUBLE)
+           / CAST(100.0 AS DOUBLE) AS p,
          pt.total_duration_hours AS y_hours,
          coalesce(pt.sla_duration_hours, 720.0) AS yhat_hours
   FROM pt JOIN orders o ON pt.o_orderkey = o.o_orderkey)""")

@@ -32,7 +32,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DOCKET_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
