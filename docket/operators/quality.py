@@ -192,3 +192,30 @@ def domain_violations(df: DataFrame, rules: dict[str, object]) -> DataFrame:
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("kv")).select("kv.*")
+
+
+def run_summary(runs: DataFrame, issues: DataFrame) -> DataFrame:
+    """Totals over import runs plus issue counts by severity (three one-row aggregates)."""
+    t = runs.agg(
+        F.count(F.lit(1)).alias("total_import_runs"), F.sum("total_rows").cast("bigint").alias("total_rows"),
+        F.sum("imported_rows").cast("bigint").alias("imported_rows"),
+        F.sum("quarantined_rows").cast("bigint").alias("quarantined_rows"),
+        F.sum("error_rows").cast("bigint").alias("error_rows"),
+        F.sum("warning_count").cast("bigint").alias("warning_count")).withColumn("_k", F.lit(1))
+    i = issues.agg(
+        F.count(F.lit(1)).alias("issue_count"),
+        F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)).cast("bigint").alias("error_issues"),
+        F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).cast("bigint").alias("warning_issues"),
+    ).withColumn("_k", F.lit(1))
+    return t.join(i, "_k").drop("_k")
+
+
+def issues_by_code(issues: DataFrame) -> DataFrame:
+    """Issue counts by code, NULL code reported as UNKNOWN."""
+    return issues.groupBy(F.coalesce(F.col("issue_code"), F.lit("UNKNOWN")).alias("code")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+def recent_runs(runs: DataFrame, n: int = C.RECENT_RUNS) -> DataFrame:
+    """Latest n runs by completion time, then id, descending."""
+    return runs.orderBy(F.col("completed_at").desc_nulls_last(), F.col("run_id").desc()).limit(n)

@@ -225,3 +225,86 @@ def scored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("total_duration_hours").alias("y_hours"),
         F.coalesce(F.col("sla_duration_hours"), F.lit(720.0)).alias("yhat_hours"),
     )
+
+
+# --- ingest deliveries -----------------------------------------------------------------------
+def _fmt(c):
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+
+
+def _other_nation(c):
+    return F.when(c == "FRANCE", F.lit("GERMANY")).otherwise(F.lit("FRANCE"))
+
+
+def delivery(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+    """Source rows (all strings) as two deliveries of every order.
+
+    batch 1 = cases as opened (no outcome); batch 2 = the same cases with
+    outcomes.  Injected, by key rule (every order is still delivered):
+    batch 1: k%101=3 blank id, k%103=4 bad open_dt, k%107=5 blank open_dt,
+    k%109=6 impossible SLA date; both: k%37=7 unknown source, k%41=8 unknown
+    department; batch 2: k%113=7 bad closed_dt, k%43=9 changed neighborhood
+    (conflict), k%47=10 exact repeat row (skip), k%53=11 repeat with a changed
+    neighborhood (conflict).  Row numbers: batch 1 k+1, batch 2 2k+1 / 2k+2.
+    """
+    raw = process_raw(spark, sf_dir)
+    k = F.col("o_orderkey")
+    hood = F.coalesce(F.col("neighborhood"), F.lit(""))
+    common = {
+        "source": F.when(k % 37 == 7, F.lit("Walk-in Kiosk")).otherwise(F.coalesce(F.col("source"), F.lit(""))),
+        "subject": F.coalesce(F.col("subject"), F.lit("")),
+        "reason": F.coalesce(F.col("reason"), F.lit("")),
+        "type": F.coalesce(F.col("type"), F.lit("")),
+        "department": F.when(k % 41 == 8, F.lit("Public Works")).otherwise(F.lit("")),
+    }
+    if batch == 1:
+        rows = raw.select(
+            "o_orderkey",
+            F.when(k % 101 == 3, F.lit("")).otherwise(F.col("external_id")).alias("case_enquiry_id"),
+            F.when(k % 103 == 4, F.lit("not-a-date")).when(k % 107 == 5, F.lit("")).otherwise(_fmt(F.col("created_at")))
+            .alias("open_dt"),
+            F.lit("").alias("closed_dt"),
+            F.when(k % 109 == 6, F.lit("2024-02-30")).otherwise(_fmt(F.col("deadline"))).alias("sla_target_dt"),
+            F.lit("Open").alias("case_status"),
+            *[v.alias(c) for c, v in common.items() if c in ("source", "subject", "reason", "type")],
+            hood.alias("neighborhood"), common["department"].alias("department"),
+            F.lit("").alias("closure_reason"),
+            F.lit("batch1.csv").alias("_file"), F.lit(1).alias("_file_seq"), (k + 1).alias("_row"))
+        return rows
+    main_hood = F.when(k % 43 == 9, _other_nation(hood)).otherwise(hood)
+    base = raw.select(
+        "o_orderkey",
+        F.col("external_id").alias("case_enquiry_id"),
+        _fmt(F.col("created_at")).alias("open_dt"),
+        F.when(k % 113 == 7, F.lit("yesterday")).otherwise(_fmt(F.col("completed_at"))).alias("closed_dt"),
+        _fmt(F.col("deadline")).alias("sla_target_dt"),
+        F.col("current_status").alias("case_status"),
+        *[v.alias(c) for c, v in common.items() if c in ("source", "subject", "reason", "type")],
+        main_hood.alias("neighborhood"), common["department"].alias("department"),
+        F.coalesce(F.col("closure_reason"), F.lit("")).alias("closure_reason"),
+        hood.alias("_orig_hood"))
+    copies = F.when(k % 47 == 10, F.array(F.lit(0), F.lit(1))).when(k % 53 == 11, F.array(F.lit(0), F.lit(2))).otherwise(
+        F.array(F.lit(0)))
+    out = base.withColumn("_copy", F.explode(copies))
+    return out.select(
+        "o_orderkey", "case_enquiry_id", "open_dt", "closed_dt", "sla_target_dt", "case_status", "source", "subject",
+        "reason", "type",
+        F.when(F.col("_copy") == 2, _other_nation(F.col("_orig_hood"))).otherwise(F.col("neighborhood")).alias(
+            "neighborhood"),
+        "department", "closure_reason",
+        F.lit("batch2.csv").alias("_file"), F.lit(2).alias("_file_seq"),
+        (F.col("o_orderkey") * 2 + 1 + F.when(F.col("_copy") > 0, 1).otherwise(0)).alias("_row"))
+
+
+STATE_SCHEMA = ("external_id string, created_at timestamp_ntz, deadline timestamp_ntz, completed_at timestamp_ntz, "
+                "current_status string, closure_reason string, process_type string, e_opening_fp string, "
+                "e_row_fp string, e_mapping_version string, last_import string")
+
+
+def empty_state(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], STATE_SCHEMA)
+
+
+def ingest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog for the deliveries: the dimension labels (department has none)."""
+    return catalog_view(spark, sf_dir)
