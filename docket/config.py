@@ -113,7 +113,7 @@ OVERRIDE_RANGES = {
     "open_weekday": (0, 6),
     "open_hour": (0, 23),
     "is_weekend": (0, 1),
-    "sla_duration_hours": (0.0, 10000.0),
+    "sla_duration_hours": (0.0, 87600.0),
 }
 
 # Sensitive-content patterns (Java regex; case-insensitive flag inline).
