@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,14 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: s
     order for a reproducible index.
     """
     n = _n_parts(df, num_partitions)
-    srt = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # the range partitioner samples its input in a separate job: keep the input
+    # cached only until the eager checkpoint has been written
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    srt = (src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     srt = srt.checkpoint(eager=True)
+    src.unpersist()
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -66,7 +71,8 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, qs
     """
     vals = df.where(F.col(value_col).isNotNull()).select(*group_cols, F.col(value_col).alias("_v"))
     ranked = group_rank(vals, group_cols, ["_v"], "_r")
-    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    # counted from the checkpointed ranking, not by re-running the input plan
+    counts = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     need = counts
     for name, q in qs.items():
         h = (F.col("_n") - 1) * F.lit(q)

@@ -88,7 +88,7 @@ def index_quantile_bounds(values: DataFrame, value_col: str, iqr_mult: float = C
     """
     v = values.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("x"))
     idx = global_index(v, ["x"], "_i")
-    n = v.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
+    n = idx.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
     picked = idx.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").where(
         (F.col("_i") == F.floor(F.col("n") * 0.25)) | (F.col("_i") == F.floor(F.col("n") * 0.75)))
     qs = picked.groupBy("_k").agg(

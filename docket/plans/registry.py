@@ -54,7 +54,7 @@ def r(x: str) -> str:
 
 
 # Importing the query modules fills QUERIES / ORACLES.
-MODULES = ["q_dataset", "q_report", "q_metrics", "q_quality", "q_ingest", "q_interact", "q_model"]
+MODULES = ["q_dataset", "q_report", "q_metrics", "q_quality", "q_ingest", "q_interact", "q_similar", "q_model"]
 
 
 def load() -> tuple[dict[str, Builder], dict[str, str]]:
