@@ -147,6 +147,9 @@ def regressor(kind: str, label_std: float | None = None, params: dict | None = N
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back (lineage cut)."""
+    from docket.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -30,6 +30,9 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: s
     (lineage cut, survives executor loss); ``order_cols`` should be a total
     order for a reproducible index.
     """
+    from docket.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     n = _n_parts(df, num_partitions)
     # the range partitioner samples its input in a separate job: keep the input
     # cached only until the eager checkpoint has been written
