@@ -174,7 +174,9 @@ def split_label(created_at: Column | str, splits: Sequence[tuple[str, _dt.dateti
 # --- P17 - P22 ---------------------------------------------------------------
 def risk_score(p: Column | str) -> Column:
     """clamp(round_half_even(100 p), 0, 100); NULL stays NULL."""
-    return F.least(F.greatest(F.bround(_c(p) * 100, 0), F.lit(0.0)), F.lit(100.0)).cast("int")
+    # least/greatest skip NULLs, so guard NULL explicitly
+    return F.when(_c(p).isNotNull(),
+                  F.least(F.greatest(F.bround(_c(p) * 100, 0), F.lit(0.0)), F.lit(100.0))).cast("int")
 
 
 def risk_level(score: Column | str) -> Column:
@@ -200,22 +202,25 @@ def clamp_hours(raw: Column | str) -> Column:
 
 def prob_interval(p: Column | str, std: Column | str) -> tuple[Column, Column]:
     p, s = _c(p), _c(std)
-    return F.greatest(p - 2 * s, F.lit(0.0)), F.least(p + 2 * s, F.lit(1.0))
+    ok = p.isNotNull() & s.isNotNull()
+    return F.when(ok, F.greatest(p - 2 * s, F.lit(0.0))), F.when(ok, F.least(p + 2 * s, F.lit(1.0)))
 
 
 def hours_interval(h: Column | str, std: Column | str) -> tuple[Column, Column]:
     h, s = _c(h), _c(std)
-    return F.greatest(h - 2 * s, F.lit(0.0)), h + 2 * s
+    ok = h.isNotNull() & s.isNotNull()
+    return F.when(ok, F.greatest(h - 2 * s, F.lit(0.0))), F.when(ok, F.greatest(h + 2 * s, F.lit(0.0)))
 
 
 def elapsed_hours(created_at: Column | str, completed_at: Column | str) -> Column:
-    return F.round(F.greatest(hours_between(created_at, completed_at), F.lit(0.0)), 2)
+    h = hours_between(created_at, completed_at)
+    return F.when(h.isNotNull(), F.round(F.greatest(h, F.lit(0.0)), 2))
 
 
 # --- P24 --------------------------------------------------------------------------
 def logit(p: Column | str, eps: float = C.LOGIT_EPS) -> Column:
     q = F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1.0 - eps))
-    return F.ln(q / (F.lit(1.0) - q))
+    return F.when(_c(p).isNotNull(), F.ln(q / (F.lit(1.0) - q)))
 
 
 def threshold_cuts() -> list[float]:

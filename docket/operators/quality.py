@@ -145,7 +145,8 @@ def winsorize(df: DataFrame, value_col: str, bounds: DataFrame, enabled: bool =
         return df.withColumn(f"{value_col}_capped", F.col(value_col))
     b = bounds.select(F.lit(1).alias("_k"), "lower", "upper")
     return (df.withColumn("_k", F.lit(1)).join(F.broadcast(b), "_k")
-            .withColumn(f"{value_col}_capped", F.least(F.greatest(F.col(value_col), F.col("lower")), F.col("upper")))
+            .withColumn(f"{value_col}_capped", F.when(F.col(value_col).isNotNull(), F.least(
+                F.greatest(F.col(value_col), F.col("lower")), F.col("upper"))))
             .drop("_k", "lower", "upper"))
 
 

@@ -49,7 +49,7 @@ def is_delayed_sql(done: str, dl: str, cutoff=C.TEST_CUTOFF) -> str:
 
 def risk_score_sql(p: str) -> str:
     # round-half-even of 100p, clamped to [0, 100]
-    return f"CAST(least(greatest(round_even({p} * 100, 0), 0), 100) AS INTEGER)"
+    return f"CAST(CASE WHEN {p} IS NOT NULL THEN least(greatest(round_even({p} * 100, 0), 0), 100) END AS INTEGER)"
 
 
 def risk_level_sql(s: str) -> str:
