@@ -38,7 +38,7 @@ def import_files(spark: SparkSession, paths: list[str], root: str, catalog: Data
                  mapping_version: str = C.CANONICAL_MAPPING_VERSION) -> dict:
     """One import of a batch of delivery files into the tables under ``root``."""
     runs = _table_or_empty(spark, root, "import_runs", RUNS_SCHEMA)
-    manifest = SF.file_manifest(spark, paths).withColumnRenamed("file_hash", "file_hash")
+    manifest = SF.file_manifest(spark, paths)
     fresh = I.skip_known_files(manifest, runs).where(F.col("duplicate") == 0)
     new_paths = [r["path"] for r in fresh.select("path").collect()]  # file list, one row per file
     if not new_paths:
@@ -60,7 +60,9 @@ def start_ingest_stream(spark: SparkSession, input_dir: str, root: str, catalog:
                         available_now: bool = True):
     """Watch ``input_dir`` for CSV deliveries and import each micro-batch."""
     # binaryFile with only ``path`` selected lists new files without reading their bytes
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary")
+             .option("pathGlobFilter", "*.csv")
              .option("maxFilesPerTrigger", 10).load(input_dir).select("path"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -76,7 +78,9 @@ def start_ingest_stream(spark: SparkSession, input_dir: str, root: str, catalog:
 def daily_volume_stream(predictions: DataFrame, watermark: str = "1 day") -> DataFrame:
     """A4 on a stream of successful opening predictions (event time = predicted_at)."""
     ok = predictions.where((F.col("status") == "success") & (F.col("prediction_context") == "opening"))
-    return (ok.withWatermark("predicted_at", watermark)
-            .groupBy(F.window("predicted_at", "1 day").alias("w"))
+    # watermarks need TIMESTAMP; with the UTC session zone the wall time is kept
+    ok = ok.withColumn("_et", F.col("predicted_at").cast("timestamp"))
+    return (ok.withWatermark("_et", watermark)
+            .groupBy(F.window("_et", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("count"))
             .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "count"))
