@@ -109,16 +109,15 @@ def cohort(dataset: DataFrame, target: str) -> DataFrame:
 
 def split_summary(dataset: DataFrame, sealed: Sequence[str] = C.SEALED_SPLITS) -> DataFrame:
     """Rows and date range per (cohort, split); sealed splits expose only these."""
-    rows = []
-    for name, target in (("classification", "is_delayed"), ("regression", "total_duration_hours")):
-        rows.append(
-            cohort(dataset, target)
-            .groupBy("split")
-            .agg(F.count(F.lit(1)).alias("row_count"), F.min("created_at").alias("min_created_at"),
-                 F.max("created_at").alias("max_created_at"))
-            .withColumn("cohort", F.lit(name))
-        )
-    out = rows[0].unionByName(rows[1])
+    # one pass: each row is counted in every cohort it belongs to
+    ok = F.col("schema_error").isNull() & F.col("split").isNotNull()
+    member = F.filter(F.array(F.when(ok & F.col("is_delayed").isNotNull(), F.lit("classification")),
+                              F.when(ok & F.col("total_duration_hours").isNotNull(), F.lit("regression"))),
+                      lambda x: x.isNotNull())
+    out = (dataset.select("split", "created_at", F.explode(member).alias("cohort"))
+           .groupBy("cohort", "split")
+           .agg(F.count(F.lit(1)).alias("row_count"), F.min("created_at").alias("min_created_at"),
+                F.max("created_at").alias("max_created_at")))
     return out.withColumn("sealed", F.col("split").isin(list(sealed)).cast("int")).select(
         "cohort", "split", "sealed", "row_count", "min_created_at", "max_created_at"
     )

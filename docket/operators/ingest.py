@@ -163,13 +163,15 @@ def decide(valid: DataFrame, state: DataFrame, mapping_version: str = C.CANONICA
     """
     order = F.struct("_file_seq", "_row")
     first = valid.groupBy("external_id").agg(F.min_by("opening_fp", order).alias("_first_fp"),
-                                             F.min(order).alias("_first_pos"))
+                                             F.min(order).alias("_first_pos"),
+                                             F.count(F.lit(1)).alias("_n_rows"))
     st = state.select("external_id", F.lit(1).alias("_exists"), "e_opening_fp", "e_row_fp", "e_mapping_version")
     j = valid.join(first, "external_id").join(st, "external_id", "left")
     base = F.when(F.col("_exists") == 1, F.col("e_opening_fp")).otherwise(F.col("_first_fp"))
     j = j.withColumn("_base", base).withColumn("_on_base", F.coalesce(F.col("opening_fp") == F.col("_base"),
                                                                       F.lit(False)))
-    on = j.where("_on_base").select("external_id", "_file_seq", "_row", "row_fp")
+    # only keys delivered more than once can have an earlier row in this batch
+    on = j.where(F.col("_on_base") & (F.col("_n_rows") > 1)).select("external_id", "_file_seq", "_row", "row_fp")
     lagged = index_lag(on, "external_id", ["_file_seq", "_row"], "row_fp", "_prev_in_batch").select(
         "external_id", "_file_seq", "_row", "_prev_in_batch")
     j = j.join(lagged, ["external_id", "_file_seq", "_row"], "left")
@@ -184,7 +186,7 @@ def decide(valid: DataFrame, state: DataFrame, mapping_version: str = C.CANONICA
         .otherwise(F.lit("OPENING_DATA_CONFLICT"))
     )
     return j.withColumn("decision", decision).drop(
-        "_first_fp", "_first_pos", "_exists", "_base", "_on_base", "_prev_in_batch")
+        "_first_fp", "_first_pos", "_n_rows", "_exists", "_base", "_on_base", "_prev_in_batch")
 
 
 # --- W5 / S7 -------------------------------------------------------------------------------

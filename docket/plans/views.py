@@ -62,7 +62,9 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # one file per core: downstream narrow stages (regex coding, JSON) run in parallel
+        # instead of in the single partition AQE would coalesce a small result into
+        build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
