@@ -248,7 +248,12 @@ def run_import(rows: DataFrame, state: DataFrame, catalog: DataFrame,
     Returns ``rows`` (every input row with its outcome), ``issues``,
     ``counts`` (A1, one row per import run) and ``state`` (W5 result).
     """
-    v = validate_rows(rows)
+    from docket.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(rows.sparkSession)
+    # staging: validated rows are written once to the checkpoint folder, so the
+    # decision step and every output read them instead of re-parsing the files
+    v = validate_rows(rows).checkpoint(eager=True)
     ok = v.where(F.col("error_code").isNull())
     mapped = add_fingerprints(canonicalize(ok, catalog))
     decided = decide(mapped, state, mapping_version)

@@ -23,8 +23,10 @@ def _state1(spark, sf_dir):
     r1 = I.run_import(V.delivery(spark, sf_dir, 1), V.empty_state(spark), _catalog(spark, sf_dir))
     st = r1["state"]
     # processes 12 mod 59 were stored under an older catalog version
-    return r1, st.withColumn("e_mapping_version", F.when(F.col("external_id").cast("long") % 59 == 12, F.lit("0.9.0"))
-                             .otherwise(F.col("e_mapping_version")))
+    st = st.withColumn("e_mapping_version", F.when(F.col("external_id").cast("long") % 59 == 12, F.lit("0.9.0"))
+                       .otherwise(F.col("e_mapping_version")))
+    # the state after the first delivery is a stored table, not a recomputation
+    return r1, st.checkpoint(eager=True)
 
 
 def _run2(spark, sf_dir):
