@@ -137,3 +137,19 @@ def permutation_importance(spark, sf_dir):
     val = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed").where(F.col("split") == "validation")
     imp = EX.permutation_importance(lambda df: clf.scores(df), val.select("external_id", "label", *C.ALL_FEATURES))
     return EX.importance_table(imp, 10)
+
+
+@register("forest_spread")
+def forest_spread(spark, sf_dir):
+    """X2 + P21: per-tree spread of a random forest and the +-2 std probability interval, every usable case."""
+    from docket.functions import exprs as X
+    from docket.operators import forest as FO
+
+    ds = ML.materialize(_dataset(spark, sf_dir))
+    coh = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed")
+    clf = ML.fit_classifier(coh.where(F.col("split") == "train"), "rf",
+                            {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 10})
+    feats = clf.prep.transform(ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES))
+    sp = FO.forest_spread(feats, clf.model, "external_id")
+    lo, hi = X.prob_interval("tree_mean", "tree_std")
+    return sp.select("external_id", "tree_mean", "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
