@@ -153,3 +153,21 @@ def forest_spread(spark, sf_dir):
     sp = FO.forest_spread(feats, clf.model, "external_id")
     lo, hi = X.prob_interval("tree_mean", "tree_std")
     return sp.select("external_id", "tree_mean", "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
+
+
+@register("forest_shap")
+def forest_shap(spark, sf_dir):
+    """X5 + X8: TreeSHAP contributions per raw feature for every usable case, top 3 with direction and label."""
+    from docket.operators import explain as EX
+    from docket.operators import shap as SH
+
+    ds = ML.materialize(_dataset(spark, sf_dir))
+    coh = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed")
+    clf = ML.fit_classifier(coh.where(F.col("split") == "train"), "rf",
+                            {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 10})
+    feats = clf.prep.transform(ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES))
+    contrib = SH.forest_shap(feats, clf.model, "external_id", clf.prep.feature_names())
+    lab = EX.feature_label_table(spark)
+    return SH.shap_table(contrib, "external_id", 3).join(F.broadcast(lab), "feature", "left").select(
+        "external_id", "rank", "feature", F.coalesce("label", "feature").alias("label"), "contribution", "direction",
+        "base_value")

@@ -63,3 +63,17 @@ def test_score_cases_rules(spark, train):
         else:
             assert 0 <= r["risk_score"] <= 100
         assert r["predicted_hours"] >= 0 and r["ok"] == 1
+
+
+def test_tree_shap_local_accuracy(spark, train):
+    from docket.operators import shap as SH
+
+    fc = ML.fit_classifier(train, "rf", {"n_estimators": 4, "max_depth": 4, "min_samples_leaf": 2})
+    feats = fc.prep.transform(train.limit(40))
+    contrib = SH.forest_shap(feats, fc.model, "external_id", fc.prep.feature_names())
+    sums = {r["external_id"]: (r["s"], r["b"]) for r in contrib.groupBy("external_id").agg(
+        F.sum("contribution").alias("s"), F.first("base_value").alias("b")).collect()}
+    prob = fc.model.transform(feats).select("external_id", ML.prob1().alias("p")).collect()
+    for r in prob:
+        s, b = sums[r["external_id"]]
+        assert s + b == pytest.approx(r["p"], abs=1e-9)
