@@ -150,3 +150,22 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "row_count" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_registry_and_single_active(spark):
+    reg = spark.createDataFrame([], SK.REGISTRY_SCHEMA)
+    m1 = spark.createDataFrame([(0.8, 0.9)], "pr_auc double, roc_auc double")
+    reg = SK.register_bundle(reg, "v1", "rf", "/x/v1", "fp1", m1)
+    reg = SK.register_bundle(reg, "v2", "logreg", "/x/v2", "fp2", m1)
+    assert SK.check_single_active(reg) == 1
+    assert SK.active_bundle(reg).first()["model_version"] == "v2"
+    with pytest.raises(ValueError):
+        SK.register_bundle(reg, "v2", "logreg", "/x/v2", "fp2", m1)
+    with pytest.raises(ValueError):
+        SK.enrich_metrics(reg, "v1", "other-fp", spark.createDataFrame([(0.1,)], "brier double"))
+    reg = SK.enrich_metrics(reg, "v1", "fp1", spark.createDataFrame([(0.1,)], "brier double"))
+    mon = {r["model_version"]: r for r in SK.monitoring_view(reg).collect()}
+    assert mon["v1"]["brier"] == pytest.approx(0.1) and mon["v1"]["pr_auc"] == pytest.approx(0.8)
+    two = reg.withColumn("is_active", F.lit(1))
+    with pytest.raises(ValueError):
+        SK.check_single_active(two)
