@@ -170,11 +170,15 @@ def decide(valid: DataFrame, state: DataFrame, mapping_version: str = C.CANONICA
     base = F.when(F.col("_exists") == 1, F.col("e_opening_fp")).otherwise(F.col("_first_fp"))
     j = j.withColumn("_base", base).withColumn("_on_base", F.coalesce(F.col("opening_fp") == F.col("_base"),
                                                                       F.lit(False)))
-    # only keys delivered more than once can have an earlier row in this batch
-    on = j.where(F.col("_on_base") & (F.col("_n_rows") > 1)).select("external_id", "_file_seq", "_row", "row_fp")
-    lagged = index_lag(on, "external_id", ["_file_seq", "_row"], "row_fp", "_prev_in_batch").select(
-        "external_id", "_file_seq", "_row", "_prev_in_batch")
-    j = j.join(lagged, ["external_id", "_file_seq", "_row"], "left")
+    # only keys delivered more than once can have an earlier row in this batch;
+    # when none repeats (the usual delivery) the lag is skipped entirely
+    if first.where(F.col("_n_rows") > 1).limit(1).count():
+        on = j.where(F.col("_on_base") & (F.col("_n_rows") > 1)).select("external_id", "_file_seq", "_row", "row_fp")
+        lagged = index_lag(on, "external_id", ["_file_seq", "_row"], "row_fp", "_prev_in_batch").select(
+            "external_id", "_file_seq", "_row", "_prev_in_batch")
+        j = j.join(lagged, ["external_id", "_file_seq", "_row"], "left")
+    else:
+        j = j.withColumn("_prev_in_batch", F.lit(None).cast("string"))
     prev = F.coalesce(F.col("_prev_in_batch"), F.col("e_row_fp"))
     is_first = (F.col("_first_pos._file_seq") == F.col("_file_seq")) & (F.col("_first_pos._row") == F.col("_row"))
     decision = (

@@ -171,3 +171,10 @@ def forest_shap(spark, sf_dir):
     return SH.shap_table(contrib, "external_id", 3).join(F.broadcast(lab), "feature", "left").select(
         "external_id", "rank", "feature", F.coalesce("label", "feature").alias("label"), "contribution", "direction",
         "base_value")
+
+
+@register("boosting_training")
+def boosting_training(spark, sf_dir):
+    """M6: gradient-boosted classifier through the same fold / calibration / threshold flow."""
+    _, met = ML.train_classifier(_dataset(spark, sf_dir), "gbt", {"max_iter": 10, "max_depth": 3}, n_splits=3)
+    return met
