@@ -283,3 +283,20 @@ def issues_by_code(spark, sf_dir):
     """Issue counts by code (NULL -> UNKNOWN)."""
     r1, _ = _state1(spark, sf_dir)
     return Q.issues_by_code(r1["issues"].unionByName(_run2(spark, sf_dir)["issues"]))
+
+
+@register("recent_runs", _isql(f"""
+SELECT import_run, run_id, completed_at, status, total_rows, imported_rows, quarantined_rows, error_rows, warning_count
+FROM (SELECT runs.*, CAST(CASE WHEN import_run = 'batch1.csv' THEN 1 ELSE 2 END AS BIGINT) AS run_id,
+             TIMESTAMP '{C.TEST_AS_OF:%Y-%m-%d %H:%M:%S}' + INTERVAL (CASE WHEN import_run = 'batch1.csv' THEN 1 ELSE 2 END) HOUR
+               AS completed_at FROM runs)
+ORDER BY completed_at DESC, run_id DESC LIMIT {C.RECENT_RUNS}"""))
+def recent_runs(spark, sf_dir):
+    """Latest runs by completion time then id (run n completes n hours after the as-of time)."""
+    r1, _ = _state1(spark, sf_dir)
+    runs = r1["counts"].withColumn("run_id", F.lit(1)).unionByName(
+        _run2(spark, sf_dir)["counts"].withColumn("run_id", F.lit(2)))
+    runs = runs.withColumn("completed_at", F.timestamp_add("HOUR", F.col("run_id"), F.lit(C.TEST_AS_OF).cast(
+        "timestamp_ntz")))
+    return Q.recent_runs(runs).select("import_run", "run_id", "completed_at", "status", "total_rows", "imported_rows",
+                                      "quarantined_rows", "error_rows", "warning_count")
