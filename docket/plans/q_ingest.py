@@ -296,7 +296,8 @@ def recent_runs(spark, sf_dir):
     r1, _ = _state1(spark, sf_dir)
     runs = r1["counts"].withColumn("run_id", F.lit(1)).unionByName(
         _run2(spark, sf_dir)["counts"].withColumn("run_id", F.lit(2)))
-    runs = runs.withColumn("completed_at", F.timestamp_add("HOUR", F.col("run_id"), F.lit(C.TEST_AS_OF).cast(
-        "timestamp_ntz")))
+    from docket.functions import exprs as X
+
+    runs = runs.withColumn("completed_at", F.timestamp_add("HOUR", F.col("run_id"), X.ts_lit(C.TEST_AS_OF)))
     return Q.recent_runs(runs).select("import_run", "run_id", "completed_at", "status", "total_rows", "imported_rows",
                                       "quarantined_rows", "error_rows", "warning_count")
