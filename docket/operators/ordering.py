@@ -99,22 +99,33 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, qs
 
 
 def bucketed_prefix_sums(df: DataFrame, part_cols: Sequence[str], score_col: str, value_cols: Sequence[str],
-                         buckets: int = 1024) -> DataFrame:
-    """Exclusive prefix sums of ``value_cols`` over ``score_col`` in [0, 1] within ``part_cols``.
-
-    Expects one row per (part, score) (aggregate first).  The work is spread
-    by value bucket; bucket totals (bucket count x groups rows, bounded) get
-    their offsets with a small window and are broadcast back.
+                         num_partitions: int | None = None) -> DataFrame:
+    """Exclusive prefix sums of ``value_cols`` in ``score_col`` order within ``part_cols``.
+
+    Expects one row per (part, score) (aggregate first).  Rows are
+    range-partitioned on (part, score) - boundaries come from sampling, so a
+    narrow score range holding a third of the rows is still split over many
+    tasks - summed locally in each range partition, and the per-partition
+    totals (one row per partition and group, bounded) get offsets that are
+    broadcast back.  No window spans more than one range partition.
     """
-    b = F.least(F.greatest(F.floor(F.col(score_col) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    d = df.withColumn("_b", b)
-    w_in = Window.partitionBy(*part_cols, "_b").orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.select("*", *[F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"_loc_{v}") for v in value_cols])
-    tot = d.groupBy(*part_cols, "_b").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    w_b = Window.partitionBy(*part_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*part_cols, "_b",
-                      *[F.coalesce(F.sum(f"_tot_{v}").over(w_b), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
-    out = local.join(F.broadcast(offs), [*part_cols, "_b"])
+    from docket.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    part_cols = list(part_cols)
+    n = _n_parts(df, num_partitions)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    srt = (src.repartitionByRange(n, *part_cols, score_col).sortWithinPartitions(*part_cols, score_col)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
+    src.unpersist()
+    w_in = Window.partitionBy("_pid", *part_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = srt.select("*", *[F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"_loc_{v}") for v in value_cols])
+    tot = srt.groupBy("_pid", *part_cols).agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    w_p = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *part_cols,
+                      *[F.coalesce(F.sum(f"_tot_{v}").over(w_p), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+    out = local.join(F.broadcast(offs), ["_pid", *part_cols])
     for v in value_cols:
         out = out.withColumn(f"{v}_below", F.col(f"_loc_{v}") + F.col(f"_off_{v}"))
-    return out.drop("_b", *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
+    return out.drop("_pid", "_mid", *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
