@@ -350,8 +350,14 @@ def linear_importance(clf: FittedClassifier) -> list[tuple[str, float]]:
 
 def random_candidates(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     """Seeded draws from a parameter grid."""
+    import itertools
+
     rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in space.items()} for _ in range(n)]
+    keys = list(space)
+    grid = [dict(zip(keys, combo)) for combo in itertools.product(*[space[k] for k in keys])]
+    if n >= len(grid):
+        return grid
+    return rng.sample(grid, n)  # distinct grid points, like sampling a finite grid without replacement
 
 
 def search(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5,
