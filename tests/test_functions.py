@@ -132,9 +132,9 @@ def test_threshold_cuts():
 
 
 def test_canonical_code_rule(spark):
-    raws = ["Citizens Connect App", "Boston Water & Sewer Commission", "Sidewalk Cover / Manhole",
-            "Mayor's 24 Hour Hotline", "Transportation - Traffic Division"]
-    want = ["citizens_connect_app", "boston_water_and_sewer_commission", "sidewalk_cover_and_manhole",
-            "mayor_s_24_hour_hotline", "transportation_traffic_division"]
+    raws = ["Mobile App", "Water & Sewer Board", "Curb Cover / Drain", "Clerk's 24 Hour Line",
+            "Roads - Signal Unit", "  Padded  "]
+    want = ["mobile_app", "water_and_sewer_board", "curb_cover_and_drain", "clerk_s_24_hour_line",
+            "roads_signal_unit", "padded"]
     df = spark.createDataFrame([(r,) for r in raws], "r string")
     assert [x[0] for x in df.select(X.canonical_code_rule("r")).collect()] == want
