@@ -131,3 +131,18 @@ def test_knn_exact_vs_bruteforce(spark):
         d[i] = np.inf
         want = sorted(range(300), key=lambda j: (d[j], j))[:5]
         assert [n for _, n in sorted(res[i])] == want
+
+
+def test_knn_lsh_recall_is_measured(spark):
+    from tests.conftest import SF_MID
+
+    emb = spark.read.parquet(f"{SF_MID}/embeddings.parquet")
+    exact = {(r[0], r[1]) for r in SM.knn(emb, emb, 5, "vec_id", "vec_id", "embedding", rows_per_block=256)
+             .select("vec_id", "neighbor_vec_id").collect()}
+    approx = {(r[0], r[1]) for r in SM.knn_lsh(emb, emb, 5, "vec_id", "vec_id", "embedding", bucket_length=4.0,
+                                               num_tables=8, threshold=100.0)
+              .select("vec_id", "neighbor_vec_id").collect()}
+    recall = len(exact & approx) / len(exact)
+    print(f"LSH recall@5 = {recall:.3f}")
+    assert all(a != b for a, b in approx)  # self excluded
+    assert recall > 0.2
