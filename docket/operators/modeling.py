@@ -64,13 +64,47 @@ class PrepModel:
         return names + list(self.numeric)
 
 
+MAX_HISTOGRAM_VALUES = 100_000
+
+
+def exact_medians(long: DataFrame) -> dict[str, float | None]:
+    """Exact linear-interpolation median per feature of a (f, x) long frame.
+
+    A (feature, value) count histogram is aggregated first (partial
+    aggregation).  When every feature has at most ``MAX_HISTOGRAM_VALUES``
+    distinct values - checked before anything is collected - the bounded
+    histogram is read back and the median taken from cumulative counts;
+    otherwise the distributed sort-based :func:`exact_quantiles` is used.
+    """
+    import numpy as np
+
+    hist = long.where(F.col("x").isNotNull()).groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
+    distinct = hist.groupBy("f").agg(F.count(F.lit(1)).alias("d")).collect()  # one row per feature
+    if not distinct or max(r["d"] for r in distinct) > MAX_HISTOGRAM_VALUES:
+        return {r["f"]: r["median"] for r in exact_quantiles(long, ["f"], "x", {"median": 0.5}).collect()}
+    out: dict[str, float | None] = {}
+    rows = hist.collect()  # bounded by the check above
+    by_f: dict[str, list[tuple[float, int]]] = {}
+    for r in rows:
+        by_f.setdefault(r["f"], []).append((r["x"], r["n"]))
+    for f, pairs in by_f.items():
+        pairs.sort()
+        vals = np.array([p[0] for p in pairs])
+        cum = np.cumsum([p[1] for p in pairs])
+        h = (cum[-1] - 1) * 0.5
+        lo, hi = int(np.floor(h)), int(np.ceil(h))
+        vlo, vhi = vals[np.searchsorted(cum, lo, side="right")], vals[np.searchsorted(cum, hi, side="right")]
+        out[f] = float(vlo + (h - lo) * (vhi - vlo))
+    return out
+
+
 def fit_prep(train: DataFrame, categorical: Sequence[str] = C.CATEGORICAL_FEATURES,
              numeric: Sequence[str] = C.NUMERIC_FEATURES) -> PrepModel:
     """M1 + M2 fitted on ``train`` only."""
     categorical, numeric = list(categorical), list(numeric)
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("kv")).select("kv.*")
-    med = {r["f"]: r["median"] for r in exact_quantiles(long, ["f"], "x", {"median": 0.5}).collect()}  # one row per feature
+    med = exact_medians(long)
     med = {c: (float(med[c]) if med.get(c) is not None else 0.0) for c in numeric}
     imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in numeric])
     stats = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric],
