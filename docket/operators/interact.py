@@ -33,18 +33,31 @@ def live_evaluation(live: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
     """Counts of skipped / failed plus E1, E2, E5 on the scored closed cases.
 
     A missing probability is excluded and counted as a failure rather than
-    read as 0.0 (quirk Q19).  All three parts are one-row aggregates joined
-    on a constant key.
+    read as 0.0 (quirk Q19).  Counts and the confusion matrix are one
+    aggregate; the AUC (distinct-score prefix sums) is read as one scalar.
     """
-    ok = live.where((F.col("outcome") == "ok") & F.col("p").isNotNull()).withColumn("_k", F.lit(1))
-    counts = live.agg(
-        F.sum(F.when(F.col("outcome") == "skipped", 1).otherwise(0)).cast("bigint").alias("skipped_no_snapshot"),
-        F.sum(F.when((F.col("outcome") == "failed") | ((F.col("outcome") == "ok") & F.col("p").isNull()), 1)
-              .otherwise(0)).cast("bigint").alias("prediction_failures"),
-    ).withColumn("_k", F.lit(1))
-    conf = M.confusion(ok, ["_k"], threshold).withColumnRenamed("row_count", "total_evaluated")
-    rk = M.ranking_metrics(ok, ["_k"]).select("_k", "roc_auc")
-    return counts.join(conf, "_k").join(rk, "_k").drop("_k")
+    ok = (F.col("outcome") == "ok") & F.col("p").isNotNull()
+    rk = M.ranking_metrics(live.where(ok), ["outcome"]).first()  # one row: group 'ok'
+    roc = rk["roc_auc"] if rk is not None else None
+    y, yp = F.col("y"), (F.col("p") >= F.lit(threshold)).cast("int")
+
+    def cnt(c):
+        return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+
+    agg = live.agg(
+        cnt(F.col("outcome") == "skipped").alias("skipped_no_snapshot"),
+        cnt((F.col("outcome") == "failed") | ((F.col("outcome") == "ok") & F.col("p").isNull())).alias(
+            "prediction_failures"),
+        cnt(ok).alias("total_evaluated"),
+        cnt(ok & (y == 0) & (yp == 0)).alias("tn"), cnt(ok & (y == 0) & (yp == 1)).alias("fp"),
+        cnt(ok & (y == 1) & (yp == 0)).alias("fn"), cnt(ok & (y == 1) & (yp == 1)).alias("tp"),
+        F.avg(F.when(ok, (F.col("p") - y) * (F.col("p") - y))).alias("brier"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return agg.select(
+        "skipped_no_snapshot", "prediction_failures", "total_evaluated", "tn", "fp", "fn", "tp",
+        M._div(tp, tp + fp).alias("precision"), M._div(tp, tp + fn).alias("recall"),
+        M._div(2 * tp, 2 * tp + fp + fn).alias("f1"), M._div(tp + tn, F.col("total_evaluated")).alias("accuracy"),
+        "brier", F.lit(roc).cast("double").alias("roc_auc"))
 
 
 # --- P4 -------------------------------------------------------------------------------

@@ -124,12 +124,11 @@ def fit_prep(train: DataFrame, categorical: Sequence[str] = C.CATEGORICAL_FEATUR
 
 
 # --- estimators --------------------------------------------------------------------------
-def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weight per class = n / (n_classes * n_class), as a small table."""
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    tot = train.agg(F.count(F.lit(1)).alias("_t"), F.countDistinct(label).alias("_k")).withColumn("_one", F.lit(1))
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(tot), "_one").select(
-        label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
+def class_weights(train: DataFrame, label: str = "label") -> dict[float, float]:
+    """Balanced weight per class = n / (n_classes * n_class) (one row per class read back)."""
+    counts = {r[label]: r["_n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    total = sum(counts.values())
+    return {k: total / (len(counts) * v) for k, v in counts.items()}
 
 
 def classifier(kind: str, n_train: int, params: dict | None = None, weight_col: str | None = None, seed: int = 42):
@@ -223,7 +222,8 @@ def fit_classifier(train: DataFrame, kind: str, params: dict | None = None, bala
     wcol = None
     if balanced:
         w = class_weights(train)
-        t = t.join(F.broadcast(w), "label")  # one row per class
+        m = F.create_map(*[x for k, v in w.items() for x in (F.lit(float(k)), F.lit(float(v)))])
+        t = t.withColumn("weight", m[F.col("label")])
         wcol = "weight"
     n = train.count()
     model = classifier(kind, n, params, wcol, seed).fit(t)
@@ -311,7 +311,8 @@ def train_classifier(dataset: DataFrame, kind: str, params: dict | None = None,
                      F.lit(fc.threshold).alias("threshold"), "row_count", "roc_auc", "pr_auc", "precision",
                      "recall", "f1", "brier")
     oof.unpersist()
-    return fc, out.withColumn("_k", F.lit(1)).join(cv.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    cvr = cv.first()  # one row of fold statistics
+    return fc, out.withColumns({k: F.lit(cvr[k]).cast("double") for k in cv.columns})
 
 
 # --- regression ----------------------------------------------------------------------------

@@ -72,6 +72,8 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, qs
     rows at those ranks, found with :func:`group_rank` (a distributed sort),
     never a per-group in-memory buffer.
     """
+    if not group_cols:
+        return _exact_quantiles_global(df, value_col, qs)
     vals = df.where(F.col(value_col).isNotNull()).select(*group_cols, F.col(value_col).alias("_v"))
     ranked = group_rank(vals, group_cols, ["_v"], "_r")
     # counted from the checkpointed ranking, not by re-running the input plan
@@ -98,6 +100,23 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, qs
     return counts.join(out, list(group_cols), "left").drop("_n")
 
 
+def _exact_quantiles_global(df: DataFrame, value_col: str, qs: dict[str, float]) -> DataFrame:
+    """Ungrouped exact quantiles: ranks come from the global index, n is one scalar."""
+    import math
+
+    idx = global_index(df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("_v")), ["_v"], "_r")
+    n = idx.count()  # read from the checkpointed index
+    aggs, want = [], set()
+    for name, q in qs.items():
+        h = (n - 1) * q if n else 0.0
+        lo, hi = math.floor(h), math.ceil(h)
+        want |= {lo, hi}
+        vlo = F.max(F.when(F.col("_r") == lo, F.col("_v")))
+        vhi = F.max(F.when(F.col("_r") == hi, F.col("_v")))
+        aggs.append((vlo + F.lit(h - lo) * (vhi - vlo)).alias(name))
+    return idx.where(F.col("_r").isin(sorted(want))).agg(*aggs)
+
+
 def bucketed_prefix_sums(df: DataFrame, part_cols: Sequence[str], score_col: str, value_cols: Sequence[str],
                          num_partitions: int | None = None) -> DataFrame:
     """Exclusive prefix sums of ``value_cols`` in ``score_col`` order within ``part_cols``.

@@ -48,30 +48,27 @@ def categorical_top(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFr
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def numeric_profile(df: DataFrame, value_col: str, total_rows: DataFrame | None = None,
-                    iqr_mult: float = C.IQR_MULTIPLIER) -> DataFrame:
-    """Count, missing, min, max, mean, median, population std, q1, q3, IQR, outliers.
+def numeric_profile(df: DataFrame, value_col: str, iqr_mult: float = C.IQR_MULTIPLIER) -> DataFrame:
+    """Count, missing, min, max, mean, median, population std, q1, q3, IQR, outliers (one row).
 
-    ``df`` holds the valid values (NULLs dropped); ``missing`` is counted
-    against ``total_rows`` (one row, column ``total``) when given.
+    Quartiles are exact (distributed sort); the one-row quantile result is read
+    as scalars and the rest is a single aggregate over ``df`` (no joins).
     """
-    v = df.where(F.col(value_col).isNotNull()).select(F.lit(1).alias("_k"), F.col(value_col).alias("x"))
-    base = v.groupBy("_k").agg(
-        F.count(F.lit(1)).alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"))
-    q = exact_quantiles(v, ["_k"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    stats = base.join(q, "_k").withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo = F.col("q1") - iqr_mult * F.col("iqr")
-    hi = F.col("q3") + iqr_mult * F.col("iqr")
-    bounds = stats.select("_k", lo.alias("_lo"), hi.alias("_hi"))
-    outl = v.join(F.broadcast(bounds), "_k").groupBy("_k").agg(
-        F.sum(F.when((F.col("x") < F.col("_lo")) | (F.col("x") > F.col("_hi")), 1).otherwise(0)).cast("bigint").alias(
-            "outliers_iqr"))
-    out = stats.join(outl, "_k")
-    if total_rows is not None:
-        out = out.join(F.broadcast(total_rows.withColumn("_k", F.lit(1))), "_k").withColumn(
-            "missing", F.col("total") - F.col("count")).drop("total")
-    return out.drop("_k")
+    x = F.col(value_col)
+    q = exact_quantiles(df, [], value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}).first()  # one row
+    q1, med, q3 = q["q1"], q["median"], q["q3"]
+    lo = hi = None
+    if q1 is not None:
+        iqr = q3 - q1
+        lo, hi = q1 - iqr_mult * iqr, q3 + iqr_mult * iqr
+    out_cond = (x < F.lit(lo)) | (x > F.lit(hi)) if lo is not None else F.lit(False)
+    return df.agg(
+        F.count(x).alias("count"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
+        F.sum(F.when(x.isNotNull() & out_cond, 1).otherwise(0)).cast("bigint").alias("outliers_iqr"),
+    ).select("count", "missing", "min", "max", "mean", F.lit(med).cast("double").alias("median"), "std",
+             F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"),
+             F.lit(None if q1 is None else q3 - q1).cast("double").alias("iqr"), "outliers_iqr")
 
 
 def duplicate_keys(df: DataFrame, key: str, top: int = 10) -> DataFrame:
@@ -81,26 +78,22 @@ def duplicate_keys(df: DataFrame, key: str, top: int = 10) -> DataFrame:
             .orderBy(F.col("count").desc(), F.col(key).asc()).limit(top))
 
 
-def index_quantile_bounds(values: DataFrame, value_col: str, iqr_mult: float = C.IQR_MULTIPLIER) -> DataFrame:
-    """A12 bounds: q1 = s[int(0.25 n)], q3 = s[int(0.75 n)] on the sorted values (0 when n < 4).
+def index_quantile_bounds(values: DataFrame, value_col: str, iqr_mult: float = C.IQR_MULTIPLIER) -> dict:
+    """A12 bounds: q1 = s[int(0.25 n)], q3 = s[int(0.75 n)] of the sorted values (0 when n < 4).
 
-    Returns one row: n, q1, q3, lower, upper.
+    Returns the scalars n, q1, q3, lower, upper (ranks from the distributed index).
     """
     v = values.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("x"))
     idx = global_index(v, ["x"], "_i")
-    n = idx.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    picked = idx.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").where(
-        (F.col("_i") == F.floor(F.col("n") * 0.25)) | (F.col("_i") == F.floor(F.col("n") * 0.75)))
-    qs = picked.groupBy("_k").agg(
-        F.max(F.when(F.col("_i") == F.floor(F.col("n") * 0.25), F.col("x"))).alias("q1"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("n") * 0.75), F.col("x"))).alias("q3"))
-    j = n.join(qs, "_k", "left")
-    small = F.col("n") < 4
-    q1 = F.when(small, F.lit(0.0)).otherwise(F.col("q1"))
-    q3 = F.when(small, F.lit(0.0)).otherwise(F.col("q3"))
-    return j.select("n", q1.alias("q1"), q3.alias("q3"),
-                    F.when(small, F.lit(0.0)).otherwise(q1 - iqr_mult * (q3 - q1)).alias("lower"),
-                    F.when(small, F.lit(0.0)).otherwise(q3 + iqr_mult * (q3 - q1)).alias("upper"))
+    n = idx.count()  # read from the checkpointed index
+    if n < 4:
+        return {"n": n, "q1": 0.0, "q3": 0.0, "lower": 0.0, "upper": 0.0}
+    i1, i3 = int(n * 0.25), int(n * 0.75)
+    r = idx.where(F.col("_i").isin(i1, i3)).agg(
+        F.max(F.when(F.col("_i") == i1, F.col("x"))).alias("q1"),
+        F.max(F.when(F.col("_i") == i3, F.col("x"))).alias("q3")).first()  # one row
+    q1, q3 = float(r["q1"]), float(r["q3"])
+    return {"n": n, "q1": q1, "q3": q3, "lower": q1 - iqr_mult * (q3 - q1), "upper": q3 + iqr_mult * (q3 - q1)}
 
 
 def cleaning_report(closed: DataFrame, duration_col: str = "duration_hours",
@@ -109,22 +102,20 @@ def cleaning_report(closed: DataFrame, duration_col: str = "duration_hours",
 
     ``closed`` has one row per completed case with the signed duration.
     "Below" outliers are counted only when the lower bound is positive.
+    Bounds are scalars; the counts are one aggregate (no joins).
     """
-    valid = closed.where(F.col(duration_col) >= 0)
-    b = index_quantile_bounds(valid, duration_col, iqr_mult).withColumn("_k", F.lit(1))
-    counts = closed.groupBy(F.lit(1).alias("_k")).agg(
+    d = F.col(duration_col)
+    b = index_quantile_bounds(closed.where(d >= 0), duration_col, iqr_mult)
+    below = (d < F.lit(b["lower"])) if b["lower"] > 0 else F.lit(False)
+    agg = closed.agg(
         F.count(F.lit(1)).alias("total_completed"),
-        F.sum(F.when(F.col(duration_col) >= 0, 1).otherwise(0)).cast("bigint").alias("valid_durations"),
-        F.sum(F.when(F.col(duration_col) < 0, 1).otherwise(0)).cast("bigint").alias("negative_duration_count"))
-    o = valid.withColumn("_k", F.lit(1)).join(F.broadcast(b.select("_k", "lower", "upper")), "_k").groupBy("_k").agg(
-        F.sum(F.when(F.col(duration_col) > F.col("upper"), 1).otherwise(0)).cast("bigint").alias("outliers_above_upper"),
-        F.sum(F.when((F.col("lower") > 0) & (F.col(duration_col) < F.col("lower")), 1).otherwise(0)).cast("bigint")
-        .alias("outliers_below_lower"))
-    j = counts.join(b, "_k").join(o, "_k", "left")
-    return j.select(
+        F.sum(F.when(d >= 0, 1).otherwise(0)).cast("bigint").alias("valid_durations"),
+        F.sum(F.when(d < 0, 1).otherwise(0)).cast("bigint").alias("negative_duration_count"),
+        F.sum(F.when((d >= 0) & below, 1).otherwise(0)).cast("bigint").alias("outliers_below_lower"),
+        F.sum(F.when((d >= 0) & (d > F.lit(b["upper"])), 1).otherwise(0)).cast("bigint").alias("outliers_above_upper"))
+    return agg.select(
         "total_completed", "valid_durations", "negative_duration_count",
-        F.round("q1", 2).alias("q1"), F.round("q3", 2).alias("q3"),
-        F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"),
+        *[F.round(F.lit(b[k]).cast("double"), 2).alias(k) for k in ("q1", "q3", "lower", "upper")],
         F.coalesce("outliers_below_lower", F.lit(0)).alias("outliers_below_lower"),
         F.coalesce("outliers_above_upper", F.lit(0)).alias("outliers_above_upper"),
         F.when(F.col("valid_durations") > 0,
@@ -139,15 +130,13 @@ def negative_samples(closed: DataFrame, order_col: str, duration_col: str = "dur
             .withColumn(duration_col, F.round(duration_col, 2)))
 
 
-def winsorize(df: DataFrame, value_col: str, bounds: DataFrame, enabled: bool = True) -> DataFrame:
-    """Clamp to [lower, upper] from a one-row bounds frame; off -> unchanged."""
+def winsorize(df: DataFrame, value_col: str, bounds: dict, enabled: bool = True) -> DataFrame:
+    """Clamp to [lower, upper] (scalars from :func:`index_quantile_bounds`); off -> unchanged."""
     if not enabled:
         return df.withColumn(f"{value_col}_capped", F.col(value_col))
-    b = bounds.select(F.lit(1).alias("_k"), "lower", "upper")
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(b), "_k")
-            .withColumn(f"{value_col}_capped", F.when(F.col(value_col).isNotNull(), F.least(
-                F.greatest(F.col(value_col), F.col("lower")), F.col("upper"))))
-            .drop("_k", "lower", "upper"))
+    x = F.col(value_col)
+    return df.withColumn(f"{value_col}_capped", F.when(x.isNotNull(), F.least(
+        F.greatest(x, F.lit(float(bounds["lower"]))), F.lit(float(bounds["upper"])))))
 
 
 def invalid_year_flags(df: DataFrame, ts_col: str, min_year: int = C.CLEANING_MIN_YEAR,
@@ -196,19 +185,19 @@ def domain_violations(df: DataFrame, rules: dict[str, object]) -> DataFrame:
 
 
 def run_summary(runs: DataFrame, issues: DataFrame) -> DataFrame:
-    """Totals over import runs plus issue counts by severity (three one-row aggregates)."""
-    t = runs.agg(
-        F.count(F.lit(1)).alias("total_import_runs"), F.sum("total_rows").cast("bigint").alias("total_rows"),
-        F.sum("imported_rows").cast("bigint").alias("imported_rows"),
-        F.sum("quarantined_rows").cast("bigint").alias("quarantined_rows"),
-        F.sum("error_rows").cast("bigint").alias("error_rows"),
-        F.sum("warning_count").cast("bigint").alias("warning_count")).withColumn("_k", F.lit(1))
-    i = issues.agg(
-        F.count(F.lit(1)).alias("issue_count"),
+    """Run totals and issue counts by severity in one aggregate over the union of both tables."""
+    run_cols = ["total_rows", "imported_rows", "quarantined_rows", "error_rows", "warning_count"]
+    r = runs.select(F.lit(1).alias("_run"), F.lit(0).alias("_issue"), F.lit(None).cast("string").alias("severity"),
+                    *[F.col(c).cast("bigint").alias(c) for c in run_cols])
+    i = issues.select(F.lit(0).alias("_run"), F.lit(1).alias("_issue"), "severity",
+                      *[F.lit(None).cast("bigint").alias(c) for c in run_cols])
+    u = r.unionByName(i)
+    return u.agg(
+        F.sum("_run").cast("bigint").alias("total_import_runs"),
+        *[F.sum(c).cast("bigint").alias(c) for c in run_cols],
+        F.sum("_issue").cast("bigint").alias("issue_count"),
         F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)).cast("bigint").alias("error_issues"),
-        F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).cast("bigint").alias("warning_issues"),
-    ).withColumn("_k", F.lit(1))
-    return t.join(i, "_k").drop("_k")
+        F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).cast("bigint").alias("warning_issues"))
 
 
 def issues_by_code(issues: DataFrame) -> DataFrame:

@@ -29,11 +29,13 @@ SELECT {r("(SELECT avg(is_delayed) FROM " + _COH + " AND is_delayed IS NOT NULL
 def train_summary(spark, sf_dir):
     """Delayed rate of the classification train split and median hours of the regression train split."""
     ds = _dataset(spark, sf_dir)
-    cls = D.cohort(ds, "is_delayed").where(F.col("split") == "train").agg(
-        F.avg("is_delayed").alias("delayed_rate")).withColumn("_k", F.lit(1))
-    reg = D.cohort(ds, "total_duration_hours").where(F.col("split") == "train").withColumn("_k", F.lit(1))
-    med = exact_quantiles(reg, ["_k"], "total_duration_hours", {"median_duration_hours": 0.5})
-    return cls.join(med, "_k").drop("_k")
+    cls = D.cohort(ds, "is_delayed").where(F.col("split") == "train").agg(F.avg("is_delayed").alias("delayed_rate"))
+    reg = D.cohort(ds, "total_duration_hours").where(F.col("split") == "train")
+    med = exact_quantiles(reg, [], "total_duration_hours", {"median_duration_hours": 0.5})
+    # two one-row results combined by union + aggregate (no join)
+    u = cls.unionByName(med, allowMissingColumns=True)
+    return u.agg(F.max("delayed_rate").alias("delayed_rate"), F.max("median_duration_hours").alias(
+        "median_duration_hours"))
 
 
 @register("prior_baseline_metrics", S.with_ctes(f"""
@@ -44,10 +46,11 @@ FROM {_COH} AND is_delayed IS NOT NULL AND split = 'validation'""", "dsx"))
 def prior_baseline_metrics(spark, sf_dir):
     """M3: the train class rate as the probability for every validation row; Brier (E5)."""
     coh = D.cohort(_dataset(spark, sf_dir), "is_delayed")
-    prior = coh.where(F.col("split") == "train").agg(F.avg("is_delayed").alias("prior")).withColumn("_k", F.lit(1))
-    val = coh.where(F.col("split") == "validation").withColumn("_k", F.lit(1)).join(F.broadcast(prior), "_k")
+    prior = coh.where(F.col("split") == "train").agg(F.avg("is_delayed").alias("prior")).first()["prior"]  # scalar
+    val = coh.where(F.col("split") == "validation")
     return val.groupBy(F.lit("validation").alias("split")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.avg((F.col("prior") - F.col("is_delayed")) ** 2).alias("brier"))
+        F.count(F.lit(1)).alias("row_count"),
+        F.avg((F.lit(float(prior)) - F.col("is_delayed")) ** 2).alias("brier"))
 
 
 @register("median_baseline_metrics", S.with_ctes(f"""
