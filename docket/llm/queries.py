@@ -6,12 +6,14 @@ Every query reads whole tables with production parameters.  ``QUERIES`` and
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import langid, toxicity
+from docket.llm import langid, sentencepieces, toxicity
 from docket.llm.common import crc_mod
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.token_automaton import token_counts
 from docket.llm.topk import topk
 from docket.session import read_table
 
@@ -29,6 +31,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """Content of a public SentencePiece model (half a megabyte); it travels to the tasks with the code."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@register("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded, with its round trip and its parity with the sentencepiece library."""
+    return sentencepieces.verify(read_table(spark, sf_dir, "documents"), piece_model())
+
+
 @register("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learned from text and lang of the documents that are not held out."""
@@ -68,3 +82,9 @@ FROM d JOIN g ON d.t = g.t""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every whole text; the largest id of each group stays."""
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under piece_bpe_32k.model."""
+    return token_counts(read_table(spark, sf_dir, "documents"), piece_model(), limit=4096)
