@@ -40,6 +40,27 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % F.lit(n)
 
 
+#: Rows of two or three numbers that may be broadcast: at most about 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its checked size ``rows`` is small; a plain (shuffled) join side otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def lowest_hash(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """The ``n`` rows with the lowest hash of ``cols`` (ties by their values): a bounded sample that
+    depends on nothing but the rows.  A threshold on the hash thins the table first, so that
+    no task has to sort more than about twice the sample."""
+    top = 1 << 62
+    key = F.pmod(F.xxhash64(*cols), F.lit(top))
+    total = df.count()
+    if total > 2 * n:
+        df = df.filter(key < int(top * (2 * n / total)))
+    return df.orderBy(key, *cols).limit(n)
+
+
 def slices(batch: pa.RecordBatch, text_col: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into pieces of about ``chars`` bytes of text; a longer text stands alone."""
     n = batch.num_rows

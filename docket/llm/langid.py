@@ -13,17 +13,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import materialise, slices
+from docket.llm.common import lowest_hash, materialise, slices
 
 HIDDEN = 16
 PIECE = 24  # bytes read in one go; a longer word is read in pieces
 SAMPLE_DOCS = 2_000  # training documents per language, lowest hash of the id first
+LANGUAGES = 100  # the most frequent languages are learned
 SAMPLE_WORDS = 64  # words taken from each, evenly spread over its text
 STEPS, BATCH = 500, 1024
 WORDS_KEPT = 150_000  # words whose labels a task remembers at once
@@ -216,8 +218,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                         F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).drop("n")
+    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not names:
+        return None
+    parts = [lowest_hash(known.filter(F.col("lang") == x).select("doc_id", "lang"), SAMPLE_DOCS, "doc_id") for x in names]
+    chosen = reduce(DataFrame.unionByName, parts)
     # bounded: SAMPLE_DOCS ids a language
     sample = known.join(F.broadcast(materialise(chosen, "lang-sample")), ["doc_id", "lang"], "left_semi")
     words = sample.select("lang", "text").mapInArrow(_spread, "lang string, word binary, n bigint")

@@ -10,9 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import langid, sentencepieces, toxicity
+from docket.llm import langid, mixing, secrets, sentencepieces, toxicity
 from docket.llm.common import crc_mod
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.line_dedup import dedup_lines
+from docket.llm.ngram_join import jaccard_components
 from docket.llm.token_automaton import token_counts
 from docket.llm.topk import topk
 from docket.session import read_table
@@ -21,6 +23,10 @@ QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Wanted token shares of the domains (languages) in the mix.
+MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -61,6 +67,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@register("op4_ngram_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id
+FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all whole texts: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 @register("op5_topk_search", """
 WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
@@ -88,3 +110,45 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under piece_bpe_32k.model."""
     return token_counts(read_table(spark, sf_dir, "documents"), piece_model(), limit=4096)
+
+
+@register("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: the rules' spans and those that the network adds."""
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
+
+@register("op7_line_dedup", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM l),
+e AS (SELECT doc_id, line, array_to_string(ws, ' ') AS s, ws, len(ws) AS n, doc_id * 10000000 + line AS at FROM w WHERE len(ws) >= 5),
+d AS (SELECT s, any_value(ws) AS ws, any_value(n) AS n, min(at) AS first FROM e GROUP BY s),
+v AS (SELECT first, -1 AS pos, s AS v FROM d
+      UNION ALL
+      SELECT first, p AS pos, array_to_string(list_concat(ws[1:p], ws[p + 2:]), ' ') AS v
+      FROM (SELECT first, ws, unnest(range(n)) AS p FROM d)),
+near AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.v = b.v AND b.first < a.first AND (a.pos = b.pos OR a.pos = -1 OR b.pos = -1)),
+gone AS (SELECT e.doc_id, e.line, CASE WHEN e.at <> d.first THEN 'exact' ELSE 'near' END AS why
+         FROM e JOIN d ON e.s = d.s LEFT JOIN near ON near.first = d.first WHERE e.at <> d.first OR near.first IS NOT NULL),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (why = 'exact') AS n_exact, count(*) FILTER (why = 'near') AS n_near,
+             coalesce(string_agg(body, chr(10) ORDER BY l.line) FILTER (why IS NULL), '') AS clean
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+       sha256(coalesce(clean, '')) AS clean_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text that repeat an earlier line or are one word edit away from one."""
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    text = F.col("row.text")
+    return out.select(F.col("row.doc_id").alias("doc_id"),
+                      F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint").alias("n_lines"), "n_exact", "n_near",
+                      F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
+@register("op10_source_mixing")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rates whose expected domain tokens have the wanted shares and the natural total."""
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs, MIX_WEIGHTS, total="natural").drop("th")

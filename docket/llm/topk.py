@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.common import materialise
+from docket.llm.common import lowest_hash, materialise
 
 PIVOTS = 64
 SAMPLE = 4096  # rows the pivots are fitted on
@@ -250,7 +250,7 @@ def topk(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
     if not total:
         return empty
     dim = max(1, dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = lowest_hash(rows, SAMPLE, "vec_id").toArrow()
     centres = fit_pivots(_dense(sample.column("v"), dim).astype(np.float64), pivots)
 
     keyed = rows.mapInArrow(_keyed(centres, dim), "vec_id bigint, pivot int, dist double, vec binary")

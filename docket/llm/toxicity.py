@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import id_and_text, materialise, slices
+from docket.llm.common import id_and_text, lowest_hash, materialise, slices
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(n) < 2:
         share = 1.0 if 1 in n else 0.0
         return Model(np.zeros(BUCKETS, dtype=np.float32), 500.0 if share else -500.0)
-    pick = [lab.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[c]) for c in (0, 1)]
+    pick = [lowest_hash(lab.filter(F.col("label") == c), SAMPLE[c], "doc_id") for c in (0, 1)]
     # bounded by SAMPLE: 18,000 rows of two numbers
     train = (id_and_text(docs, id_col, text_col).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
              .select("label", F.coalesce("text", F.lit("")).alias("text")))
@@ -190,6 +190,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Every row is scored on its own, so repeated rows and ids stay as they are;
     whole texts of any length are read; other columns are ignored.
     """
+    return _scored(id_and_text(docs, id_col, text_col), "text", model, ["doc_id"])
+
+
+def flag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row`` (struct of all columns of ``docs``), ``score``, ``predicted``; otherwise as ``score``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _scored(rows, "text", model, ["row"])
+
+
+def _scored(rows: DataFrame, text_col: str, model: Model, keep: list[str]) -> DataFrame:
     kept = np.flatnonzero(model.weight)
     small = (kept, model.weight[kept], model.bias)  # at most FEATURES numbers travel to the tasks
 
@@ -198,9 +208,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         weight[small[0]] = small[1]
         local = Model(weight, small[2])
         for b in batches:
-            for piece in slices(b):
-                s = local.scores(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
-                                                 ["doc_id", "score", "predicted"])
+            for piece in slices(b, text_col):
+                s = local.scores(piece.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
+                                                 [*keep, "score", "predicted"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
