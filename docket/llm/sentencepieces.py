@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from docket.llm import spm_model as S
 from docket.llm.common import id_and_text, slices
 
 THREADS = 2
+WORDS_KEPT = 1_000_000  # words a task remembers at once
 HIDDEN = "\U0010fffe"  # noncharacter: keeps control pieces from matching text
 
 
@@ -60,22 +64,95 @@ def build(data: bytes):
     return tok
 
 
-_built: dict[bytes, object] = {}
+class Encoder:
+    """Batch encoder that remembers pieces of text.
 
+    Where no vocabulary piece reaches from a word into the next marker or over a line break, and
+    the normaliser only places markers, every word (with the spaces before it) and every line break is encoded on its own:
+    equal words of a task are encoded once, and the ids of a text are put
+    together from them.  Other models encode whole texts.
+    """
+
+    def __init__(self, data: bytes, threads: int = THREADS):
+        self.tokenizer, self.data, self.threads = build(data), data, threads
+        m = S.parse(data)
+        plain = not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix
+        whole = all(a == S.SPACE or b != S.SPACE for p, _, _ in m.pieces for a, b in zip(p, p[1:], strict=False))
+        breaks = not any("\n" in p for p, _, t in m.pieces if t == S.NORMAL)
+        self.by_word = plain and whole and breaks and m.byte_fallback
+        if self.by_word:
+            from tokenizers import normalizers
+
+            self.words = build(data)
+            self.words.normalizer = normalizers.Replace(" ", S.SPACE)
+            gap = " " + S.SPACE  # a marker in the text itself counts as a space
+            self.cut = re.compile(f"[{gap}]+[^{gap}\n]*|\n|[^{gap}\n]+")
+            self.reset()
+
+    def reset(self):
+        self.index: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.same = np.empty(0, dtype=bool)  # whether the library gives a word the same ids
+
+    @cached_property
+    def library(self):
+        import sentencepiece
 
-def _backend(data: bytes, threads: int):
-    """One backend a worker process, kept between tasks; thread count is set before the library starts its pool."""
-    key = hashlib.sha256(data).digest()
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
+    def learn(self, words: list[str], verify: bool):
+        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))])
+        self.same = np.concatenate([self.same, self.agrees(words, ids) if verify else np.zeros(len(words), dtype=bool)])
+
+    def agrees(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
+        """Compare with the library, which puts a marker before a text: here before a line break, whose two ids are left out."""
+        want = self.library.encode(["\n" + w for w in words], num_threads=self.threads)
+        return np.fromiter((x == y[2:] for x, y in zip(ids, want, strict=True)), dtype=bool, count=len(words))
+
+    def encode(self, texts: list[str], verify: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of every text and, if asked for, whether the sentencepiece library gives the same."""
+        if not self.by_word:
+            ids = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            want = self.library.encode(texts, num_threads=self.threads) if verify else ids
+            return ids, np.array([x.tolist() == list(y) for x, y in zip(ids, want, strict=True)], dtype=bool)
+        cut = [self.cut.findall(" " + t) if t else [] for t in texts]
+        new = list({w for c in cut for w in c if w not in self.index})
+        if len(self.index) + len(new) > WORDS_KEPT:  # start afresh; a single batch may hold more
+            self.reset()
+            new = list({w for c in cut for w in c})
+        if new:
+            self.learn(new, verify)
+        size = [len(c) for c in cut]
+        at = np.fromiter((self.index[w] for c in cut for w in c), dtype=np.int64, count=sum(size))
+        n = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else self.flat[:0]
+        bounds = ends[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+        wrong = np.concatenate([[0], np.cumsum(~self.same[at])])[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.diff(wrong) == 0
+
+
+_built: dict[bytes, Encoder] = {}
+
+
+def _backend(data: bytes, threads: int, verify: bool = False) -> Encoder:
+    """One encoder a worker process, kept between tasks; thread count is set before the library starts its pool."""
+    key = hashlib.sha256(data).digest() + bytes([verify])
     if key not in _built:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         _built.clear()
-        _built[key] = build(data)
+        _built[key] = Encoder(data, threads)
     return _built[key]
 
 
-def _id_column(rows: list[list[int]]) -> pa.Array:
+def _id_column(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.empty(0, dtype=np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
@@ -88,11 +165,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _backend(model, threads)
+        encoder = _backend(model, threads)
         for b in batches:
             for piece in slices(b):
                 texts = piece.column("text").to_pylist()
-                ids = _id_column([e.ids for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)])
+                ids = _id_column(encoder.encode([t or "" for t in texts])[0])
                 null = pa.array([t is None for t in texts])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pc.if_else(null, pa.scalar(None, ids.type), ids)], ["doc_id", "ids"])
 
@@ -103,7 +180,7 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     """``doc_id, text`` from ids; NULL ids give a NULL text, no ids the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _backend(model, threads)
+        tok = _backend(model, threads).tokenizer
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -116,32 +193,32 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     return rows.mapInArrow(run, "doc_id bigint, text string")
 
 
-def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:
+def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS,
+           with_ids: bool = False) -> DataFrame:
     """Encode, decode and compare every row with the sentencepiece library, in one pass over the text.
 
     ``doc_id, n_tokens, ids_sha256`` (of the ids as little-endian 32-bit integers),
     ``decoded_sha256`` (of the decoded text in UTF-8), ``round_trip`` (decoded
-    text equals the text) and ``parity`` (the library gives the same ids).  A
-    NULL text counts as empty.
+    text equals the text) and ``parity`` (the library gives the same ids; where words are encoded
+    one by one, every distinct word is held against it, as no piece reaches across);
+    ``with_ids`` adds ``ids array<int>``.  A NULL text counts as empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        tok = _backend(model, threads)
-        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        encoder = _backend(model, threads, verify=True)
         for b in batches:
             for piece in slices(b):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
-                ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-                back = tok.decode_batch(ids, skip_special_tokens=False)
-                want = library.encode(texts, num_threads=threads)
+                found, same = encoder.encode(texts, verify=True)
+                ids = [x.tolist() for x in found]
+                back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
+                extra = [_id_column(found)] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([hashlib.sha256(np.array(x, dtype="<i4").tobytes()).hexdigest() for x in ids]),
+                     pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]),
                      pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]),
-                     pa.array([a == t for a, t in zip(back, texts, strict=True)]), pa.array([a == w for a, w in zip(ids, want, strict=True)])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
+                     pa.array([a == t for a, t in zip(back, texts, strict=True)]), pa.array(same), *extra],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean")
+        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids)
