@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import materialise, slices
+from docket.llm.common import materialise, sized, slices
 from docket.llm.hashing import M1, M2, RangeHash, mix, signed, word_cache
 
 MIN_WORDS = 5
@@ -135,47 +135,51 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     keyed = _keyed(docs, id_col, text_col).filter("text IS NOT NULL")
-    lines = materialise(keyed.mapInArrow(_lines(min_words), LINE_SCHEMA), "lines")
-    place = F.struct(*ROW)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
-    multi = distinct.filter("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
+    lines = materialise(keyed.mapInArrow(_lines(min_words), LINE_SCHEMA), "lines").select("h1", "h2", F.struct(*ROW).alias("me"), "halves")
+    # repeated lines: counted first, so that only they are looked at by place
+    many = _stored(lines.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "repeated")
+    firsts = _stored(lines.join(many, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("me").alias("first")), "firsts")
+    gone = (lines.join(firsts, ["h1", "h2"]).filter(~F.col("me").eqNullSafe(F.col("first"))).select("me", F.lit("exact").alias("why")))
     if near:
-        distinct = materialise(distinct, "distinct-lines")
-        multi = distinct.filter("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
-        gone = near_lines(keyed, distinct)
-        gone = distinct.join(gone, (distinct["first.doc_id"].eqNullSafe(gone["doc_id"])) & (distinct["first.th"] == gone["th"])
-                             & (distinct["first.line"] == gone["line"])).select("h1", "h2", "first", F.lit(True).alias("near"))
-        multi = multi.unionByName(gone).groupBy("h1", "h2").agg(F.any_value("first").alias("first"), F.max("near").alias("near"))
-    # every occurrence but the first goes; of a line with an earlier near one all go
-    out = lines.select("h1", "h2", *ROW).join(multi, ["h1", "h2"])
-    repeated = ~F.struct(*ROW).eqNullSafe(F.col("first"))
-    return (out.filter(F.col("near") | repeated)
-            .select(*ROW, F.when(repeated, "exact").otherwise("near").alias("why")).distinct())
-
-
-def near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Places of the distinct lines that have an earlier line within one edit."""
-    halves = distinct.select(F.explode("halves").alias("half"), "first")
-    shared = halves.groupBy("half").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low != high").select("half")
-    wanted = (halves.join(shared, "half").select("first.*").groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted")))
-    rows = keyed.join(wanted, _same(keyed, wanted, ["doc_id", "th"])).select(keyed["doc_id"], keyed["th"], "text", "wanted").dropDuplicates(["doc_id", "th"])
-    bodies = materialise(rows.mapInArrow(_pick, "doc_id bigint, th bigint, line int, body string"), "half-sharing-lines")
+        doomed = _stored(near_lines(keyed, lines, firsts), "near-lines")
+        # all occurrences of a line with an earlier near one go; repeats are in already
+        gone = gone.unionByName(doomed.select("me", F.lit("near").alias("why")))
+    return gone.select("me.*", "why").distinct()
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written, with a broadcast hint if it turned out small."""
+    out = materialise(df, tag)
+    return sized(out, out.count())
+
+
+def near_lines(keyed: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Places ``me`` of first occurrences that have an earlier line within one edit."""
+    halves = lines.select(F.explode("halves").alias("half"), "h1")
+    shared = _stored(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half"), "shared-halves")
+    rows = lines.join(firsts, ["h1", "h2"], "left").filter(F.col("first").isNull() | F.col("me").eqNullSafe(F.col("first")))
+    rows = rows.select("me", F.explode("halves").alias("half")).join(shared, "half", "left_semi")
+    wanted = materialise(rows.select("me.*").groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted")), "wanted")
+    size = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    texts = (keyed.join(sized(wanted, size), _same(keyed, wanted, ["doc_id", "th"])).select(keyed["doc_id"], keyed["th"], "text", "wanted"))
+    bodies = materialise(texts.mapInArrow(_pick, "doc_id bigint, th bigint, line int, body string"), "half-sharing-lines").dropDuplicates(ROW)
 
     variants = materialise(bodies.mapInArrow(_variants, "v1 bigint, v2 bigint, pos int, doc_id bigint, th bigint, line int"), "variants")
     variants = variants.select("v1", "v2", "pos", F.struct(*ROW).alias("me"))
-    same_place = variants.groupBy("v1", "v2", "pos").agg(F.min("me").alias("twin"), F.count("*").alias("n"))
-    groups = (same_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("pos") == -1, F.col("twin"))).alias("whole"),
-                                                 F.min(F.when(F.col("pos") >= 0, F.col("twin"))).alias("shortened"), F.sum("n").alias("n"))
-              .filter("n > 1").drop("n"))
-    small = variants.join(groups, ["v1", "v2"])
-    small = small.join(same_place.drop("n"), ["v1", "v2", "pos"])
+    # keys of one line alone cannot match anything
+    several = _stored(variants.groupBy("v1", "v2").count().filter("count > 1").select("v1", "v2"), "shared-variants")
+    variants = variants.join(several, ["v1", "v2"])
+    same_place = materialise(variants.groupBy("v1", "v2", "pos").agg(F.min("me").alias("twin")), "twins")
+    groups = same_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("pos") == -1, F.col("twin"))).alias("whole"),
+                                                F.min(F.when(F.col("pos") >= 0, F.col("twin"))).alias("shortened"))
+    small = variants.join(groups, ["v1", "v2"]).join(same_place, ["v1", "v2", "pos"])
     # a variant may match its twin (same position) or a whole line; a whole line may match another's variant
     options = F.when(F.col("pos") == -1, F.array("shortened")).otherwise(F.array("twin", "whole"))
     pairs = (small.select("me", F.explode(options).alias("other")).filter("other IS NOT NULL AND other < me").distinct())
     own = bodies.select(F.struct(*ROW).alias("me"), "body")
     full = (pairs.join(own, "me").join(own.select(F.col("me").alias("other"), F.col("body").alias("other_body")), "other")
             .select("me.*", "body", F.col("other_body").alias("other")))
-    return full.mapInArrow(_verify, "doc_id bigint, th bigint, line int").distinct()
+    return full.mapInArrow(_verify, "doc_id bigint, th bigint, line int").select(F.struct(*ROW).alias("me")).distinct()
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +201,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; columns keep their names inside ``row``, so none can clash.
     Texts of any length are read whole.
     """
-    gone = (line_drops(docs, id_col, text_col, min_words, near).groupBy("doc_id", "th")
+    gone = (materialise(line_drops(docs, id_col, text_col, min_words, near), "dropped-lines").groupBy("doc_id", "th")
             .agg(F.collect_list("line").alias("gone"), F.sum(F.when(F.col("why") == "exact", 1).otherwise(0)).alias("n_exact"),
                  F.sum(F.when(F.col("why") == "near", 1).otherwise(0)).alias("n_near")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
