@@ -94,6 +94,7 @@ DEFAULT_THRESHOLD = 0.35
 THRESHOLD_CUTS = 17            # 0.10, 0.15, ..., 0.90
 THRESHOLD_START = 0.10
 THRESHOLD_STEP = 0.05
+IDLE_THRESHOLD = 0.5           # when no cut reaches a positive F1
 LOGIT_EPS = 1e-15
 IQR_MULTIPLIER = 1.5
 CLEANING_MIN_YEAR = 2020
@@ -107,6 +108,14 @@ HISTORY_LIMIT = 50
 SIMILAR_K = 5
 PERMUTATION_REPEATS = 5
 
+# Hyper-parameter grids (settings without a counterpart in the fitted library are left out).
+SEARCH_SPACES = {
+    "logreg": {"C": [0.1, 0.5, 1.0, 5.0, 10.0]},
+    "gbt": {"learning_rate": [0.01, 0.05, 0.1, 0.2], "max_iter": [100, 200, 300], "max_depth": [3, 5, 7, None], "min_samples_leaf": [10, 20, 50]},
+    "rf": {"n_estimators": [100, 200, 300], "max_depth": [5, 10, 20, None], "min_samples_leaf": [1, 5, 10], "max_features": ["sqrt", "log2", 0.5]},
+    "enet": {"alpha": [0.01, 0.1, 0.5, 1.0, 5.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]},
+}
+
 # What-if override ranges (inclusive).
 OVERRIDE_RANGES = {
     "open_month": (1, 12),

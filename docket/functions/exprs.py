@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docket import config as C
 
 __all__ = [
-    "blank_to_null", "is_blank", "parse_ts", "ts_parse_failed", "hours_between", "ts_lit",
+    "strip", "blank_to_null", "is_blank", "parse_ts", "ts_parse_failed", "hours_between", "ts_lit",
     "iso_text", "canonical_code_rule", "norm_value", "fingerprint", "calendar_features",
     "sla_hours", "is_delayed", "duration_hours", "split_label", "risk_score", "risk_level",
     "delay_decision", "clamp_hours", "prob_interval", "hours_interval", "elapsed_hours", "logit",
@@ -23,10 +23,20 @@ __all__ = [
 ]
 
 
+#: Characters that count as white space at the ends of a text.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
+
+
 def ts_lit(value: _dt.datetime) -> Column:
     """A TIMESTAMP_NTZ literal."""
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
@@ -34,12 +44,12 @@ def ts_lit(value: _dt.datetime) -> Column:
 
 # --- P1 ---------------------------------------------------------------------
 def blank_to_null(c: Column | str) -> Column:
-    """trim, then '' -> NULL."""
-    return F.nullif(F.trim(_c(c)), F.lit(""))
+    """strip, then '' -> NULL."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.coalesce(F.trim(_c(c)) == "", F.lit(True))
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 # --- P2 ---------------------------------------------------------------------
@@ -55,7 +65,7 @@ def parse_ts(c: Column | str) -> Column:
     refused although Spark's cast accepts them (shape guard).  Use
     :func:`ts_parse_failed` to tell blank from garbage.
     """
-    t = F.trim(_c(c))
+    t = strip(c)
     basic = F.regexp_replace(t, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
     no_zone = F.regexp_replace(t, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
     return (
@@ -88,7 +98,7 @@ def iso_text(c: Column | str) -> Column:
 # --- P3 ---------------------------------------------------------------------
 def canonical_code_rule(raw: Column | str) -> Column:
     """snake_case code for a raw catalog label ('&' and '/' read as 'and')."""
-    t = F.lower(F.trim(_c(raw)))
+    t = F.lower(strip(raw))
     t = F.regexp_replace(t, "[&/]", " and ")
     t = F.regexp_replace(t, "[^a-z0-9]+", "_")
     return F.regexp_replace(t, "^_+|_+$", "")
@@ -100,7 +110,7 @@ def norm_value(c: Column | str, is_timestamp: bool = False) -> Column:
     col = _c(c)
     if is_timestamp:
         return F.coalesce(iso_text(col), F.lit(C.NULL_TOKEN))
-    t = F.trim(col.cast("string"))
+    t = strip(col.cast("string"))
     return F.when(col.isNull(), F.lit(C.NULL_TOKEN)).when(t == "", F.lit(C.EMPTY_TOKEN)).otherwise(t)
 
 

@@ -77,6 +77,31 @@ def snapshot_features(parsed: DataFrame) -> DataFrame:
     )
 
 
+def scoring_features(snapshots: DataFrame, snapshot_type: str = C.SNAPSHOT_TYPE) -> DataFrame:
+    """P10-P13 as scoring sees them: every opening snapshot, whatever its schema version.
+
+    An absent category key reads as ``missing``; only malformed JSON or an unusable created_at is an
+    error.  Output: external_id, 10 features, ``has_sla`` (1 when a deadline
+    text is there, also for a negative SLA), ``feature_error`` (NULL when usable).
+    """
+    s = snapshots.where(F.col("snapshot_type") == snapshot_type).select("external_id", "input_json")
+    keys = F.json_object_keys("input_json")
+    s = s.withColumns({"snap": F.from_json("input_json", SNAPSHOT_JSON_SCHEMA), "keys": keys})
+    created, deadline = X.parse_ts(F.col("snap.created_at")), X.parse_ts(F.col("snap.deadline"))
+    error = (F.when(F.col("keys").isNull(), F.lit("malformed input_json"))
+             .when(created.isNull(), F.lit("created_at missing or unparseable")))
+    s = s.withColumn("feature_error", error)
+    ok = F.col("feature_error").isNull()
+    raw = {
+        **{c: F.when(F.array_contains("keys", c), F.col(f"snap.{c}")).otherwise(F.lit(C.MISSING_CODE))
+           for c in C.CATEGORICAL_FEATURES},
+        **X.calendar_features(created),
+        "sla_duration_hours": X.sla_hours(created, deadline),
+    }
+    return s.select("external_id", *[F.when(ok, raw[c]).alias(c) for c in C.ALL_FEATURES],
+                    F.when(ok, (~X.is_blank("snap.deadline")).cast("int")).alias("has_sla"), "feature_error")
+
+
 def build_dataset(snapshots: DataFrame, processes: DataFrame, splits: Splits = C.REFERENCE_SPLITS,
                   cutoff: _dt.datetime = C.REFERENCE_CUTOFF,
                   schema_version: str = C.FEATURE_SCHEMA_VERSION) -> DataFrame:
@@ -162,13 +187,17 @@ def dataset_fingerprint(dataset: DataFrame, target: str, cutoff: _dt.datetime,
                         mapping_version: str = C.CANONICAL_MAPPING_VERSION) -> DataFrame:
     """Order-independent SHA-256 over features + target + versions + cutoff + count.
 
-    Each row hashes to a 64-bit value (xxhash64 over id, features, target);
-    the hashes are summed exactly as decimal(38,0) (a sum, not xor, so
-    duplicate rows do not cancel) and combined with the metadata text.  One
-    partial+final aggregate; insensitive to row order and partitioning.
+    Each row becomes one text of length-prefixed values (so that a NULL and a
+    shifted value differ), whose first 15 SHA-256 hex digits are summed exactly as
+    decimal(38,0) (a sum, not xor, so duplicate rows do not cancel) and
+    combined with the metadata text.  One partial+final aggregate;
+    insensitive to row order and partitioning.
     """
     cols = ["external_id", *C.ALL_FEATURES, target]
-    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    fractional = ("sla_duration_hours", "total_duration_hours")
+    text = [F.round(F.col(c) * 3.6e9).cast("bigint").cast("string") if c in fractional else F.col(c).cast("string") for c in cols]
+    row = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+    h = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     meta = f"{schema_version}|{mapping_version}|{cutoff.isoformat()}|{','.join(C.ALL_FEATURES)}|{target}"
     agg = cohort(dataset, target).agg(F.count(F.lit(1)).alias("row_count"), F.sum(h).alias("hash_sum"))
     return agg.select(

@@ -11,20 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket import config as C
+from docket.functions import exprs as X
 from docket.operators import metrics as M
 
 
-def live_cases(processes: DataFrame, dataset: DataFrame, scores: DataFrame) -> DataFrame:
-    """Closed SLA cases left-joined to their opening snapshot row and score.
+def live_cases(processes: DataFrame, features: DataFrame, scores: DataFrame) -> DataFrame:
+    """Closed SLA cases left-joined to their opening snapshot and score.
 
-    ``outcome`` = skipped (no current opening snapshot) / failed (snapshot
-    unusable, scoring would fail) / ok.  ``y`` = completed after deadline.
+    ``features``: :func:`docket.operators.dataset.scoring_features`.
+    ``outcome`` = skipped (no opening snapshot) / failed (snapshot unusable,
+    scoring would fail) / ok.  A case without a score keeps p NULL, which
+    :func:`live_evaluation` counts as a failure.  ``y`` = completed after deadline.
     """
     closed = processes.where(F.col("completed_at").isNotNull() & F.col("deadline").isNotNull()).select(
         "external_id", (F.col("completed_at") > F.col("deadline")).cast("int").alias("y"),
         F.year("completed_at").cast("string").alias("evaluated_at"))
-    snap = dataset.select("external_id", F.lit(1).alias("_has"), F.col("schema_error").isNotNull().alias("_bad"))
-    j = closed.join(snap, "external_id", "left").join(scores, "external_id", "inner")
+    snap = features.select("external_id", F.lit(1).alias("_has"), F.col("feature_error").isNotNull().alias("_bad"))
+    j = closed.join(snap, "external_id", "left").join(scores, "external_id", "left")
     outcome = F.when(F.col("_has").isNull(), "skipped").when(F.col("_bad"), "failed").otherwise("ok")
     return j.withColumn("outcome", outcome).drop("_has", "_bad")
 
@@ -75,7 +78,7 @@ def feedback_rules(requests: DataFrame, max_len: int = C.FEEDBACK_COMMENT_MAX) -
 
     Adds ``comment_clean`` and ``reject_code`` (NULL when valid).
     """
-    clean = F.nullif(F.trim(F.col("comment")), F.lit(""))
+    clean = X.blank_to_null("comment")
     code = (F.when(~F.col("feedback_type").isin(*C.FEEDBACK_TYPES) | F.col("feedback_type").isNull(),
                    F.lit("INVALID_FEEDBACK_TYPE"))
             .when(F.length("comment") > max_len, F.lit("COMMENT_TOO_LONG"))
@@ -130,12 +133,13 @@ def override_rules(scenarios: DataFrame, options: DataFrame) -> DataFrame:
 
     ``scenarios``: scenario_id, base_prediction_id, process_id and one nullable
     column per feature override.  ``options``: (column, code) from :func:`known_values`.
-    Adds ``reject_code`` (first failing rule) and trims categorical overrides.
+    Adds ``reject_code`` (first failing rule).  Codes are taken as given: white
+    space around one makes it a code that is not allowed.
     """
-    s = scenarios.withColumns({c: F.trim(F.col(c)) for c in C.CATEGORICAL_FEATURES})
+    s = scenarios
     for c in C.CATEGORICAL_FEATURES:
         opt = options.where(F.col("column") == c).select(F.col("code").alias(f"_ok_{c}"))
-        s = s.join(F.broadcast(opt), s[c] == opt[f"_ok_{c}"], "left")
+        s = s.join(opt, s[c] == opt[f"_ok_{c}"], "left")
     bad_range = None
     for c, (lo, hi) in C.OVERRIDE_RANGES.items():
         cond = F.col(c).isNotNull() & ~F.col(c).between(lo, hi)
@@ -157,7 +161,8 @@ def scenario_merge(scenarios: DataFrame, predictions: DataFrame, features: DataF
     """J9 + X7: base prediction must be this process's successful opening prediction; the
     snapshot features are overridden where the scenario sets a value.
 
-    ``features``: process_id + the 10 opening features.  is_weekend is not
+    ``features``: process_id + the 10 opening features of usable snapshots
+    (:func:`docket.operators.dataset.scoring_features`).  is_weekend is not
     recomputed when the weekday changes (kept as in the reference, Q23);
     ``has_sla`` follows the effective SLA hours (Q6).
     """

@@ -75,9 +75,7 @@ def score_histogram(scored: DataFrame, group: Sequence[str]) -> DataFrame:
 def ranking_metrics(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     """E2 ROC-AUC (ties count 1/2; NULL with one class) and E3 average precision."""
     hist = score_histogram(scored, group)
-    pre = bucketed_prefix_sums(hist, group, "p", ["pos", "neg"])
-    tot = hist.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    j = pre.join(tot, list(group))  # one row per group on the right: small
+    j = bucketed_prefix_sums(hist, group, "p", ["pos", "neg"]).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
     # rows with score >= p: total minus strictly-below
     tp_at = F.col("n_pos") - F.col("pos_below")
     all_at = (F.col("n_pos") + F.col("n_neg")) - (F.col("pos_below") + F.col("neg_below"))
@@ -121,7 +119,8 @@ def regression_metrics(regressed: DataFrame, group: str = "split", sealed: Seque
 
 
 def threshold_table(scored: DataFrame, group: Sequence[str] = ("split",)) -> DataFrame:
-    """F1 at the 17 cuts 0.10..0.90; ``is_best`` marks max F1, lowest cut on ties.
+    """F1 at the 17 cuts 0.10..0.90; ``is_best`` marks max F1, lowest cut on ties,
+    and the cut of one half where no cut has a positive F1.
 
     Works on the score histogram: each distinct score contributes to the cuts
     it reaches (at most 17 rows per distinct score, no join).
@@ -139,7 +138,9 @@ def threshold_table(scored: DataFrame, group: Sequence[str] = ("split",)) -> Dat
     t = t.select(*group, "cut", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
                  _div(tp, tp + fp).alias("precision"), _div(tp, F.col("n_pos")).alias("recall"),
                  _div(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    w = Window.partitionBy(*group).orderBy(F.col("f1").desc(), F.col("cut").asc())  # 17 rows per group
+    # without any positive F1 the default cut of one half stands
+    idle = F.when((F.col("f1") == 0) & (F.abs(F.col("cut") - C.IDLE_THRESHOLD) < 1e-9), 0).otherwise(1)
+    w = Window.partitionBy(*group).orderBy(F.col("f1").desc(), idle, F.col("cut").asc())  # 17 rows per group
     return t.withColumn("is_best", (F.row_number().over(w) == 1).cast("int"))
 
 

@@ -34,7 +34,7 @@ def _processes(spark, sf_dir):
 
 
 def _scenarios(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    ev = read_table(spark, sf_dir, "events")
     u, v = F.col("user_id"), F.col("value")
     return ev.select(
         F.col("event_id").alias("scenario_id"), F.col("event_id").alias("base_prediction_id"),
@@ -50,13 +50,15 @@ def _scenarios(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    ds = D.build_dataset(V.snapshot_view(spark, sf_dir), V.process_view(spark, sf_dir), C.TEST_SPLITS, C.TEST_CUTOFF)
-    return ds.where(F.col("schema_error").isNull()).select(F.col("external_id").cast("long").alias("process_id"),
-                                                             *C.ALL_FEATURES)
+    # only snapshots of requested cases are parsed
+    asked = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("external_id")).distinct()
+    feats = D.scoring_features(V.snapshot_view(spark, sf_dir).join(asked, "external_id", "left_semi"))
+    return feats.where(F.col("feature_error").isNull()).select(F.col("external_id").cast("long").alias("process_id"),
+                                                                 *C.ALL_FEATURES)
 
 
 def _snapshots_fp(spark, sf_dir):
-    s = D.opening_snapshots(V.snapshot_view(spark, sf_dir))
+    s = V.snapshot_view(spark, sf_dir).where(F.col("snapshot_type") == C.SNAPSHOT_TYPE)
     return s.select(F.col("external_id").cast("long").alias("process_id"),
                     F.col("external_id").cast("long").alias("snapshot_id"),
                     F.sha2("input_json", 256).alias("input_fingerprint"))
@@ -142,7 +144,7 @@ sc AS (SELECT event_id AS scenario_id, event_id AS base_prediction_id, user_id A
               CASE WHEN user_id % 13 <> 0 THEN hour(ts) END AS open_hour,
               CASE WHEN user_id % 13 = 0 THEN NULL WHEN value > 480 THEN value * 200 ELSE value * 10 END
                 AS sla_duration_hours
-       FROM events WHERE event_type IN ('click', 'purchase')),
+       FROM events),
 opt AS (SELECT DISTINCT """ + S.code_sql("r_name") + """ AS code FROM region UNION SELECT 'missing' UNION SELECT 'unknown'),
 scv AS (SELECT sc.*,
           CASE WHEN source IS NULL AND open_weekday IS NULL AND open_hour IS NULL AND sla_duration_hours IS NULL
@@ -153,7 +155,7 @@ scv AS (SELECT sc.*,
                THEN 'OVERRIDE_OUT_OF_RANGE'
                WHEN source IS NOT NULL AND source NOT IN (SELECT code FROM opt) THEN 'OVERRIDE_NOT_ALLOWED' END AS rc
         FROM sc),
-fe AS (SELECT CAST(external_id AS BIGINT) AS process_id, * EXCLUDE (external_id) FROM dsx WHERE schema_error = 0),
+fe AS (SELECT CAST(external_id AS BIGINT) AS process_id, * EXCLUDE (external_id) FROM sfx WHERE feature_error = 0),
 bp AS (SELECT id, process_id AS bp_process, model_bundle_id FROM preds
        WHERE status = 'success' AND prediction_context = 'opening'),
 scm AS (SELECT scv.*, bp.model_bundle_id, fe.process_id IS NOT NULL AS has_snap,
@@ -166,7 +168,7 @@ scm AS (SELECT scv.*, bp.model_bundle_id, fe.process_id IS NOT NULL AS has_snap,
         FROM scv LEFT JOIN bp ON scv.base_prediction_id = bp.id LEFT JOIN fe ON scv.process_id = fe.process_id)"""
 
 
-@register("whatif_scenarios", S.with_ctes("", "preds", "dsx").rstrip() + "," + _SC_SQL + f"""
+@register("whatif_scenarios", S.with_ctes("", "preds", "sfx").rstrip() + "," + _SC_SQL + f"""
 SELECT scenario_id, process_id, base_prediction_id, model_bundle_id, m_source AS source, subject, reason, type,
        neighborhood, open_month, CAST(m_open_weekday AS BIGINT) AS open_weekday, CAST(m_open_hour AS BIGINT) AS open_hour,
        is_weekend, {r('m_sla')} AS sla_duration_hours,
@@ -180,7 +182,7 @@ def whatif_scenarios(spark, sf_dir):
     return out["merged"]
 
 
-@register("whatif_rejects", S.with_ctes("", "preds", "dsx").rstrip() + "," + _SC_SQL + """
+@register("whatif_rejects", S.with_ctes("", "preds", "sfx").rstrip() + "," + _SC_SQL + """
 SELECT scenario_id, process_id, reject_code FROM scm WHERE reject_code IS NOT NULL""")
 def whatif_rejects(spark, sf_dir):
     """P27 + J9: refused scenarios with the first failing rule."""
@@ -198,7 +200,7 @@ sn AS (SELECT o_orderkey AS process_id, o_orderkey AS snapshot_id,
               sha256(CASE WHEN o_orderkey % 97 = 13 THEN {_SNAP_JSON} || '}}'
                           WHEN o_orderkey % 89 = 7 THEN '{{bad json'
                           ELSE {_SNAP_JSON} || ',"neighborhood":' || to_json(neighborhood) || '}}' END) AS input_fingerprint
-       FROM pv WHERE NOT (o_orderkey % 83 = 5)),
+       FROM pv),
 pr AS (SELECT e.event_id AS id, e.user_id AS snapshot_id,
               CASE WHEN e.event_type IN ('click', 'view') THEN sn.input_fingerprint ELSE 'stale' END AS input_fingerprint
        FROM events e LEFT JOIN sn ON e.user_id = sn.process_id

@@ -138,7 +138,7 @@ m AS (SELECT split, cut, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAS
              CASE WHEN 2 * tp + fp + (n_pos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (n_pos - tp)) ELSE 0 END AS f1
       FROM t)
 SELECT split, {r('cut')} AS cut, tp, fp, fn, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1,
-       CAST(CASE WHEN row_number() OVER (PARTITION BY split ORDER BY f1 DESC, cut ASC) = 1 THEN 1 ELSE 0 END AS BIGINT)
+       CAST(CASE WHEN row_number() OVER (PARTITION BY split ORDER BY f1 DESC, CASE WHEN f1 = 0 AND abs(cut - 0.5) < 1e-9 THEN 0 ELSE 1 END, cut ASC) = 1 THEN 1 ELSE 0 END AS BIGINT)
          AS is_best
 FROM m""")
 def threshold_search(spark, sf_dir):
@@ -191,10 +191,10 @@ def time_folds(spark, sf_dir):
 _LIVE_SRC = """
 live AS (
   SELECT pv.external_id, CASE WHEN pv.completed_at > pv.deadline THEN 1 ELSE 0 END AS y,
-         CASE WHEN d.external_id IS NULL THEN 'skipped' WHEN d.schema_error = 1 THEN 'failed' ELSE 'ok' END AS outcome,
-         s.p, CAST(year(pv.completed_at) AS VARCHAR) AS evaluated_at
-  FROM pv LEFT JOIN dsx d ON pv.external_id = d.external_id
-  JOIN scored s ON pv.external_id = s.external_id
+         CASE WHEN d.external_id IS NULL THEN 'skipped' WHEN d.feature_error = 1 THEN 'failed' ELSE 'ok' END AS outcome,
+         CASE WHEN pv.o_orderkey % 71 = 3 THEN NULL ELSE s.p END AS p, CAST(year(pv.completed_at) AS VARCHAR) AS evaluated_at
+  FROM pv LEFT JOIN sfx d ON pv.external_id = d.external_id
+  LEFT JOIN scored s ON pv.external_id = s.external_id
   WHERE pv.completed_at IS NOT NULL AND pv.deadline IS NOT NULL)"""
 
 
@@ -202,16 +202,17 @@ def _live(spark, sf_dir):
     from docket.operators import interact as I
 
     pv = V.process_view(spark, sf_dir)
-    ds = D.build_dataset(V.snapshot_view(spark, sf_dir), pv, C.TEST_SPLITS, C.TEST_CUTOFF)
-    scores = _scored(spark, sf_dir).select("external_id", "p")
-    return I.live_cases(pv, ds, scores)
+    feats = D.scoring_features(V.snapshot_view(spark, sf_dir))
+    # cases 3 mod 71 have no probability (a failed score); all of them stay in the evaluation
+    p = F.when(F.col("external_id").cast("long") % 71 != 3, F.col("p"))
+    return I.live_cases(pv, feats, _scored(spark, sf_dir).select("external_id", p.alias("p")))
 
 
-@register("live_evaluation", S.with_ctes("", "pv", "dsx", "scored").rstrip() + "," + _LIVE_SRC + ", lv AS (SELECT * FROM "
-          "live WHERE outcome = 'ok')," + _conf_sql("lv", "1", C.DEFAULT_THRESHOLD).replace("GROUP BY 1", "") + "," +
+@register("live_evaluation", S.with_ctes("", "pv", "sfx", "scored").rstrip() + "," + _LIVE_SRC + ", lv AS (SELECT * FROM "
+          "live WHERE outcome = 'ok' AND p IS NOT NULL)," + _conf_sql("lv", "1", C.DEFAULT_THRESHOLD).replace("GROUP BY 1", "") + "," +
           _rank_sql("(SELECT 1 AS g, y, p FROM lv)", "g") + f"""
 SELECT (SELECT count(*) FROM live WHERE outcome = 'skipped') AS skipped_no_snapshot,
-       (SELECT count(*) FROM live WHERE outcome = 'failed') AS prediction_failures,
+       (SELECT count(*) FROM live WHERE outcome = 'failed' OR outcome = 'ok' AND p IS NULL) AS prediction_failures,
        cf.row_count AS total_evaluated, {_conf_cols('cf.')}, {r('rk.roc_auc')} AS roc_auc
 FROM cf, rk""")
 def live_evaluation(spark, sf_dir):
@@ -221,8 +222,8 @@ def live_evaluation(spark, sf_dir):
     return I.live_evaluation(_live(spark, sf_dir), C.DEFAULT_THRESHOLD)
 
 
-@register("evaluation_drift", S.with_ctes("", "pv", "dsx", "scored").rstrip() + "," + _LIVE_SRC + ", lv AS (SELECT * "
-          "FROM live WHERE outcome = 'ok')," + _conf_sql("lv", "evaluated_at", C.DEFAULT_THRESHOLD) + f""",
+@register("evaluation_drift", S.with_ctes("", "pv", "sfx", "scored").rstrip() + "," + _LIVE_SRC + ", lv AS (SELECT * "
+          "FROM live WHERE outcome = 'ok' AND p IS NOT NULL)," + _conf_sql("lv", "evaluated_at", C.DEFAULT_THRESHOLD) + f""",
 e AS (SELECT evaluated_at, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, brier FROM cf),
 d AS (SELECT evaluated_at, f1, brier, f1 - lag(f1) OVER (ORDER BY evaluated_at) AS f1_delta,
              brier - lag(brier) OVER (ORDER BY evaluated_at) AS brier_delta FROM e)
@@ -234,7 +235,7 @@ SELECT evaluated_at, {r('f1')} AS f1, {r('brier')} AS brier, {r('f1_delta')} AS
 FROM d""")
 def evaluation_drift(spark, sf_dir):
     """One evaluation per completion year; delta/direction of F1 and Brier vs the previous one."""
-    lv = _live(spark, sf_dir).where(F.col("outcome") == "ok")
+    lv = _live(spark, sf_dir).where((F.col("outcome") == "ok") & F.col("p").isNotNull())
     ev = M.confusion(lv, ["evaluated_at"], C.DEFAULT_THRESHOLD).select("evaluated_at", "f1", "brier")
     return M.drift(ev).select("evaluated_at", "f1", "brier", "f1_delta", "brier_delta", "f1_direction",
                               "brier_direction")

@@ -170,13 +170,13 @@ SELECT pv.external_id, pv.process_type, pv.current_status, pv.completed_at, pv.d
        d.source, d.reason,
        lp.id AS prediction_id, {r('lp.delay_probability')} AS delay_probability, CAST(lp.risk_score AS BIGINT) AS risk_score,
        lp.risk_level
-FROM pv LEFT JOIN dsx d ON pv.external_id = d.external_id
+FROM pv LEFT JOIN sfx d ON pv.external_id = d.external_id
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY process_id ORDER BY predicted_at DESC, id DESC) rn
-           FROM preds2 WHERE {_OK}) WHERE rn = 1) lp ON pv.o_orderkey = lp.process_id""", "pv", "dsx", "preds2"))
+           FROM preds2 WHERE {_OK}) WHERE rn = 1) lp ON pv.o_orderkey = lp.process_id""", "pv", "sfx", "preds2"))
 def process_detail(spark, sf_dir):
     """R1 + P22: opening features (from the snapshot) vs current fields vs latest prediction."""
     pv = V.process_view(spark, sf_dir)
-    feats = D.build_dataset(V.snapshot_view(spark, sf_dir), pv, C.TEST_SPLITS, C.TEST_CUTOFF).select(
+    feats = D.scoring_features(V.snapshot_view(spark, sf_dir)).select(
         "external_id", "open_month", "open_weekday", "open_hour", "is_weekend", "sla_duration_hours", "source", "reason")
     out = RP.process_detail(pv, feats, V.prediction_view(spark, sf_dir))
     return out.select(

@@ -145,6 +145,22 @@ dsx AS (
          CAST(CASE WHEN bad THEN 1 ELSE 0 END AS BIGINT) AS schema_error
   FROM ds)""")
 
+# Scoring features: any schema version, absent key -> missing; only malformed JSON (k%89=7, unless k%97=13) fails.
+CTES["sfx"] = (("pt",), """
+sfx AS (
+  SELECT external_id, o_orderkey,
+         CASE WHEN bad THEN NULL ELSE source END AS source, CASE WHEN bad THEN NULL ELSE subject END AS subject,
+         CASE WHEN bad THEN NULL ELSE reason END AS reason, CASE WHEN bad THEN NULL ELSE type END AS type,
+         CASE WHEN bad THEN NULL WHEN o_orderkey % 97 = 13 THEN 'missing' ELSE neighborhood END AS neighborhood,
+         CASE WHEN bad THEN NULL ELSE open_month END AS open_month,
+         CASE WHEN bad THEN NULL ELSE open_weekday END AS open_weekday,
+         CASE WHEN bad THEN NULL ELSE open_hour END AS open_hour,
+         CASE WHEN bad THEN NULL ELSE is_weekend END AS is_weekend,
+         CASE WHEN bad THEN NULL ELSE sla_duration_hours END AS sla_duration_hours,
+         CASE WHEN bad THEN NULL ELSE CAST(CASE WHEN deadline IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) END AS has_sla,
+         CAST(CASE WHEN bad THEN 1 ELSE 0 END AS BIGINT) AS feature_error
+  FROM (SELECT *, (o_orderkey % 97 <> 13 AND o_orderkey % 89 = 7) AS bad FROM pt))""")
+
 CTES["preds"] = ((), f"""
 preds AS (
   SELECT event_id AS id, user_id AS process_id, user_id AS snapshot_id,
