@@ -6,13 +6,14 @@ row).  The existing state is the ``processes`` table with its opening
 fingerprint.  One bad row never fails the file: errors become issue rows.
 
 Scale notes
-* The catalog is a configuration table; it is broadcast only after its row
-  count is checked (:func:`checked_broadcast`), otherwise joined normally.
-* Per-key logic never puts a whole key into one task: the key's first row
-  comes from a partial aggregate, and the "previous accepted fingerprint"
-  is a lag computed through a global row index and a self-join on that
-  unique index (:func:`index_lag`), so a key holding a third of all rows is
-  still spread over many tasks.
+* The catalog join is left to the optimizer, which sees the real size at run
+  time (a configuration table is broadcast, a large one is shuffled).
+* A key with very many rows does not need one task: its first row comes from
+  a partial aggregate and is stored with the key's state, the join of rows and
+  keys is a plain two-sided shuffle that the optimizer splits when skewed, and
+  the "previous accepted fingerprint" is a lag computed through a global row
+  index and a self-join on that unique index (:func:`index_lag`).
+* Validated rows and decisions are each written once per import.
 """
 
 from __future__ import annotations
@@ -26,24 +27,13 @@ from docket import config as C
 from docket.functions import exprs as X
 from docket.operators.ordering import global_index
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-ISSUE_SCHEMA = "import_run string, row_number long, column_name string, issue_code string, severity string, issue_message string"
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if its row count is within ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --- F1 -----------------------------------------------------------------------------
 def missing_required_columns(headers: DataFrame, required: Sequence[str] = C.REQUIRED_COLUMNS) -> DataFrame:
     """per file, required columns absent from its (stripped) header.
 
     ``headers``: (_file, columns array<string>).  Output: (_file, missing array).
     """
-    stripped = F.transform(F.col("columns"), lambda c: F.trim(c))
+    stripped = F.transform(F.col("columns"), lambda c: X.strip(c))
     return headers.select("_file", F.array_except(F.array(*[F.lit(c) for c in required]), stripped).alias("missing"))
 
 
@@ -93,14 +83,12 @@ def canonicalize(rows: DataFrame, catalog: DataFrame, columns: Sequence[str] = C
     """Per column, blank -> 'missing'; exact trimmed match -> code; else 'unknown'.
 
     Adds ``<col>_code`` and ``<col>_unknown`` (1 when non-blank and not in the
-    catalog).  Case-sensitive; never invents codes.  One broadcast of the
-    checked catalog per column, all in the same stage as the scan.
+    catalog).  Case-sensitive; never invents codes.
     """
     cat = catalog.select("column", F.col("raw").alias("_raw"), F.col("code").alias("_code"))
-    cat = checked_broadcast(cat)
     out = rows
     for c in columns:
-        trimmed = F.trim(_src(out, c))
+        trimmed = X.strip(_src(out, c))
         out = out.withColumn("_t", trimmed)
         m = cat.where(F.col("column") == c).select(F.col("_raw").alias(f"_raw_{c}"), F.col("_code").alias(f"_code_{c}"))
         out = out.join(m, out["_t"] == m[f"_raw_{c}"], "left")
@@ -166,13 +154,16 @@ def decide(valid: DataFrame, state: DataFrame, mapping_version: str = C.CANONICA
                                              F.min(order).alias("_first_pos"),
                                              F.count(F.lit(1)).alias("_n_rows"))
     st = state.select("external_id", F.lit(1).alias("_exists"), "e_opening_fp", "e_row_fp", "e_mapping_version")
-    j = valid.join(first, "external_id").join(st, "external_id", "left")
+    # one stored row per key, so that the join with the rows has two plain shuffles
+    # below it and a key with very many rows is split at run time
+    keys = first.join(st, "external_id", "left").checkpoint(eager=True)
+    j = valid.join(keys, "external_id")
     base = F.when(F.col("_exists") == 1, F.col("e_opening_fp")).otherwise(F.col("_first_fp"))
     j = j.withColumn("_base", base).withColumn("_on_base", F.coalesce(F.col("opening_fp") == F.col("_base"),
                                                                       F.lit(False)))
     # only keys delivered more than once can have an earlier row in this batch;
     # when none repeats (the usual delivery) the lag is skipped entirely
-    if first.where(F.col("_n_rows") > 1).limit(1).count():
+    if keys.where(F.col("_n_rows") > 1).limit(1).count():
         on = j.where(F.col("_on_base") & (F.col("_n_rows") > 1)).select("external_id", "_file_seq", "_row", "row_fp")
         lagged = index_lag(on, "external_id", ["_file_seq", "_row"], "row_fp", "_prev_in_batch").select(
             "external_id", "_file_seq", "_row", "_prev_in_batch")
@@ -219,12 +210,12 @@ def apply_outcomes(state: DataFrame, decided: DataFrame, run_version: str = C.CA
         F.col("o.completed_at").alias("n_completed_at"), F.col("o.current_status").alias("n_current_status"),
         F.col("o.closure_reason").alias("n_closure_reason"), F.col("o.row_fp").alias("n_row_fp"),
         F.col("o._file").alias("n_last_import"), F.lit(1).alias("_touched"))
-    full = state.join(upd, "external_id", "full_outer")
+    full = state.withColumn("_stored", F.lit(1)).join(upd, "external_id", "full_outer")
     t = F.col("_touched") == 1
     return full.select(
         "external_id",
         F.coalesce("created_at", "n_created_at").alias("created_at"),
-        F.when(F.col("e_row_fp").isNotNull(), F.col("deadline")).otherwise(F.col("n_deadline")).alias("deadline"),
+        F.when(F.col("_stored") == 1, F.col("deadline")).otherwise(F.col("n_deadline")).alias("deadline"),
         F.when(t, F.col("n_completed_at")).otherwise(F.col("completed_at")).alias("completed_at"),
         F.when(t, F.col("n_current_status")).otherwise(F.col("current_status")).alias("current_status"),
         F.when(t, F.col("n_closure_reason")).otherwise(F.col("closure_reason")).alias("closure_reason"),
@@ -260,12 +251,13 @@ def run_import(rows: DataFrame, state: DataFrame, catalog: DataFrame,
     v = validate_rows(rows).checkpoint(eager=True)
     ok = v.where(F.col("error_code").isNull())
     mapped = add_fingerprints(canonicalize(ok, catalog))
-    decided = decide(mapped, state, mapping_version)
+    # the decision is taken once; rows, issues, counters, state and snapshots all read it
+    decided = decide(mapped, state, mapping_version).checkpoint(eager=True)
     bad = v.where(F.col("error_code").isNotNull()).select(
         "_file", "_file_seq", "_row", "external_id", F.col("error_code").alias("decision"), "error_field")
     outcome = decided.select("_file", "_file_seq", "_row", "external_id", "decision",
                              F.lit(None).cast("string").alias("error_field")).unionByName(bad)
-    issues = row_issues(v, mapped, decided)
+    issues = row_issues(v, decided)
     counts = import_counts(outcome, issues)
     return {"rows": outcome, "issues": issues, "counts": counts, "decided": decided,
             "state": apply_outcomes(state, decided, mapping_version), "snapshots": new_snapshots(decided)}
@@ -285,13 +277,13 @@ def _msg(code_col: F.Column) -> F.Column:
     return F.concat(F.lit("row "), F.col("_row").cast("string"), F.lit(": "), m[code_col])
 
 
-def row_issues(validated: DataFrame, mapped: DataFrame, decided: DataFrame) -> DataFrame:
+def row_issues(validated: DataFrame, decided: DataFrame) -> DataFrame:
     """Issue rows (raw values never stored): F2 errors, F3 warnings, W4 errors."""
     errs = validated.where(F.col("error_code").isNotNull()).select(
         F.col("_file").alias("import_run"), F.col("_row").alias("row_number"), F.col("error_field").alias("column_name"),
         F.col("error_code").alias("issue_code"), F.lit("error").alias("severity"),
         _msg(F.col("error_code")).alias("issue_message"))
-    warn = mapped.select("_file", "_row", F.explode(F.filter(F.array(*[
+    warn = decided.select("_file", "_row", F.explode(F.filter(F.array(*[
         F.when(F.col(f"{c}_unknown") == 1, F.lit(c)) for c in C.CATEGORICAL_COLUMNS]), lambda x: x.isNotNull())
     ).alias("column_name")).select(
         F.col("_file").alias("import_run"), F.col("_row").alias("row_number"), "column_name",

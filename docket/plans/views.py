@@ -8,10 +8,8 @@ written in plain SQL, so the DuckDB oracle computes exactly the same input.
 Scale notes (SF100: lineitem 600 M rows, orders 150 M):
 * orders and lineitem are joined once on the order key; the per-order
   aggregate reuses that hash partitioning (no second shuffle);
-* part and customer are joined on their keys (shuffle or AQE broadcast,
-  decided at run time from real sizes);
-* nation (25 rows) and region (5 rows) are fixed-size by the TPC-H spec and
-  broadcast explicitly.
+* part, customer, nation and region are joined on their keys (shuffle or
+  broadcast, decided by the optimizer from real sizes).
 * Defects for the ingest/dataset fixtures are injected by a key rule, never
   by dropping rows: every order is processed.
 """
@@ -25,10 +23,6 @@ from docket import config as C
 from docket.functions import exprs as X
 from docket.session import read_table
 
-# Dimension tables whose size is fixed by the TPC-H spec (safe to broadcast).
-FIXED_SIZE_DIMS = {"nation": 25, "region": 5}
-
-
 def _deadline(orderdate, priority):
     out = None
     for prio, days in C.PRIORITY_SLA_DAYS.items():
@@ -62,9 +56,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
-        # one file per core: downstream narrow stages (regex coding, JSON) run in parallel
-        # instead of in the single partition AQE would coalesce a small result into
-        build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -95,8 +87,8 @@ def _process_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey"), F.col("p_brand"))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    region = F.broadcast(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     done = F.when(F.col("o_orderstatus") != "O", F.coalesce("first_ship", "last_ship"))
     return (
         per_order.join(part, per_order.first_partkey == part.p_partkey, "left")

@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+import hashlib
 import io
 import re
 import zipfile
@@ -27,34 +29,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docket import config as C
+from docket.functions import exprs as X
+
+
+EMPTY_HASH = hashlib.sha256(b"").hexdigest()
 
 
 def file_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S3 + S5: path, name, extension, size, sha256, supported (0/1)."""
+    """S3 + S5: path, name, extension, size, sha256, supported (0/1).
+
+    The binary reader leaves out files without a byte; of a list of files they
+    are added back, so that every file has its row.
+    """
     df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    df = df.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("file_hash"))
+    if not isinstance(paths, str):
+        listed = spark.createDataFrame([(str(p), _bare(str(p))) for p in paths], "given string, bare string")
+        df = listed.join(df.withColumn("bare", _bare_col(F.col("path"))), "bare", "left").select(
+            F.coalesce("path", "given").alias("path"), F.coalesce("size", F.lit(0)).alias("size"),
+            F.coalesce("file_hash", F.lit(EMPTY_HASH)).alias("file_hash"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return df.select(
-        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), ext.alias("extension"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("file_hash"),
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), ext.alias("extension"), "size", "file_hash",
         ext.isin(*C.SUPPORTED_EXTENSIONS).cast("int").alias("supported"))
 
 
+_CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def split_csv_line(line) -> F.Column:
+    """Cells of one CSV line: quoted cells may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(line, F.lit(_CELL), 1)
+    return F.transform(cells, lambda c: F.when(c.rlike('^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))
+                       .otherwise(c))
+
+
 def csv_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """First line of every file: (_file, columns array<string>), one row per file."""
+    """First line of every file: (_file, columns array<string>), one row per file that has a line."""
     t = spark.read.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"))
     first = t.where(F.col("_blk") == 0).groupBy("_file").agg(F.min_by("value", "_mid").alias("header"))
-    cols = F.transform(F.split(F.col("header"), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    cols = F.transform(split_csv_line(F.regexp_replace("header", "^\\ufeff|\r$", "")), lambda c: X.strip(c))
     return first.select("_file", cols.alias("columns"))
 
 
 def _read_group(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    """Rows of files with one header; ``_excess`` marks lines with more cells than the header has."""
+    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))], T.StructField("_corrupt", T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("multiLine", False).option("quote", '"')
-          .option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).csv(list(paths)))
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in columns],
-                     F.col("_metadata.file_path").alias("_file"),
+          .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+          .option("enforceSchema", True).csv(list(paths)))
+    excess = F.coalesce(F.size(F.regexp_extract_all("_corrupt", F.lit(_CELL), 1)) > len(columns), F.lit(False))
+    return df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns) if c not in columns[:i]],
+                     excess.alias("_excess"), F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_mid"))
 
@@ -64,27 +92,29 @@ def with_row_numbers(rows: DataFrame) -> DataFrame:
 
     Rows of one split are contiguous in their task, so within a split the
     number is ``_mid - min(_mid) + 1`` plus the rows of earlier splits of the
-    same file.  The split table has one row per split (bounded) and is
-    broadcast back.
+    same file.  The split table has one row per split and is joined back.
     """
     seg = rows.groupBy("_file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (rows.join(F.broadcast(seg.select("_file", "_blk", "_m0", "_off")), ["_file", "_blk"])
+    return (rows.join(seg.select("_file", "_blk", "_m0", "_off"), ["_file", "_blk"])
             .withColumn("_row", F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
             .drop("_blk", "_mid", "_m0", "_off"))
 
 
 def read_csv_deliveries(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """S1 + S4 + F1: (rows, headers).  ``rows`` has every column of its file as text plus
-    ``_file``, ``_file_seq`` (position in ``paths``) and ``_row``; files missing a
+    """S1 + S4 + F1: (rows, headers).
+
+    ``rows`` has every column of its file as text plus ``_excess`` (the line
+    has more cells than the header: the file is malformed), ``_file``,
+    ``_file_seq`` (position in ``paths``) and ``_row``; files missing a
     required column are left out of ``rows`` (see :func:`docket.operators.ingest.missing_required_columns`).
     """
     from docket.operators.ingest import missing_required_columns
 
     headers = csv_headers(spark, paths)
     miss = missing_required_columns(headers)
-    # header groups: one row per file, a manifest-sized collect
+    # header groups: the caller's own file list, one row per file
     groups: dict[tuple[str, ...], list[str]] = {}
     for r in headers.join(miss, "_file").collect():
         if r["missing"]:
@@ -95,12 +125,14 @@ def read_csv_deliveries(spark: SparkSession, paths: Sequence[str]) -> tuple[Data
         part = _read_group(spark, files, cols)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
-        return spark.createDataFrame([], "_file string, _file_seq int, _row long"), headers
-    # file order of the batch: one row per path (manifest sized)
-    seq = spark.createDataFrame([(_bare(str(p)), i + 1) for i, p in enumerate(paths)], "_path string, _file_seq int")
-    rows = with_row_numbers(out).withColumn("_path", _bare_col(F.col("_file")))
-    rows = rows.join(F.broadcast(seq), "_path", "left").drop("_path")
-    return rows, headers
+        return spark.createDataFrame([], "_file string, _excess boolean, _file_seq int, _row long"), headers
+    return with_file_seq(with_row_numbers(out), paths), headers
+
+
+def with_file_seq(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Add ``_file_seq``: the 1-based position of the row's file in the caller's list."""
+    seq = rows.sparkSession.createDataFrame([(_bare(str(p)), i + 1) for i, p in enumerate(paths)], "_path string, _file_seq int")
+    return rows.withColumn("_path", _bare_col(F.col("_file"))).join(seq, "_path", "left").drop("_path")
 
 
 def _bare(p: str) -> str:
@@ -123,52 +155,106 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# Fixed values of the workbook format: built-in number formats that show dates or times.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _first_sheet(z: zipfile.ZipFile) -> tuple[str, bool]:
+    """Path of the workbook's first sheet, and whether dates count from 1904."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    props = book.find("m:workbookPr", _NS)
+    from_1904 = props is not None and props.get("date1904") in ("1", "true")
+    rid = book.find("m:sheets", _NS)[0].get(_REL)
+    for rel in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+        if rel.get("Id") == rid:
+            target = rel.get("Target")
+            return (target[1:] if target.startswith("/") else f"xl/{target}"), from_1904
+    raise ValueError("the workbook's first sheet has no part")
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indexes of the cell styles that show a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    custom = {int(n.get("numFmtId")) for n in root.iter(f"{{{_NS['m']}}}numFmt")
+              if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", "")), re.I)}
+    cells = root.find("m:cellXfs", _NS)
+    return {i for i, x in enumerate(cells if cells is not None else []) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | custom}
+
+
+def _serial_text(text: str, from_1904: bool) -> str:
+    """A date serial as ``yyyy-MM-dd HH:mm:ss`` (whole seconds)."""
+    start = _dt.datetime(1904, 1, 1) if from_1904 else _dt.datetime(1899, 12, 30)
+    return (start + _dt.timedelta(seconds=round(float(text) * 86400))).strftime("%Y-%m-%d %H:%M:%S")
+
+
 def parse_xlsx(data: bytes) -> list[list[str]]:
-    """Rows of the first worksheet as text (shared strings, inline strings, numbers as written)."""
+    """Rows of the workbook's first sheet as text, blank rows between others kept.
+
+    Shared and inline strings as they are, date cells as ``yyyy-MM-dd HH:mm:ss``,
+    booleans as True/False, other numbers as written.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             root = ET.fromstring(z.read("xl/sharedStrings.xml"))
             for si in root.findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted(n for n in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n))
-        first = "xl/worksheets/sheet1.xml" if "xl/worksheets/sheet1.xml" in sheets else sheets[0]
-        root = ET.fromstring(z.read(first))
+        sheet, from_1904 = _first_sheet(z)
+        dates = _date_styles(z)
+        root = ET.fromstring(z.read(sheet))
         rows: list[list[str]] = []
         for row in root.iter(f"{{{_NS['m']}}}row"):
+            number = int(row.get("r", len(rows) + 1))
+            rows += [[] for _ in range(number - 1 - len(rows))]
             vals: dict[int, str] = {}
             for c in row.findall("m:c", _NS):
                 t = c.get("t")
                 v = c.find("m:v", _NS)
-                if t == "s" and v is not None:
-                    text = shared[int(v.text)]
+                text = v.text if v is not None and v.text is not None else ""
+                if t == "s" and text:
+                    text = shared[int(text)]
                 elif t == "inlineStr":
                     text = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-                else:
-                    text = v.text if v is not None and v.text is not None else ""
+                elif t == "b" and text:
+                    text = "True" if text == "1" else "False"
+                elif t in (None, "n") and text and int(c.get("s", 0)) in dates:
+                    text = _serial_text(text, from_1904)
                 vals[_col_index(c.get("r"))] = text
-            width = max(vals) + 1 if vals else 0
-            rows.append([vals.get(i, "") for i in range(width)])
+            rows.append([vals.get(i, "") for i in range(max(vals) + 1 if vals else 0)])
+        while rows and not any(rows[-1]):
+            rows.pop()
         return rows
 
 
 def read_xlsx_deliveries(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Long form (_file, _row, columns, values) - row 1 is the first data row."""
+    """Long form (_file, _row, columns, values, error).
+
+    Row 1 is the row below the header; blank rows between others are rows.  A
+    workbook without data rows gives one row with ``_row`` 0 and NULL values; one
+    that cannot be read gives one row with its ``error``.
+    """
     bins = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(
         "path", "content")
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = parse_xlsx(bytes(content))
-                if not rows:
+                names = ["_file", "_row", "columns", "values", "error"]
+                try:
+                    rows = parse_xlsx(bytes(content))
+                    if not rows:
+                        raise ValueError("no header")
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError) as e:
+                    yield pd.DataFrame([(path, 0, None, None, type(e).__name__)], columns=names)
                     continue
                 header = [h.strip() for h in rows[0]]
-                data = [(path, i, header, (r + [""] * len(header))[: len(header)]) for i, r in enumerate(rows[1:], 1)
-                        if any(x != "" for x in r)]
-                yield pd.DataFrame(data, columns=["_file", "_row", "columns", "values"])
+                data = [(path, i, header, (r + [""] * len(header))[: len(header)], None) for i, r in enumerate(rows[1:], 1)]
+                yield pd.DataFrame(data or [(path, 0, header, None, None)], columns=names)
 
-    return bins.mapInPandas(parse, "_file string, _row long, columns array<string>, values array<string>")
+    return bins.mapInPandas(parse, "_file string, _row long, columns array<string>, values array<string>, error string")
 
 
 def xlsx_to_rows(long: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,27 +20,48 @@ from tests.conftest import SF_SMALL
 def _xlsx_bytes(rows):
     """Minimal workbook (inline strings) built with the standard library."""
     def cell(ref, v):
+        if isinstance(v, tuple):  # (number, style)
+            return f'<c r="{ref}" s="{v[1]}"><v>{v[0]}</v></c>'
         return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
 
     body = ""
     for i, r in enumerate(rows, 1):
+        if not r:
+            continue
         body += f'<row r="{i}">' + "".join(cell(f"{chr(65 + j)}{i}", v) for j, v in enumerate(r) if v != "") + "</row>"
     sheet = ('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/'
              f'spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/worksheets/sheet7.xml", sheet)
+        z.writestr("xl/worksheets/sheet1.xml", sheet.replace(body, ""))  # not the first in the workbook
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{DOC}"><sheets><sheet name="a" r:id="r2"/>'
+                                      '<sheet name="b" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet7.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts>'
+                                    '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/></cellXfs></styleSheet>')
     return buf.getvalue()
 
 
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
 def test_xlsx_reader(spark, tmp_path):
     p = os.path.join(tmp_path, "a.xlsx")
     with open(p, "wb") as f:
-        f.write(_xlsx_bytes([["case_enquiry_id", "open_dt", "source"], ["1", "2024-01-15", ""], ["2", "", "X"]]))
+        f.write(_xlsx_bytes([["case_enquiry_id", "open_dt", "source"], ["1", "2024-01-15", ""], [], ["2", "", "X"],
+                             ["3", (45306.41667, 1), ""], ["4", (45306, 2), ""], ["5", (45306, 0), ""]]))
     long = SF.read_xlsx_deliveries(spark, p)
     rows = SF.xlsx_to_rows(long, ["case_enquiry_id", "open_dt", "source", "absent"]).orderBy("_row").collect()
     assert [(r["_row"], r["case_enquiry_id"], r["open_dt"], r["source"], r["absent"]) for r in rows] == [
-        (1, "1", "2024-01-15", "", ""), (2, "2", "", "X", "")]
+        (1, "1", "2024-01-15", "", ""), (2, "", "", "", ""), (3, "2", "", "X", ""), (4, "3", "2024-01-15 10:00:00", "", ""),
+        (5, "4", "2024-01-15 00:00:00", "", ""), (6, "5", "45306", "", "")]
+    q = os.path.join(tmp_path, "b.xlsx")
+    with open(q, "wb") as f:
+        f.write(b"not a workbook")
+    assert SF.read_xlsx_deliveries(spark, q).first()["error"] == "BadZipFile"
 
 
 def test_manifest_hash_and_format_gate(spark, tmp_path):
@@ -144,6 +165,54 @@ def test_stream_ingest_replay_is_noop(spark, tmp_path):
     assert SK.current_version(spark, root, "processes") == 1
 
 
+def test_import_of_a_mixed_delivery(spark, tmp_path):
+    from docket.streaming.ingest_stream import import_files
+    from tests.test_ingest import BASE, catalog, write_csv
+
+    at = lambda n: os.path.join(tmp_path, n)
+    write_csv(at("good.csv"), [BASE, {**BASE, "case_enquiry_id": "2"}, {**BASE, "case_enquiry_id": "\t"}])
+    write_csv(at("good_copy.csv"), [BASE, {**BASE, "case_enquiry_id": "2"}, {**BASE, "case_enquiry_id": "\t"}])
+    for name, data in (("no_id.csv", b"open_dt,source\n2024-01-01,x\n"), ("notes.txt", b"hello"), ("empty.csv", b""), ("broken.xlsx", b"zip?"),
+                       ("excess.csv", b"case_enquiry_id,open_dt\n9,2024-01-01\n10,2024-01-01,more,cells\n"),
+                       ("quoted.csv", b'"case_enquiry_id","open_dt","a, ""b"""\n"7","2024-01-05",x\n')):
+        with open(at(name), "wb") as f:
+            f.write(data)
+    with open(at("book.xlsx"), "wb") as f:
+        f.write(_xlsx_bytes([["case_enquiry_id", "open_dt", "source"], ["5", (45306.5, 1), ""]]))
+    names = ["good.csv", "good_copy.csv", "no_id.csv", "notes.txt", "empty.csv", "broken.xlsx", "excess.csv", "quoted.csv", "book.xlsx"]
+    root = at("tables")
+    import_files(spark, [at(n) for n in names], root, catalog(spark))
+    runs = {r["import_run"].split("/")[-1]: r for r in SK.read_current(spark, root, "import_runs").collect()}
+    assert {n: runs[n]["status"] for n in names} == {
+        "good.csv": "completed_with_issues", "good_copy.csv": "duplicate_file", "no_id.csv": "failed", "notes.txt": "failed",
+        "empty.csv": "failed", "broken.xlsx": "failed", "excess.csv": "failed", "quoted.csv": "completed", "book.xlsx": "completed"}
+    assert (runs["good.csv"]["inserted_rows"], runs["good.csv"]["quarantined_rows"], runs["good_copy.csv"]["total_rows"]) == (2, 1, 0)
+    issues = {(r["import_run"].split("/")[-1], r["issue_code"], r["column_name"]) for r in SK.read_current(spark, root, "issues").where("severity = 'error'").collect()}
+    assert issues == {("good.csv", "REQUIRED_FIELD_MISSING", "case_enquiry_id"), ("no_id.csv", "MISSING_REQUIRED_COLUMN", "case_enquiry_id"),
+                      ("notes.txt", "UNSUPPORTED_FILE_FORMAT", None), ("empty.csv", "INVALID_FILE_SCHEMA", None),
+                      ("broken.xlsx", "INVALID_FILE_SCHEMA", None), ("excess.csv", "INVALID_FILE_SCHEMA", None)}
+    assert sorted(r["external_id"] for r in SK.read_current(spark, root, "processes").collect()) == ["10100-001", "2", "5", "7"]
+    snaps = SK.read_current(spark, root, "snapshots")
+    assert sorted(r["external_id"] for r in snaps.collect()) == ["10100-001", "2", "5", "7"]
+    # a later batch: the imported file is a duplicate, failed ones are tried again, snapshots only grow
+    import_files(spark, [at("good.csv"), at("notes.txt")], root, catalog(spark), 1)
+    later = SK.read_current(spark, root, "import_runs").where("batch_id = 1").collect()
+    assert sorted((r["import_run"].split("/")[-1], r["status"]) for r in later) == [("good.csv", "duplicate_file"), ("notes.txt", "failed")]
+    assert SK.read_current(spark, root, "snapshots").count() == 4
+
+
+def test_unfinished_commit_is_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    SK.write_version(spark.range(3), root, "t")
+    os.makedirs(f"{root}/_commits/c=2")  # a writer died here
+    assert SK.read_current(spark, root, "t").count() == 3
+    SK.write_tables(spark, root, replace={"t": spark.range(4)}, append={"log": spark.range(1)})
+    SK.write_tables(spark, root, append={"log": spark.range(2)})
+    assert SK.read_current(spark, root, "t").count() == 4 and SK.read_current(spark, root, "log").count() == 3
+    with pytest.raises(FileNotFoundError):
+        SK.read_current(spark, root, "other")
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 
@@ -165,7 +234,12 @@ def test_registry_and_single_active(spark):
         SK.enrich_metrics(reg, "v1", "other-fp", spark.createDataFrame([(0.1,)], "brier double"))
     reg = SK.enrich_metrics(reg, "v1", "fp1", spark.createDataFrame([(0.1,)], "brier double"))
     mon = {r["model_version"]: r for r in SK.monitoring_view(reg).collect()}
-    assert mon["v1"]["brier"] == pytest.approx(0.1) and mon["v1"]["pr_auc"] == pytest.approx(0.8)
+    assert mon["v1"]["validation_brier"] == pytest.approx(0.1) and mon["v1"]["validation_pr_auc"] == pytest.approx(0.8)
+    # a metric that is stored already is replaced, sections are merged
+    again = spark.sql("SELECT 0.2D AS brier, named_struct('cv_mae_mean', 3.0D) AS regression")
+    reg = SK.enrich_metrics(SK.enrich_metrics(reg, "v1", "fp1", again), "v1", "fp1", spark.sql("SELECT named_struct('validation_mae', 2.0D) AS regression"))
+    mon = {r["model_version"]: r for r in SK.monitoring_view(reg).collect()}
+    assert [mon["v1"][k] for k in ("validation_brier", "cv_mae_mean", "validation_mae")] == [0.2, 3.0, 2.0]
     two = reg.withColumn("is_active", F.lit(1))
     with pytest.raises(ValueError):
         SK.check_single_active(two)
