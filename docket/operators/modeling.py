@@ -17,7 +17,11 @@ from __future__ import annotations
 import dataclasses
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -31,7 +35,8 @@ from docket.functions import exprs as X
 from docket.operators import metrics as M
 from docket.operators.ordering import exact_quantiles
 
-MAX_FOREST_DEPTH = 30  # MLlib limit; the reference's "unlimited" maps here
+MAX_FOREST_DEPTH = 30  # MLlib limit; "unlimited" maps here
+BOOSTING_DEPTH = 5  # for boosting without a depth: 31 leaves of the usual histogram booster
 
 
 @dataclasses.dataclass
@@ -64,47 +69,13 @@ class PrepModel:
         return names + list(self.numeric)
 
 
-MAX_HISTOGRAM_VALUES = 100_000
-
-
-def exact_medians(long: DataFrame) -> dict[str, float | None]:
-    """Exact linear-interpolation median per feature of a (f, x) long frame.
-
-    A (feature, value) count histogram is aggregated first (partial
-    aggregation).  When every feature has at most ``MAX_HISTOGRAM_VALUES``
-    distinct values - checked before anything is collected - the bounded
-    histogram is read back and the median taken from cumulative counts;
-    otherwise the distributed sort-based :func:`exact_quantiles` is used.
-    """
-    import numpy as np
-
-    hist = long.where(F.col("x").isNotNull()).groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
-    distinct = hist.groupBy("f").agg(F.count(F.lit(1)).alias("d")).collect()  # one row per feature
-    if not distinct or max(r["d"] for r in distinct) > MAX_HISTOGRAM_VALUES:
-        return {r["f"]: r["median"] for r in exact_quantiles(long, ["f"], "x", {"median": 0.5}).collect()}
-    out: dict[str, float | None] = {}
-    rows = hist.collect()  # bounded by the check above
-    by_f: dict[str, list[tuple[float, int]]] = {}
-    for r in rows:
-        by_f.setdefault(r["f"], []).append((r["x"], r["n"]))
-    for f, pairs in by_f.items():
-        pairs.sort()
-        vals = np.array([p[0] for p in pairs])
-        cum = np.cumsum([p[1] for p in pairs])
-        h = (cum[-1] - 1) * 0.5
-        lo, hi = int(np.floor(h)), int(np.ceil(h))
-        vlo, vhi = vals[np.searchsorted(cum, lo, side="right")], vals[np.searchsorted(cum, hi, side="right")]
-        out[f] = float(vlo + (h - lo) * (vhi - vlo))
-    return out
-
-
 def fit_prep(train: DataFrame, categorical: Sequence[str] = C.CATEGORICAL_FEATURES,
              numeric: Sequence[str] = C.NUMERIC_FEATURES) -> PrepModel:
     """M1 + M2 fitted on ``train`` only."""
     categorical, numeric = list(categorical), list(numeric)
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("kv")).select("kv.*")
-    med = exact_medians(long)
+    med = {r["f"]: r["median"] for r in exact_quantiles(long, ["f"], "x", {"median": 0.5}).collect()}  # one row per feature
     med = {c: (float(med[c]) if med.get(c) is not None else 0.0) for c in numeric}
     imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in numeric])
     stats = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric],
@@ -131,6 +102,20 @@ def class_weights(train: DataFrame, label: str = "label") -> dict[float, float]:
     return {k: total / (len(counts) * v) for k, v in counts.items()}
 
 
+def _depth(depth: int | None, unlimited: int) -> int:
+    """A requested depth; None ("no limit") maps to ``unlimited``.  MLlib goes no deeper than 30."""
+    if depth is None:
+        return unlimited
+    if not 0 < int(depth) <= MAX_FOREST_DEPTH:
+        raise ValueError(f"max_depth must be between 1 and {MAX_FOREST_DEPTH}, not {depth}")
+    return int(depth)
+
+
+def _subset(max_features) -> str:
+    """Features tried per split: a rule name, or a share of them (1.0 or None: all)."""
+    return "all" if max_features in (None, 1.0) else str(max_features)
+
+
 def classifier(kind: str, n_train: int, params: dict | None = None, weight_col: str | None = None, seed: int = 42):
     """M4 / M5 / M6 estimator objects with the reference parameter mappings."""
     p = dict(params or {})
@@ -138,19 +123,17 @@ def classifier(kind: str, n_train: int, params: dict | None = None, weight_col:
     if kind == "logreg":
         c = float(p.get("C", 1.0))
         return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(n_train, 1)),
-                                  elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 200)),
+                                  elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 2000)),
                                   tol=1e-8, **w)
     if kind == "rf":
-        depth = p.get("max_depth")
         return RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=int(p.get("n_estimators", 100)),
-            maxDepth=min(int(depth) if depth else MAX_FOREST_DEPTH, MAX_FOREST_DEPTH),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-            featureSubsetStrategy=str(p.get("max_features", "sqrt")), seed=seed, **w)
+            maxDepth=_depth(p.get("max_depth"), MAX_FOREST_DEPTH), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+            featureSubsetStrategy=_subset(p.get("max_features", "sqrt")), seed=seed, **w)
     if kind == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=int(p.get("max_iter", 50)),
-                             maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("learning_rate", 0.1)),
-                             seed=seed, **w)
+        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=int(p.get("max_iter", 100)),
+                             maxDepth=_depth(p.get("max_depth"), BOOSTING_DEPTH), stepSize=float(p.get("learning_rate", 0.1)),
+                             minInstancesPerNode=int(p.get("min_samples_leaf", 20)), seed=seed, **w)
     raise ValueError(f"unknown classifier {kind!r}")
 
 
@@ -164,17 +147,17 @@ def regressor(kind: str, label_std: float | None = None, params: dict | None = N
         reg = l1 + l2
         return LinearRegression(featuresCol="features", labelCol="label", regParam=reg,
                                 elasticNetParam=(l1 / reg) if reg > 0 else 0.0, standardization=False,
-                                solver="l-bfgs", maxIter=int(p.get("max_iter", 500)), tol=1e-9)
+                                solver="l-bfgs", maxIter=int(p.get("max_iter", 5000)), tol=1e-9)
     if kind == "rf":
-        depth = p.get("max_depth")
         return RandomForestRegressor(featuresCol="features", labelCol="label",
                                      numTrees=int(p.get("n_estimators", 100)),
-                                     maxDepth=min(int(depth) if depth else MAX_FOREST_DEPTH, MAX_FOREST_DEPTH),
-                                     minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed)
+                                     maxDepth=_depth(p.get("max_depth"), MAX_FOREST_DEPTH),
+                                     minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                                     featureSubsetStrategy=_subset(p.get("max_features", 1.0)), seed=seed)
     if kind == "gbt":
-        return GBTRegressor(featuresCol="features", labelCol="label", maxIter=int(p.get("max_iter", 50)),
-                            maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("learning_rate", 0.1)),
-                            seed=seed)
+        return GBTRegressor(featuresCol="features", labelCol="label", maxIter=int(p.get("max_iter", 100)),
+                            maxDepth=_depth(p.get("max_depth"), BOOSTING_DEPTH), stepSize=float(p.get("learning_rate", 0.1)),
+                            minInstancesPerNode=int(p.get("min_samples_leaf", 20)), seed=seed)
     raise ValueError(f"unknown regressor {kind!r}")
 
 
@@ -233,16 +216,23 @@ def fit_classifier(train: DataFrame, kind: str, params: dict | None = None, bala
 def oof_predictions(folded: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5,
                     balanced: bool = False) -> DataFrame:
     """Out-of-fold raw probabilities: for each fold fit on earlier rows, score the fold."""
-    parts = []
-    for k in range(n_splits):
-        tr = folded.where(F.col("row_index") < F.col("first_test_index") + k * F.col("fold_test_size"))
-        te = folded.where(F.col("test_fold") == k)
-        fc = fit_classifier(tr, kind, params, balanced)
-        parts.append(fc.raw_scores(te).withColumn("fold", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def one(k: int) -> DataFrame:
+        tr, te = fold_frames(folded, k)
+        return fit_classifier(tr, kind, params, balanced).raw_scores(te).withColumn("fold", F.lit(k))
+
+    return reduce(DataFrame.unionByName, _together(folded.sparkSession, one, n_splits))
+
+
+def fold_frames(folded: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that fold ``k`` trains on (all earlier ones) and tests on."""
+    return (folded.where(F.col("row_index") < F.col("first_test_index") + k * F.col("fold_test_size")),
+            folded.where(F.col("test_fold") == k))
+
+
+def _together(spark, one, n: int) -> list:
+    """``one(0) .. one(n - 1)`` with their Spark jobs side by side; results in order, the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=n) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), k) for k in range(n)]]
 
 
 def fold_metrics(oof: DataFrame) -> DataFrame:
@@ -260,14 +250,18 @@ def fit_calibrators(oof: DataFrame):
     sig = LogisticRegression(featuresCol="zf", labelCol="label", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                              standardization=False, tol=1e-10, maxIter=200).fit(
         VectorAssembler(inputCols=["z"], outputCol="zf").transform(d))
-    iso = IsotonicRegression(featuresCol="p_raw", labelCol="label", isotonic=True).fit(d)
+    # one row per distinct score: the last step of the isotonic fit runs on the driver
+    steps = d.groupBy("p_raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    iso = IsotonicRegression(featuresCol="p_raw", labelCol="label", weightCol="weight", isotonic=True).fit(steps)
     return sig, iso
 
 
 def apply_calibration(df: DataFrame, p_col: str, method: str, sig, iso) -> DataFrame:
     """Add ``p`` = calibrated probability (P24 logit for sigmoid; isotonic clips at the ends)."""
-    if method == "uncalibrated" or (method == "sigmoid" and sig is None) or (method == "isotonic" and iso is None):
+    if method == "uncalibrated":
         return df.withColumn("p", F.col(p_col))
+    if (sig if method == "sigmoid" else iso) is None:
+        raise ValueError(f"no {method} calibrator")
     if method == "sigmoid":
         coef, icpt = float(sig.coefficients[0]), float(sig.intercept)
         return df.withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(coef) * X.logit(p_col) + F.lit(icpt)))))
@@ -310,8 +304,8 @@ def train_classifier(dataset: DataFrame, kind: str, params: dict | None = None,
     out = met.select(F.lit(kind).alias("model"), F.lit(chosen).alias("calibration"),
                      F.lit(fc.threshold).alias("threshold"), "row_count", "roc_auc", "pr_auc", "precision",
                      "recall", "f1", "brier")
-    oof.unpersist()
     cvr = cv.first()  # one row of fold statistics
+    oof.unpersist()
     return fc, out.withColumns({k: F.lit(cvr[k]).cast("double") for k in cv.columns})
 
 
@@ -336,7 +330,7 @@ class FittedRegressor:
 def fit_regressor(train: DataFrame, kind: str, params: dict | None = None, log1p: bool = False) -> FittedRegressor:
     """M7 / M8 / M9 on ``train`` with label hours (P25 log1p option)."""
     if kind == "median":
-        med = exact_quantiles(train.withColumn("_g", F.lit(1)), ["_g"], "label", {"m": 0.5}).first()["m"]
+        med = exact_quantiles(train, [], "label", {"m": 0.5}).first()["m"]
         return FittedRegressor("median", None, None, median=float(med))
     t = train.withColumn("label", F.log1p("label")) if log1p else train
     prep = fit_prep(t)
@@ -345,6 +339,37 @@ def fit_regressor(train: DataFrame, kind: str, params: dict | None = None, log1p
     return FittedRegressor(kind, prep, model, log1p)
 
 
+def oof_hours(folded: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5, log1p: bool = False) -> DataFrame:
+    """M11 for hours: each fold predicted by a fit on the rows before it, clamped at 0."""
+    def one(k: int) -> DataFrame:
+        tr, te = fold_frames(folded, k)
+        return fit_regressor(tr, kind, params, log1p).predict(te).select(
+            F.lit(k).alias("fold"), F.col("label").alias("y"), X.clamp_hours("y_raw").alias("yhat"))
+
+    return reduce(DataFrame.unionByName, _together(folded.sparkSession, one, n_splits))
+
+
+def regression_fold_metrics(oof: DataFrame) -> DataFrame:
+    """M11 summary for hours: MAE and RMSE per fold, then mean and population std."""
+    e = F.abs(F.col("y") - F.col("yhat"))
+    per = oof.groupBy("fold").agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return per.agg(F.avg("mae").alias("cv_mae_mean"), F.stddev_pop("mae").alias("cv_mae_std"),
+                   F.avg("rmse").alias("cv_rmse_mean"), F.stddev_pop("rmse").alias("cv_rmse_std"))
+
+
+def train_regressor(dataset: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5,
+                    log1p: bool = False) -> tuple[FittedRegressor, DataFrame]:
+    """Whole regression flow: W8 folds -> fold MAE / RMSE -> refit on all train (M19) -> E4 on validation."""
+    from docket.operators.dataset import cohort
+
+    coh = materialize(with_label(cohort(dataset, "total_duration_hours"), "total_duration_hours").select(
+        "external_id", "created_at", "split", "label", *C.ALL_FEATURES))
+    train, val = coh.where(F.col("split") == "train"), coh.where(F.col("split") == "validation")
+    cv = regression_fold_metrics(oof_hours(M.time_folds(train, n_splits), kind, params, n_splits, log1p)).first()  # one row
+    fr = fit_regressor(train, kind, params, log1p)
+    return fr, regression_eval(fr, val).withColumns({k: F.lit(cv[k]).cast("double") for k in cv.__fields__})
+
+
 def regression_eval(fr: FittedRegressor, val: DataFrame) -> DataFrame:
     """Clamp predictions at 0, then E4 on the validation rows."""
     p = fr.predict(val).withColumn("yhat", X.clamp_hours("y_raw"))
@@ -355,22 +380,38 @@ def regression_eval(fr: FittedRegressor, val: DataFrame) -> DataFrame:
 def score_cases(features: DataFrame, clf: FittedClassifier, reg: FittedRegressor) -> DataFrame:
     """X1 + P17-P20: one pass over the whole feature table.
 
-    Classification only when the case has an SLA (``sla_duration_hours`` not
-    NULL); calibrated probability, risk score/level, decision at the chosen
+    Classification only when the case has an SLA: ``has_sla`` (a deadline is
+    there) where the column exists, else the SLA hours, which is the rule of
+    scenarios (Q6); calibrated probability, risk score/level, decision at the chosen
     threshold; regression hours clamped at 0 - a non-finite regression
     output marks the row ``ok = 0`` with an error code and nothing else.
     """
-    has_sla = F.col("sla_duration_hours").isNotNull()
-    s = clf.scores(features).withColumn("delay_probability", F.when(has_sla, F.col("p")))
-    s = reg.predict(s)
+    return decide_scores(reg.predict(clf.scores(features)), features.columns, clf.threshold)
+
+
+def decide_scores(scored: DataFrame, keep: Sequence[str], threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """P17-P20 and the failure rule on a table with a calibrated probability ``p`` and raw hours ``y_raw``.
+
+    With ``p_std`` / ``hours_std`` (X2 spreads) it adds the P21 intervals around
+    the calibrated probability and the clamped hours.
+    """
+    has_sla = F.col("has_sla") == 1 if "has_sla" in scored.columns else F.col("sla_duration_hours").isNotNull()
+    s = scored.withColumn("delay_probability", F.when(has_sla, F.col("p")))
     hours = X.clamp_hours("y_raw")
     score = X.risk_score("delay_probability")
+    extra = []
+    if "p_std" in s.columns:
+        low, high = X.prob_interval("delay_probability", "p_std")
+        extra += [low.alias("probability_lower"), high.alias("probability_upper")]
+    if "hours_std" in s.columns:
+        low, high = X.hours_interval(hours, "hours_std")
+        extra += [low.alias("hours_lower"), high.alias("hours_upper")]
     return s.select(
-        *[c for c in features.columns],
+        *keep,
         "delay_probability",
         score.alias("risk_score"), X.risk_level(score).alias("risk_level"),
-        X.delay_decision("delay_probability", has_sla, clf.threshold).alias("predicted_is_delayed"),
-        hours.alias("predicted_hours"),
+        X.delay_decision("delay_probability", has_sla, threshold).alias("predicted_is_delayed"),
+        hours.alias("predicted_hours"), *extra,
         F.when(hours.isNull(), 0).otherwise(1).alias("ok"),
         F.when(hours.isNull(), F.lit("INVALID_REGRESSION_PREDICTION")).alias("error_code"),
     )
@@ -397,18 +438,32 @@ def random_candidates(space: dict[str, list], n: int, seed: int = 42) -> list[di
 
 def search(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5,
            balanced: bool = False) -> tuple[dict, DataFrame]:
-    """Mean OOF PR-AUC per candidate; the best (first on ties) wins; failing candidates skipped."""
-    rows = []
-    best, best_score = None, None
+    """Mean OOF PR-AUC per candidate; the best (first on ties) wins.
+
+    A candidate whose parameters the estimator refuses stays in the table with
+    its error; every other failure is raised.
+    """
+    return _search(folded, space, n_candidates, "cv_pr_auc_mean", True,
+                   lambda cand: fold_metrics(oof_predictions(folded, kind, cand, n_splits, balanced)))
+
+
+def search_regressor(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5,
+                     log1p: bool = False) -> tuple[dict, DataFrame]:
+    """M10 for hours: mean out-of-fold MAE per candidate, the lowest (first on ties) wins."""
+    return _search(folded, space, n_candidates, "cv_mae_mean", False,
+                   lambda cand: regression_fold_metrics(oof_hours(folded, kind, cand, n_splits, log1p)))
+
+
+def _search(folded: DataFrame, space: dict[str, list], n_candidates: int, metric: str, higher: bool, run) -> tuple[dict, DataFrame]:
+    rows, best, best_score = [], None, None
     for i, cand in enumerate(random_candidates(space, n_candidates)):
         try:
-            oof = oof_predictions(folded, kind, cand, n_splits, balanced)
-            score = fold_metrics(oof).first()["cv_pr_auc_mean"]  # one row
-        except Exception:  # a failing candidate is skipped, as in the reference
+            score = run(cand).first()[metric]  # one row
+        except (ValueError, IllegalArgumentException) as e:
+            rows.append((i, str(cand), None, str(e).splitlines()[0][:200]))
             continue
-        rows.append((i, str(cand), float(score) if score is not None else None))
-        if score is not None and (best_score is None or score > best_score):
+        rows.append((i, str(cand), float(score) if score is not None else None, None))
+        if score is not None and (best_score is None or (score > best_score if higher else score < best_score)):
             best, best_score = cand, score
     spark = folded.sparkSession
-    table = spark.createDataFrame(rows, "candidate int, params string, cv_pr_auc_mean double")
-    return best or {}, table
+    return best or {}, spark.createDataFrame(rows, f"candidate int, params string, {metric} double, error string")

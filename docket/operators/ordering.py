@@ -22,104 +22,89 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str = "_idx",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based, gap-free row index following ``order_cols``.
+BROADCAST_ROWS = 500_000  # rows of a few numbers: about 16 MB
 
-    The sorted frame is checkpointed to the session's checkpoint folder
-    (lineage cut, survives executor loss); ``order_cols`` should be a total
-    order for a reproducible index.
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its checked size is small; a plain join side otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _ranges(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column], num_partitions: int | None) -> DataFrame:
+    """Sorted range partitions on (group, order), written once, with 0-based ``_r`` in the group and its size ``_n``.
+
+    Rows of a group are contiguous inside a partition, so their rank is their
+    position there plus the rows of the group in earlier partitions: one small
+    table of (partition, group) counts, no exchange of the rows themselves.
     """
     from docket.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
+    group_cols = list(group_cols)
     n = _n_parts(df, num_partitions)
     # the range partitioner samples its input in a separate job: keep the input
     # cached only until the eager checkpoint has been written
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    srt = (src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    srt = (src.repartitionByRange(n, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     srt = srt.checkpoint(eager=True)
     src.unpersist()
-    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (srt.join(F.broadcast(offs), "_pid")
-            .withColumn(index_col, (F.col("_off") + local).cast("long"))
-            .drop("_pid", "_mid", "_off"))
+    counts = srt.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0")).checkpoint()
+    w = Window.partitionBy(*group_cols).orderBy("_pid")  # at most one row per partition in each group
+    whole = Window.partitionBy(*group_cols)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", *group_cols, (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_m0")).alias("_off"),
+                         F.sum("_c").over(whole).alias("_n"))
+    same = srt["_pid"] == offs["_pid"]
+    for g in group_cols:
+        same = same & srt[g].eqNullSafe(offs[g])
+    joined = srt.join(sized(offs, counts.count()), same)
+    return joined.select(*[srt[c] for c in df.columns], (srt["_mid"] + F.col("_off")).cast("long").alias("_r"), "_n")
 
 
-def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-               rank_col: str = "_rank") -> DataFrame:
-    """0-based rank within each group without a per-group window (skew-safe).
+def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str = "_idx",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Add a 0-based, gap-free row index following ``order_cols``.
 
-    Global index over (group, order) minus the group's first index.  Group
-    starts come from a group-level aggregate (one row per group).
+    The sorted frame is checkpointed to the session's checkpoint folder
+    (lineage cut, survives executor loss); ``order_cols`` should be a total
+    order for a reproducible index.
     """
-    idx = global_index(df, [*group_cols, *order_cols], "_gidx")
-    starts = idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_gstart"))
-    return idx.join(starts, list(group_cols)).withColumn(rank_col, F.col("_gidx") - F.col("_gstart")).drop(
-        "_gidx", "_gstart")
+    return _ranges(df, [], order_cols, num_partitions).drop("_n").withColumnRenamed("_r", index_col)
+
+
+def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+               rank_col: str = "_rank") -> DataFrame:
+    """0-based rank within each group without a per-group window (skew-safe)."""
+    return _ranges(df, group_cols, order_cols, None).drop("_n").withColumnRenamed("_r", rank_col)
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, qs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (NumPy's default) per group.
+    """Exact linear-interpolation quantiles (NumPy's default) per group; NULL values are left out.
 
     For n values sorted ascending, q sits at h = (n-1) q: result =
     x[floor h] + (h - floor h) (x[ceil h] - x[floor h]).  Needs only the
-    rows at those ranks, found with :func:`group_rank` (a distributed sort),
-    never a per-group in-memory buffer.
+    rows at those ranks, found with a distributed sort, never a per-group
+    in-memory buffer.  Without group columns the result is one row.
     """
-    if not group_cols:
-        return _exact_quantiles_global(df, value_col, qs)
+    group_cols = list(group_cols)
     vals = df.where(F.col(value_col).isNotNull()).select(*group_cols, F.col(value_col).alias("_v"))
-    ranked = group_rank(vals, group_cols, ["_v"], "_r")
-    # counted from the checkpointed ranking, not by re-running the input plan
-    counts = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    need = counts
+    ranked = _ranges(vals, group_cols, ["_v"], None)
+    aggs, wanted = [], None
     for name, q in qs.items():
         h = (F.col("_n") - 1) * F.lit(q)
-        need = need.withColumn(f"{name}__h", h)
-    # rows whose rank is floor/ceil of some h
-    conds = None
-    for name in qs:
-        h = F.col(f"{name}__h")
-        c = (F.col("_r") == F.floor(h)) | (F.col("_r") == F.ceil(h))
-        conds = c if conds is None else conds | c
-    picked = ranked.join(need, list(group_cols)).where(conds)
-    aggs = []
-    for name in qs:
-        h = F.col(f"{name}__h")
-        lo = F.max(F.when(F.col("_r") == F.floor(h), F.col("_v")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(h), F.col("_v")))
-        frac = F.max(h - F.floor(h))
-        aggs.append((lo + frac * (hi - lo)).alias(name))
-    out = picked.groupBy(*group_cols).agg(*aggs)
-    return counts.join(out, list(group_cols), "left").drop("_n")
-
-
-def _exact_quantiles_global(df: DataFrame, value_col: str, qs: dict[str, float]) -> DataFrame:
-    """Ungrouped exact quantiles: ranks come from the global index, n is one scalar."""
-    import math
-
-    idx = global_index(df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("_v")), ["_v"], "_r")
-    n = idx.count()  # read from the checkpointed index
-    aggs, want = [], set()
-    for name, q in qs.items():
-        h = (n - 1) * q if n else 0.0
-        lo, hi = math.floor(h), math.ceil(h)
-        want |= {lo, hi}
-        vlo = F.max(F.when(F.col("_r") == lo, F.col("_v")))
-        vhi = F.max(F.when(F.col("_r") == hi, F.col("_v")))
-        aggs.append((vlo + F.lit(h - lo) * (vhi - vlo)).alias(name))
-    return idx.where(F.col("_r").isin(sorted(want))).agg(*aggs)
+        low, high = F.floor(h), F.ceil(h)
+        at = (F.col("_r") == low) | (F.col("_r") == high)
+        wanted = at if wanted is None else wanted | at
+        lo, hi = F.max(F.when(F.col("_r") == low, F.col("_v"))), F.max(F.when(F.col("_r") == high, F.col("_v")))
+        aggs.append((lo + F.max(h - low) * (hi - lo)).alias(name))
+    return ranked.where(wanted).groupBy(*group_cols).agg(*aggs)
 
 
 def bucketed_prefix_sums(df: DataFrame, part_cols: Sequence[str], score_col: str, value_cols: Sequence[str],
                          num_partitions: int | None = None) -> DataFrame:
-    """Exclusive prefix sums of ``value_cols`` in ``score_col`` order within ``part_cols``.
+    """Exclusive prefix sums ``<v>_below`` and totals ``<v>_total`` of ``value_cols`` in ``score_col`` order within ``part_cols``.
 
     Expects one row per (part, score) (aggregate first).  Rows are
     range-partitioned on (part, score) - boundaries come from sampling, so a
@@ -143,8 +128,9 @@ def bucketed_prefix_sums(df: DataFrame, part_cols: Sequence[str], score_col: str
     tot = srt.groupBy("_pid", *part_cols).agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     w_p = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *part_cols,
-                      *[F.coalesce(F.sum(f"_tot_{v}").over(w_p), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
-    out = local.join(F.broadcast(offs), ["_pid", *part_cols])
+                      *[F.coalesce(F.sum(f"_tot_{v}").over(w_p), F.lit(0)).alias(f"_off_{v}") for v in value_cols],
+                      *[F.sum(f"_tot_{v}").over(Window.partitionBy(*part_cols)).alias(f"{v}_total") for v in value_cols])
+    out = local.join(sized(offs, tot.count()), ["_pid", *part_cols])
     for v in value_cols:
         out = out.withColumn(f"{v}_below", F.col(f"_loc_{v}") + F.col(f"_off_{v}"))
     return out.drop("_pid", "_mid", *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])

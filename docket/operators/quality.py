@@ -17,10 +17,6 @@ from docket import config as C
 from docket.operators.ordering import exact_quantiles, global_index
 
 
-def _blank(c):
-    return F.col(c).isNull() | (F.trim(F.col(c)) == "")
-
-
 def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A8 summary: per column missing (NULL or blank), missing %, distinct non-blank count.
 
@@ -184,6 +180,18 @@ def domain_violations(df: DataFrame, rules: dict[str, object]) -> DataFrame:
         F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("kv")).select("kv.*")
 
 
+def run_rules() -> dict[str, object]:
+    """F14 for import runs: status domain and counters that are never negative."""
+    counters = ["total_rows", "imported_rows", "inserted_rows", "updated_rows", "skipped_duplicate_rows", "quarantined_rows", "error_rows",
+                "warning_count"]
+    return {"status_domain": F.col("status").isin(*C.IMPORT_STATUSES), **{f"{c}_not_negative": F.col(c) >= 0 for c in counters}}
+
+
+def issue_rules() -> dict[str, object]:
+    """F14 for data-quality issues: severity and issue code domains (a NULL code is allowed)."""
+    return {"severity_domain": F.col("severity").isin(*C.SEVERITIES), "issue_code_domain": F.col("issue_code").isin(*C.ISSUE_CODES)}
+
+
 def run_summary(runs: DataFrame, issues: DataFrame) -> DataFrame:
     """Run totals and issue counts by severity in one aggregate over the union of both tables."""
     run_cols = ["total_rows", "imported_rows", "quarantined_rows", "error_rows", "warning_count"]

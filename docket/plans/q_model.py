@@ -70,6 +70,11 @@ def median_baseline_metrics(spark, sf_dir):
         "split", "row_count", "mae", "median_ae", "rmse", "p90_abs_error")
 
 
+# Parameters of the registered fits: 300 trees of unlimited depth with 10 rows a leaf; 100 boosting steps; 5 time folds.
+FOREST = {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 10, "max_features": "sqrt"}
+BOOSTING = {"max_iter": 100, "learning_rate": 0.1, "max_depth": None, "min_samples_leaf": 20}
+
+
 @register("logreg_training")
 def logreg_training(spark, sf_dir):
     """Logistic regression with time-fold OOF, calibration, threshold."""
@@ -80,25 +85,20 @@ def logreg_training(spark, sf_dir):
 @register("forest_training")
 def forest_training(spark, sf_dir):
     """M5 + M16: balanced random forest (sqrt features, 10 rows per leaf) through the same flow."""
-    _, met = ML.train_classifier(_dataset(spark, sf_dir), "rf",
-                                 {"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 10, "max_features": "sqrt"},
-                                 n_splits=3, balanced=True)
-    return met
+    return ML.train_classifier(_dataset(spark, sf_dir), "rf", FOREST, n_splits=5, balanced=True)[1]
 
 
 @register("regression_training")
 def regression_training(spark, sf_dir):
-    """M8 + P25 + M9 + M19: elastic net on log1p hours and a GBT regressor, clamped, E4 on validation."""
-    coh = ML.materialize(ML.with_label(D.cohort(_dataset(spark, sf_dir), "total_duration_hours"),
-                                       "total_duration_hours"))
-    train, val = coh.where(F.col("split") == "train"), coh.where(F.col("split") == "validation")
+    """Elastic net raw and on log1p hours, forest and boosting, with 5 time folds; ranked by MAE."""
+    ds = ML.materialize(_dataset(spark, sf_dir))
     out = None
-    for name, kind, params, log in (("enet_log1p", "enet", {"alpha": 0.5, "l1_ratio": 0.5}, True),
-                                    ("gbt", "gbt", {"max_iter": 20, "max_depth": 4}, False)):
-        m = ML.regression_eval(ML.fit_regressor(train, kind, params, log), val).withColumn("model", F.lit(name))
+    for order, (name, kind, params, log) in enumerate((
+            ("enet", "enet", {"alpha": 0.5, "l1_ratio": 0.5}, False), ("enet_log1p", "enet", {"alpha": 0.5, "l1_ratio": 0.5}, True),
+            ("forest", "rf", {**FOREST, "max_features": 1.0}, False), ("boosting", "gbt", BOOSTING, False)), 1):
+        m = ML.train_regressor(ds, kind, params, 5, log)[1].withColumns({"model": F.lit(name), "model_order": F.lit(order)})
         out = m if out is None else out.unionByName(m)
-    return M.pick_winner(out.withColumn("model_order", F.when(F.col("model") == "enet_log1p", 1).otherwise(2)),
-                         "mae", higher_is_better=False)
+    return M.pick_winner(out, "mae", higher_is_better=False)
 
 
 def _fitted(spark, sf_dir):
@@ -114,12 +114,72 @@ def _fitted(spark, sf_dir):
 def batch_scores(spark, sf_dir):
     """X1 + P17-P20: score every usable opening snapshot in one pass (classification only with an SLA)."""
     ds, clf, reg = _fitted(spark, sf_dir)
-    feats = ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES)
+    feats = D.scoring_features(V.snapshot_view(spark, sf_dir)).where(F.col("feature_error").isNull()).drop("feature_error")
     return ML.score_cases(feats, clf, reg).select(
         "external_id", "delay_probability", "risk_score", "risk_level", "predicted_is_delayed", "predicted_hours",
         "ok", "error_code")
 
 
+# A fixed linear model on the raw features, so that SQL can follow every scoring rule.
+_Z = "-0.8 + 0.004 * least(coalesce(sla_duration_hours, 100.0), 500.0) + 0.05 * open_weekday - 0.03 * open_hour + CASE WHEN source = 'asia' THEN 0.6 ELSE 0.0 END"
+_HOURS = ("CASE WHEN open_month = 7 AND open_weekday = 3 THEN NULL ELSE 40.0 - 6.0 * open_month + 0.5 * coalesce(sla_duration_hours, 0.0) END")
+_P_STD, _HOURS_STD = "0.02 + 0.01 * open_weekday", "5.0 + open_month"
+
+
+def _fixed_scores(features, keep):
+    s = features.withColumns({"p": F.expr(f"1 / (1 + exp(-({_Z})))"), "y_raw": F.expr(f"CAST({_HOURS} AS DOUBLE)"),
+                              "p_std": F.expr(f"CAST({_P_STD} AS DOUBLE)"), "hours_std": F.expr(f"CAST({_HOURS_STD} AS DOUBLE)")})
+    return ML.decide_scores(s, keep, C.DEFAULT_THRESHOLD)
+
+
+def _fixed_sql(source, keep, has_sla):
+    p, h = "delay_probability", "predicted_hours"
+    score = f"CASE WHEN {p} IS NOT NULL THEN CAST(least(greatest(round_even({p} * 100, 0), 0), 100) AS BIGINT) END"
+    return f"""
+fx AS (SELECT *, CASE WHEN {has_sla} THEN 1 / (1 + exp(-({_Z}))) END AS {p}, greatest(CAST({_HOURS} AS DOUBLE), 0.0) AS h0,
+              CAST({_HOURS} AS DOUBLE) AS raw, CAST({_P_STD} AS DOUBLE) AS ps, CAST({_HOURS_STD} AS DOUBLE) AS hs FROM {source}),
+fy AS (SELECT *, CASE WHEN raw IS NULL THEN NULL ELSE h0 END AS {h} FROM fx)
+SELECT {keep}, {r(p)} AS {p}, {score} AS risk_score,
+       CASE WHEN {p} IS NULL THEN NULL WHEN {score} <= {C.RISK_LOW_MAX} THEN 'low' WHEN {score} <= {C.RISK_MEDIUM_MAX} THEN 'medium' ELSE 'high' END AS risk_level,
+       CAST(CASE WHEN {p} IS NULL THEN NULL WHEN {p} >= {C.DEFAULT_THRESHOLD} THEN 1 ELSE 0 END AS BIGINT) AS predicted_is_delayed,
+       {r(h)} AS {h},
+       {r(f"CASE WHEN {p} IS NOT NULL THEN greatest({p} - 2 * ps, 0.0) END")} AS probability_lower,
+       {r(f"CASE WHEN {p} IS NOT NULL THEN least({p} + 2 * ps, 1.0) END")} AS probability_upper,
+       {r(f"CASE WHEN {h} IS NOT NULL THEN greatest({h} - 2 * hs, 0.0) END")} AS hours_lower,
+       {r(f"CASE WHEN {h} IS NOT NULL THEN greatest({h} + 2 * hs, 0.0) END")} AS hours_upper,
+       CAST(CASE WHEN {h} IS NULL THEN 0 ELSE 1 END AS BIGINT) AS ok,
+       CASE WHEN {h} IS NULL THEN 'INVALID_REGRESSION_PREDICTION' END AS error_code
+FROM fy"""
+
+
+@register("fixed_model_scores", S.with_ctes("", "sfx").rstrip() + "," + _fixed_sql(
+    "(SELECT * FROM sfx WHERE feature_error = 0)", "external_id", "has_sla = 1"))
+def fixed_model_scores(spark, sf_dir):
+    """X1 + P17-P21 on a fixed linear model: every usable opening snapshot, with both intervals."""
+    feats = D.scoring_features(V.snapshot_view(spark, sf_dir)).where(F.col("feature_error").isNull())
+    return _fixed_scores(feats, ["external_id"])
+
+
+def _scenario_sql():
+    from docket.plans.q_interact import _SC_SQL
+
+    merged = ("(SELECT scenario_id, process_id, m_source AS source, open_month, m_open_weekday AS open_weekday, m_open_hour AS open_hour, "
+              "m_sla AS sla_duration_hours FROM scm WHERE reject_code IS NULL)")
+    return S.with_ctes("", "preds", "sfx").rstrip() + "," + _SC_SQL + "," + _fixed_sql(
+        merged, "scenario_id, process_id, 'simulation' AS prediction_context", "sla_duration_hours IS NOT NULL")
+
+
+@register("scenario_scores", _scenario_sql())
+def scenario_scores(spark, sf_dir):
+    """Every valid scenario scored on its effective features (SLA rule: effective hours, Q6)."""
+    from docket.operators import interact as I
+    from docket.plans import q_interact as QI
+
+    checked = I.override_rules(QI._scenarios(spark, sf_dir), I.known_values(V.catalog_view(spark, sf_dir)))
+    merged = I.scenario_merge(checked, V.prediction_view(spark, sf_dir), QI._features(spark, sf_dir))["merged"]
+    return _fixed_scores(merged, ["scenario_id", "process_id", "prediction_context"])
+
+
 @register("linear_importance")
 def linear_importance(spark, sf_dir):
     """X4 + X8 + P23: |coefficient| of the logistic model per raw feature (max over its one-hot columns), top 10 with labels."""
@@ -142,6 +202,32 @@ def permutation_importance(spark, sf_dir):
     return EX.importance_table(imp, 10)
 
 
+def _fixed_permutation_sql():
+    from docket.operators.explain import shuffle_factors
+    from docket.plans.q_metrics import _rank_sql
+
+    pairs = [(f, k) for f in C.ALL_FEATURES for k in range(C.PERMUTATION_REPEATS)]
+    p = f"round(1 / (1 + exp(-({_Z}))), 6)"
+    parts = [f"SELECT '{f}:{k}' AS g, is_delayed AS y, {p} AS p FROM (SELECT b.* REPLACE (d.{f} AS {f}) FROM b JOIN b d "
+             f"ON d.pos = ({a} * (b.pos + 1)) % (SELECT count(*) FROM b))" for (f, k), a in zip(pairs, shuffle_factors(len(pairs)))]
+    return f"""
+b AS (SELECT *, row_number() OVER (ORDER BY external_id) - 1 AS pos FROM dsx
+      WHERE schema_error = 0 AND is_delayed IS NOT NULL AND split = 'validation'),
+sc AS (SELECT 'base' AS g, is_delayed AS y, {p} AS p FROM b UNION ALL {" UNION ALL ".join(parts)}),""" + _rank_sql("sc", "g") + f"""
+SELECT split_part(g, ':', 1) AS feature, {r("avg(base - pr_auc)")} AS importance, {r("stddev_pop(base - pr_auc)")} AS importance_std
+FROM rk, (SELECT pr_auc AS base FROM rk WHERE g = 'base') WHERE g <> 'base' GROUP BY 1"""
+
+
+@register("permutation_fixed_scorer", S.with_ctes("", "dsx").rstrip() + "," + _fixed_permutation_sql())
+def permutation_fixed_scorer(spark, sf_dir):
+    """X3 on the fixed linear model: mean and spread of the drop in average precision for every raw feature."""
+    from docket.operators import explain as EX
+
+    val = ML.with_label(D.cohort(_dataset(spark, sf_dir), "is_delayed"), "is_delayed").where(F.col("split") == "validation")
+    return EX.permutation_importance(lambda df: df.withColumn("p", F.expr(f"round(1 / (1 + exp(-({_Z}))), 6)")),
+                                     val.select("external_id", "label", *C.ALL_FEATURES))
+
+
 @register("forest_spread")
 def forest_spread(spark, sf_dir):
     """X2 + P21: per-tree spread of a random forest and the +-2 std probability interval, every usable case."""
@@ -151,11 +237,12 @@ def forest_spread(spark, sf_dir):
     ds = ML.materialize(_dataset(spark, sf_dir))
     coh = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed")
     clf = ML.fit_classifier(coh.where(F.col("split") == "train"), "rf",
-                            {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 10})
+                            FOREST, balanced=True)
     feats = clf.prep.transform(ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES))
     sp = FO.forest_spread(feats, clf.model, "external_id")
-    lo, hi = X.prob_interval("tree_mean", "tree_std")
-    return sp.select("external_id", "tree_mean", "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
+    scored = sp.withColumn("p", F.col("tree_mean"))  # this forest is not calibrated: its mean is its probability
+    lo, hi = X.prob_interval("p", "tree_std")
+    return scored.select("external_id", "tree_mean", "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
 
 
 @register("forest_shap")
@@ -179,8 +266,7 @@ def forest_shap(spark, sf_dir):
 @register("boosting_training")
 def boosting_training(spark, sf_dir):
     """M6: gradient-boosted classifier through the same fold / calibration / threshold flow."""
-    _, met = ML.train_classifier(_dataset(spark, sf_dir), "gbt", {"max_iter": 10, "max_depth": 3}, n_splits=3)
-    return met
+    return ML.train_classifier(_dataset(spark, sf_dir), "gbt", BOOSTING, n_splits=5)[1]
 
 
 @register("hyperparameter_search")
@@ -189,6 +275,6 @@ def hyperparameter_search(spark, sf_dir):
     ds = _dataset(spark, sf_dir)
     coh = ML.materialize(ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed").where(F.col("split") == "train")
                          .select("external_id", "created_at", "label", *C.ALL_FEATURES))
-    folded = M.time_folds(coh, 3)
-    best, table = ML.search(folded, "logreg", {"C": [0.01, 0.1, 1.0, 10.0]}, n_candidates=2, n_splits=3)
+    folded = M.time_folds(coh, 5)
+    best, table = ML.search(folded, "logreg", C.SEARCH_SPACES["logreg"], n_candidates=5, n_splits=5)
     return table.withColumn("is_best", (F.col("params") == F.lit(str(best))).cast("int"))

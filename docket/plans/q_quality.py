@@ -214,3 +214,32 @@ def prediction_domain_violations(spark, sf_dir):
                                 & F.col("predicted_hours").isNull()),
     }
     return Q.domain_violations(p, rules)
+
+
+# Run and issue records derived from orders and line items, with values outside the domains on purpose.
+_COUNTERS = ["total_rows", "imported_rows", "inserted_rows", "updated_rows", "skipped_duplicate_rows", "quarantined_rows", "error_rows", "warning_count"]
+_RUN_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'paused' END"
+_RUN_COUNTERS = ", ".join(f"CAST(floor(o_totalprice) AS BIGINT) % {7 + i} - {i % 3} AS {c}" for i, c in enumerate(_COUNTERS))
+_ISSUE_COLS = """CASE l_returnflag WHEN 'A' THEN 'warning' WHEN 'N' THEN 'error' ELSE 'fatal' END AS severity,
+                 CASE l_linestatus WHEN 'O' THEN 'INVALID_DATE' ELSE CASE WHEN l_linenumber = 1 THEN NULL ELSE 'SOMETHING_ELSE' END END AS issue_code"""
+
+
+def _rules_sql(rules, source):
+    parts = [f"SELECT '{n}' AS rule, CAST(coalesce(sum(CASE WHEN {bad} THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM {source}" for n, bad in rules.items()]
+    return "\nUNION ALL ".join(parts)
+
+
+def _in(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@register("run_issue_domain_violations", f"""
+WITH runs AS (SELECT {_RUN_STATUS} AS status, {_RUN_COUNTERS} FROM orders), issues AS (SELECT {_ISSUE_COLS} FROM lineitem)
+""" + _rules_sql({"status_domain": f"status NOT IN ({_in(C.IMPORT_STATUSES)})", **{f"{c}_not_negative": f"{c} < 0" for c in _COUNTERS}}, "runs")
+          + "\nUNION ALL " + _rules_sql({"severity_domain": f"severity NOT IN ({_in(C.SEVERITIES)})",
+                                         "issue_code_domain": f"issue_code NOT IN ({_in(C.ISSUE_CODES)})"}, "issues"))
+def run_issue_domain_violations(spark, sf_dir):
+    """check-constraint violations of import runs and issues, one aggregate pass each."""
+    runs = read_table(spark, sf_dir, "orders").selectExpr(f"{_RUN_STATUS} AS status", *_RUN_COUNTERS.split(", "))
+    issues = read_table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _ISSUE_COLS.split(",\n")])
+    return Q.domain_violations(runs, Q.run_rules()).unionByName(Q.domain_violations(issues, Q.issue_rules()))
