@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import id_and_text, materialise
+from docket.llm.common import id_and_text, materialise, tidy
 
 #: Characters of the text that lead the sort key; bounds what the splitter sample brings to the driver.
 KEY_CHARS = 64
@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     key = [F.substring("text", 1, KEY_CHARS), F.col("sha"), F.col("doc_id")]
     runs = (rows.repartitionByRange(*key).sortWithinPartitions(*key)
-            .mapInArrow(_neighbours, "doc_id bigint, sha string, run_length bigint"))
+            .mapInArrow(tidy(_neighbours), "doc_id bigint, sha string, run_length bigint"))
     runs = materialise(runs, "runs")
     # ids ascend inside a run, so the row that carries the length also has the largest id; the smallest is found per run
     if keep == "max":

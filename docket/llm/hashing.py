@@ -10,7 +10,7 @@ from docket.llm.common import BoundedCache
 # Fixed odd multipliers of the two polynomial hashes.
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
 
 
 def word_cache() -> BoundedCache:

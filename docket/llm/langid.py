@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import lowest_hash, materialise, slices
+from docket.llm.common import lowest_hash, materialise, slices, tidy
 
 HIDDEN = 16
 PIECE = 24  # bytes read in one go; a longer word is read in pieces
@@ -270,4 +270,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang, pa.string()), pa.array(s)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, lang_pred string, score double")
+        tidy(run), "doc_id bigint, lang_pred string, score double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import materialise, sized, slices
+from docket.llm.common import materialise, sized, slices, tidy
 from docket.llm.hashing import M1, M2, RangeHash, mix, signed, word_cache
 
 MIN_WORDS = 5
@@ -135,7 +135,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     keyed = _keyed(docs, id_col, text_col).filter("text IS NOT NULL")
-    lines = materialise(keyed.mapInArrow(_lines(min_words), LINE_SCHEMA), "lines").select("h1", "h2", F.struct(*ROW).alias("me"), "halves")
+    lines = materialise(keyed.mapInArrow(tidy(_lines(min_words)), LINE_SCHEMA), "lines").select("h1", "h2", F.struct(*ROW).alias("me"), "halves")
     # repeated lines: counted first, so that only they are looked at by place
     many = _stored(lines.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "repeated")
     firsts = _stored(lines.join(many, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("me").alias("first")), "firsts")
@@ -162,9 +162,9 @@ def near_lines(keyed: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     wanted = materialise(rows.select("me.*").groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted")), "wanted")
     size = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
     texts = (keyed.join(sized(wanted, size), _same(keyed, wanted, ["doc_id", "th"])).select(keyed["doc_id"], keyed["th"], "text", "wanted"))
-    bodies = materialise(texts.mapInArrow(_pick, "doc_id bigint, th bigint, line int, body string"), "half-sharing-lines").dropDuplicates(ROW)
+    bodies = materialise(texts.mapInArrow(tidy(_pick), "doc_id bigint, th bigint, line int, body string"), "half-sharing-lines").dropDuplicates(ROW)
 
-    variants = materialise(bodies.mapInArrow(_variants, "v1 bigint, v2 bigint, pos int, doc_id bigint, th bigint, line int"), "variants")
+    variants = materialise(bodies.mapInArrow(tidy(_variants), "v1 bigint, v2 bigint, pos int, doc_id bigint, th bigint, line int"), "variants")
     variants = variants.select("v1", "v2", "pos", F.struct(*ROW).alias("me"))
     # keys of one line alone cannot match anything
     several = _stored(variants.groupBy("v1", "v2").count().filter("count > 1").select("v1", "v2"), "shared-variants")
@@ -184,12 +184,13 @@ def near_lines(keyed: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = []
-        for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            drop = set(gone or ())
-            texts.append(t if not drop else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "clean_text" else b.column(n)
-                                          for n in ("row", "clean_text", "n_exact", "n_near")], ["row", "clean_text", "n_exact", "n_near"])
+        for piece in slices(b):
+            texts = []
+            for t, gone in zip(piece.column("text").to_pylist(), piece.column("gone").to_pylist(), strict=True):
+                drop = set(gone or ())
+                texts.append(t if not drop else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "clean_text" else piece.column(n)
+                                              for n in ("row", "clean_text", "n_exact", "n_near")], ["row", "clean_text", "n_exact", "n_near"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True) -> DataFrame:
@@ -210,4 +211,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "row", F.col("row")[text_col].cast("string").alias("text"), "gone", F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"))
     kind = rows.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_clean, f"row {kind}, clean_text string, n_exact bigint, n_near bigint")
+    return joined.mapInArrow(tidy(_clean), f"row {kind}, clean_text string, n_exact bigint, n_near bigint")

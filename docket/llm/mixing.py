@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import id_and_text, lowest_hash, materialise, slices
+from docket.llm.common import id_and_text, lowest_hash, materialise, slices, tidy
 from docket.llm.hashing import word_cache
 
 BITS = 14
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, domain_col: str) -> Cla
     chosen = lowest_hash(rows.select("doc_id", "domain"), SAMPLE_DOCS, "doc_id", "domain")
     # bounded: SAMPLE_DOCS ids
     sample = rows.join(F.broadcast(materialise(chosen, "mix-sample")), ["doc_id", "domain"], "left_semi").select("domain", "text")
-    got = sample.mapInArrow(_sparse, "domain string, buckets binary, vals binary").collect()
+    got = sample.mapInArrow(tidy(_sparse), "domain string, buckets binary, vals binary").collect()
     names = [r["domain"] for r in got]
     domains = sorted(sorted(set(names), key=lambda d: (-names.count(d), d))[:DOMAINS])
     got = [r for r in got if r["domain"] in set(domains)]
@@ -114,7 +114,7 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
                      pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.reshape(-1)))], ["doc_id", "th", "n_tokens", "p"])
 
     rows = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, n_tokens bigint, p array<double>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, th bigint, n_tokens bigint, p array<double>")
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -214,7 +214,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), b.column("n_tokens"), pa.array(names[best], pa.string()),
                                                   pa.array(p[np.arange(len(p)), best]), pa.array(r)], ["doc_id", "th", "n_tokens", "domain", "posterior", "rate"])
 
-    rated = table.mapInArrow(run, "doc_id bigint, th bigint, n_tokens bigint, domain string, posterior double, rate double")
+    rated = table.mapInArrow(tidy(run), "doc_id bigint, th bigint, n_tokens bigint, domain string, posterior double, rate double")
     u = F.pmod(F.xxhash64("doc_id", "th", F.lit("copies")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rated.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 

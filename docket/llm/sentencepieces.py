@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.llm import spm_model as S
-from docket.llm.common import id_and_text, slices
+from docket.llm.common import id_and_text, slices, tidy
 
 THREADS = 2
-WORDS_KEPT = 1_000_000  # words a task remembers at once
+WORDS_KEPT = 300_000  # words a task remembers at once
 HIDDEN = "\U0010fffe"  # noncharacter: keeps control pieces from matching text
 
 
@@ -80,19 +80,34 @@ class Encoder:
         whole = all(a == S.SPACE or b != S.SPACE for p, _, _ in m.pieces for a, b in zip(p, p[1:], strict=False))
         breaks = not any("\n" in p for p, _, t in m.pieces if t == S.NORMAL)
         self.by_word = plain and whole and breaks and m.byte_fallback
-        if self.by_word:
+        if self.by_word:  # the one tokenizer then encodes words and decodes texts
             from tokenizers import normalizers
 
-            self.words = build(data)
-            self.words.normalizer = normalizers.Replace(" ", S.SPACE)
+            self.tokenizer.normalizer = normalizers.Replace(" ", S.SPACE)  # the leading marker comes with the words
             gap = " " + S.SPACE  # a marker in the text itself counts as a space
             self.cut = re.compile(f"[{gap}]+[^{gap}\n]*|\n|[^{gap}\n]+")
             self.reset()
 
     def reset(self):
+        """Forget all words."""
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.same = np.empty(0, dtype=bool)  # whether the library gives a word the same ids
+        self.uses = np.empty(0, dtype=np.int64)  # how often a word was met since the last clean-up
+
+    def forget(self):
+        """Keep the words that were met more than once, if they are at most half of what may be kept; else start afresh."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > WORDS_KEPT // 2:
+            self.reset()
+            return
+        wanted = set(keep.tolist())
+        words = [w for i, w in enumerate(self.index) if i in wanted]  # in the order of their numbers
+        n = self.sizes[keep]
+        starts = np.cumsum(n) - n
+        self.flat = self.flat[np.repeat(self.starts[keep] - starts, n) + np.arange(n.sum())]
+        self.starts, self.sizes, self.same, self.uses = starts, n, self.same[keep], np.zeros(len(keep), dtype=np.int64)
+        self.index = dict(zip(words, range(len(words)), strict=True))
 
     @cached_property
     def library(self):
@@ -101,13 +116,14 @@ class Encoder:
         return sentencepiece.SentencePieceProcessor(model_proto=self.data)
 
     def learn(self, words: list[str], verify: bool):
-        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))])
         self.same = np.concatenate([self.same, self.agrees(words, ids) if verify else np.zeros(len(words), dtype=bool)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
 
     def agrees(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
         """Compare with the library, which puts a marker before a text: here before a line break, whose two ids are left out."""
@@ -122,13 +138,14 @@ class Encoder:
             return ids, np.array([x.tolist() == list(y) for x, y in zip(ids, want, strict=True)], dtype=bool)
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         new = list({w for c in cut for w in c if w not in self.index})
-        if len(self.index) + len(new) > WORDS_KEPT:  # start afresh; a single batch may hold more
-            self.reset()
-            new = list({w for c in cut for w in c})
+        if len(self.index) + len(new) > WORDS_KEPT:
+            self.forget()
+            new = list({w for c in cut for w in c if w not in self.index})
         if new:
             self.learn(new, verify)
         size = [len(c) for c in cut]
         at = np.fromiter((self.index[w] for c in cut for w in c), dtype=np.int64, count=sum(size))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         n = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else self.flat[:0]
@@ -141,7 +158,7 @@ _built: dict[bytes, Encoder] = {}
 
 
 def _backend(data: bytes, threads: int, verify: bool = False) -> Encoder:
-    """One encoder a worker process, kept between tasks; thread count is set before the library starts its pool."""
+    """One encoder a worker process, kept (without its words) between tasks; thread count is set before the library starts its pool."""
     key = hashlib.sha256(data).digest() + bytes([verify])
     if key not in _built:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
@@ -172,8 +189,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 ids = _id_column(encoder.encode([t or "" for t in texts])[0])
                 null = pa.array([t is None for t in texts])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pc.if_else(null, pa.scalar(None, ids.type), ids)], ["doc_id", "ids"])
+        encoder.reset()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids", threads: int = THREADS) -> DataFrame:
@@ -190,7 +208,7 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
                                                  ["doc_id", "text"])
 
     rows = encoded.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id bigint, text string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, text string")
 
 
 def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS,
@@ -219,6 +237,7 @@ def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                      pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]),
                      pa.array([a == t for a, t in zip(back, texts, strict=True)]), pa.array(same), *extra],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids])
+        encoder.reset()  # a worker that goes on with other work keeps no words
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids)
+        tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids)

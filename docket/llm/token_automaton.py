@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.llm import spm_model as S
-from docket.llm.common import id_and_text, slices
+from docket.llm.common import id_and_text, slices, tidy
 
 CHUNK = 512  # characters of a chunk
 MAX_STATES = 150_000  # states kept by a task
@@ -267,4 +267,4 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = LIMIT, id_col: str
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = id_and_text(docs, id_col, text_col).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import id_and_text, lowest_hash, materialise, slices
+from docket.llm.common import id_and_text, lowest_hash, materialise, slices, tidy
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -26,6 +26,7 @@ BUCKETS = 1 << BITS
 FEATURES = 2048  # buckets kept for the linear model
 SAMPLE = {1: 6_000, 0: 12_000}  # labelled rows per class the model is fitted on
 SAMPLE_TASKS = 16
+CHUNK = 500_000  # characters handled at once: every position has three buckets
 SMOOTHING = 1.0
 
 
@@ -74,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), dtype=np.int32)
     rows = np.zeros(2, dtype=np.int64)
     for b in batches:
-        for piece in slices(b):
+        for piece in slices(b, chars=CHUNK):
             label = piece.column("label").to_numpy()
             row, bucket = features(piece.column("text").to_pylist())
             for c in (0, 1):
@@ -112,16 +113,30 @@ def _select(df: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, ratio[best]
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int,
-              l2: float = 1e-4, steps: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on sparse rows by Adam over the whole sample."""
+def _logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 150,
+              rate: float = 0.1, chunk: int = 1000) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Adam over the whole sample; ``rows`` hold the features present, each with value ``scale``.
+
+    Rows are gone through in chunks, so that little beside the features themselves is in memory.
+    """
+    k = len(scale)
+    parts = []
+    for at in range(0, len(rows), chunk):
+        part = rows[at:at + chunk]
+        parts.append((slice(at, at + len(part)), np.concatenate(part).astype(np.int16), np.array([len(r) for r in part])))
     w = np.zeros(k + 1)
     w[k] = np.log((weight[y == 1].sum() + 1e-9) / (weight[y == 0].sum() + 1e-9))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[col] * value, minlength=len(y)) + w[k]
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(np.bincount(col, weights=g[row] * value, minlength=k), g.sum()) / weight.sum()
+        grad = np.zeros(k + 1)
+        for at, col, size in parts:
+            sums = np.concatenate([[0.0], np.cumsum((w[:k] * scale)[col])])
+            ends = np.cumsum(size)
+            z = sums[ends] - sums[ends - size] + w[k]
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) * weight[at]
+            grad[:k] += np.bincount(col, weights=np.repeat(g, size), minlength=k) * scale
+            grad[k] += g.sum()
+        grad /= weight.sum()
         grad[:k] += l2 * w[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -147,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .select("label", F.coalesce("text", F.lit("")).alias("text")))
     train = materialise(train, "toxic-train").repartition(SAMPLE_TASKS)
     schema = "part int, counts binary, clean bigint, toxic bigint"
-    parts = train.mapInArrow(_count, schema).groupBy("part").applyInArrow(_sum, schema).orderBy("part").collect()
+    parts = train.mapInArrow(tidy(_count), schema).groupBy("part").applyInArrow(_sum, schema).orderBy("part").collect()
     if not parts:
         return Model(np.zeros(BUCKETS, dtype=np.float32), -500.0)
     df = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64).reshape(2, -1) for r in parts], axis=1)
@@ -157,13 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best, ratio = _select(df, rows)
     wanted = np.zeros(BUCKETS, dtype=bool)
     wanted[best] = True
-    sparse = train.mapInArrow(_sparse(wanted), "label int, buckets binary").collect()
-    y = np.array([r["label"] for r in sparse], dtype=float)
-    ids = [np.frombuffer(r["buckets"], dtype=np.int32) for r in sparse]
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    col = np.searchsorted(best, np.concatenate(ids)) if len(row) else np.empty(0, dtype=int)
+    sparse = train.mapInArrow(tidy(_sparse(wanted)), "label int, buckets binary").toArrow()  # at most SAMPLE rows of feature numbers
+    y = sparse.column("label").to_numpy().astype(float)
+    present = [np.searchsorted(best, np.frombuffer(x.as_py(), dtype=np.int32)).astype(np.int16) for x in sparse.column("buckets")]
+    del sparse
     share = np.array([n[0], n[1]]) / rows
-    w, bias = _logistic(row, col, ratio[col], y, share[y.astype(int)], len(best))
+    w, bias = _logistic(present, ratio, y, share[y.astype(int)])
     weight = np.zeros(BUCKETS, dtype=np.float32)
     weight[best] = w * ratio
     return Model(weight, bias)
@@ -172,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _sparse(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b):
+            for piece in slices(b, chars=CHUNK):
                 row, bucket = features(piece.column("text").to_pylist(), wanted)
                 cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 ids = bucket.astype(np.int32)
@@ -208,10 +222,10 @@ def _scored(rows: DataFrame, text_col: str, model: Model, keep: list[str]) -> Da
         weight[small[0]] = small[1]
         local = Model(weight, small[2])
         for b in batches:
-            for piece in slices(b, text_col):
+            for piece in slices(b, text_col, CHUNK):
                 s = local.scores(piece.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                                  [*keep, "score", "predicted"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")

@@ -78,6 +78,16 @@ def test_encode_decode_parity(spark, library, prose):
     assert E.verify(df.limit(0), MODEL).count() == 0
 
 
+def test_encoder_forgets_rare_words(library, prose, monkeypatch):
+    monkeypatch.setattr(E, "WORDS_KEPT", 3000)
+    enc = E.Encoder(MODEL)
+    for k in range(0, 200, 5):
+        texts = prose[k:k + 5] + ODD[k % len(ODD):k % len(ODD) + 2]
+        found, same = enc.encode(texts, verify=True)
+        assert [x.tolist() for x in found] == library.encode(texts) and same.all()
+    assert len(enc.index) <= 6000
+
+
 def _field(number, payload):
     if isinstance(payload, bytes):
         size, out = len(payload), b""
