@@ -25,7 +25,7 @@ from docket.llm import spm_model as S
 from docket.llm.common import id_and_text, slices, tidy
 
 THREADS = 2
-WORDS_KEPT = 300_000  # words a task remembers at once
+WORDS_KEPT = 500_000  # words a task remembers at once
 HIDDEN = "\U0010fffe"  # noncharacter: keeps control pieces from matching text
 
 
