@@ -73,8 +73,8 @@ class Encoder:
     together from them.  Other models encode whole texts.
     """
 
-    def __init__(self, data: bytes, threads: int = THREADS):
-        self.tokenizer, self.data, self.threads = build(data), data, threads
+    def __init__(self, data: bytes, threads: int = THREADS, kept: int | None = None):
+        self.tokenizer, self.data, self.threads, self.kept = build(data), data, threads, kept or WORDS_KEPT
         m = S.parse(data)
         plain = not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix
         whole = all(a == S.SPACE or b != S.SPACE for p, _, _ in m.pieces for a, b in zip(p, p[1:], strict=False))
@@ -98,7 +98,7 @@ class Encoder:
     def forget(self):
         """Keep the words that were met more than once, if they are at most half of what may be kept; else start afresh."""
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > WORDS_KEPT // 2:
+        if len(keep) > self.kept // 2:
             self.reset()
             return
         wanted = set(keep.tolist())
@@ -138,7 +138,7 @@ class Encoder:
             return ids, np.array([x.tolist() == list(y) for x, y in zip(ids, want, strict=True)], dtype=bool)
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         new = list({w for c in cut for w in c if w not in self.index})
-        if len(self.index) + len(new) > WORDS_KEPT:
+        if len(self.index) + len(new) > self.kept:
             self.forget()
             new = list({w for c in cut for w in c if w not in self.index})
         if new:
@@ -157,13 +157,13 @@ class Encoder:
 _built: dict[bytes, Encoder] = {}
 
 
-def _backend(data: bytes, threads: int, verify: bool = False) -> Encoder:
+def _backend(data: bytes, threads: int, verify: bool = False, kept: int | None = None) -> Encoder:
     """One encoder a worker process, kept (without its words) between tasks; thread count is set before the library starts its pool."""
-    key = hashlib.sha256(data).digest() + bytes([verify])
+    key = hashlib.sha256(data).digest() + f"{verify} {kept}".encode()
     if key not in _built:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         _built.clear()
-        _built[key] = Encoder(data, threads)
+        _built[key] = Encoder(data, threads, kept)
     return _built[key]
 
 
@@ -212,18 +212,19 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
 
 
 def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, kept: int | None = None) -> DataFrame:
     """Encode, decode and compare every row with the sentencepiece library, in one pass over the text.
 
     ``doc_id, n_tokens, ids_sha256`` (of the ids as little-endian 32-bit integers),
     ``decoded_sha256`` (of the decoded text in UTF-8), ``round_trip`` (decoded
     text equals the text) and ``parity`` (the library gives the same ids; where words are encoded
     one by one, every distinct word is held against it, as no piece reaches across);
-    ``with_ids`` adds ``ids array<int>``.  A NULL text counts as empty.
+    ``with_ids`` adds ``ids array<int>``; ``kept`` bounds the words a task remembers (speed only).
+    A NULL text counts as empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _backend(model, threads, verify=True)
+        encoder = _backend(model, threads, verify=True, kept=kept)
         for b in batches:
             for piece in slices(b):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
