@@ -198,9 +198,9 @@ def with_label(df: DataFrame, target: str) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, kind: str, params: dict | None = None, balanced: bool = False,
-                   seed: int = 42) -> FittedClassifier:
-    """Fit prep + estimator on one training frame (has ``label``)."""
-    prep = fit_prep(train)
+                   seed: int = 42, prep: PrepModel | None = None) -> FittedClassifier:
+    """Fit prep (unless given) + estimator on one training frame (has ``label``)."""
+    prep = prep or fit_prep(train)
     t = prep.transform(train)
     wcol = None
     if balanced:
@@ -214,11 +214,11 @@ def fit_classifier(train: DataFrame, kind: str, params: dict | None = None, bala
 
 
 def oof_predictions(folded: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5,
-                    balanced: bool = False) -> DataFrame:
+                    balanced: bool = False, preps: Sequence[PrepModel] | None = None) -> DataFrame:
     """Out-of-fold raw probabilities: for each fold fit on earlier rows, score the fold."""
     def one(k: int) -> DataFrame:
         tr, te = fold_frames(folded, k)
-        return fit_classifier(tr, kind, params, balanced).raw_scores(te).withColumn("fold", F.lit(k))
+        return fit_classifier(tr, kind, params, balanced, prep=preps[k] if preps else None).raw_scores(te).withColumn("fold", F.lit(k))
 
     return reduce(DataFrame.unionByName, _together(folded.sparkSession, one, n_splits))
 
@@ -443,8 +443,10 @@ def search(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: i
     A candidate whose parameters the estimator refuses stays in the table with
     its error; every other failure is raised.
     """
+    # the preprocessing of a fold is the same for all candidates
+    preps = _together(folded.sparkSession, lambda k: fit_prep(fold_frames(folded, k)[0]), n_splits)
     return _search(folded, space, n_candidates, "cv_pr_auc_mean", True,
-                   lambda cand: fold_metrics(oof_predictions(folded, kind, cand, n_splits, balanced)))
+                   lambda cand: fold_metrics(oof_predictions(folded, kind, cand, n_splits, balanced, preps)))
 
 
 def search_regressor(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5,
