@@ -90,12 +90,12 @@ def forest_training(spark, sf_dir):
 
 @register("regression_training")
 def regression_training(spark, sf_dir):
-    """Elastic net raw and on log1p hours, and boosting, with 5 time folds; ranked by MAE."""
+    """Elastic net raw and on log1p hours, forest and boosting, with 5 time folds; ranked by MAE."""
     ds = ML.materialize(_dataset(spark, sf_dir))
     out = None
     for order, (name, kind, params, log) in enumerate((
             ("enet", "enet", {"alpha": 0.5, "l1_ratio": 0.5}, False), ("enet_log1p", "enet", {"alpha": 0.5, "l1_ratio": 0.5}, True),
-            ("boosting", "gbt", BOOSTING, False)), 1):
+            ("forest", "rf", {**FOREST, "max_features": 1.0}, False), ("boosting", "gbt", BOOSTING, False)), 1):
         m = ML.train_regressor(ds, kind, params, 5, log)[1].withColumns({"model": F.lit(name), "model_order": F.lit(order)})
         out = m if out is None else out.unionByName(m)
     return M.pick_winner(out, "mae", higher_is_better=False)
@@ -275,12 +275,58 @@ def boosting_training(spark, sf_dir):
     return ML.train_classifier(_dataset(spark, sf_dir), "gbt", BOOSTING, n_splits=5)[1]
 
 
+#: Candidates and time folds of every search.
+CANDIDATES, SEARCH_FOLDS = 5, 5
+
+
+def _search_rows(spark, sf_dir, target):
+    coh = ML.with_label(D.cohort(_dataset(spark, sf_dir), target), target).where(F.col("split") == "train")
+    return M.time_folds(ML.materialize(coh.select("external_id", "created_at", "label", *C.ALL_FEATURES)), SEARCH_FOLDS)
+
+
+def _marked(best, table):
+    return table.withColumn("is_best", (F.col("params") == F.lit(str(best))).cast("int"))
+
+
+def _classifier_search(spark, sf_dir, kind, balanced=False):
+    return _marked(*ML.search(_search_rows(spark, sf_dir, "is_delayed"), kind, C.SEARCH_SPACES[kind], CANDIDATES, SEARCH_FOLDS, balanced))
+
+
+def _regressor_search(spark, sf_dir, kind, log1p=False):
+    return _marked(*ML.search_regressor(_search_rows(spark, sf_dir, "total_duration_hours"), kind, C.SEARCH_SPACES[kind], CANDIDATES, SEARCH_FOLDS, log1p))
+
+
 @register("hyperparameter_search")
 def hyperparameter_search(spark, sf_dir):
     """Seeded random draws of the regularisation strength, scored by mean OOF PR-AUC over time folds."""
-    ds = _dataset(spark, sf_dir)
-    coh = ML.materialize(ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed").where(F.col("split") == "train")
-                         .select("external_id", "created_at", "label", *C.ALL_FEATURES))
-    folded = M.time_folds(coh, 5)
-    best, table = ML.search(folded, "logreg", C.SEARCH_SPACES["logreg"], n_candidates=5, n_splits=5)
-    return table.withColumn("is_best", (F.col("params") == F.lit(str(best))).cast("int"))
+    return _classifier_search(spark, sf_dir, "logreg")
+
+
+@register("forest_search")
+def forest_search(spark, sf_dir):
+    """Five seeded draws from the forest's grid (balanced classes), scored by mean OOF PR-AUC."""
+    return _classifier_search(spark, sf_dir, "rf", balanced=True)
+
+
+@register("boosting_search")
+def boosting_search(spark, sf_dir):
+    """Five seeded draws from the boosting grid, scored by mean OOF PR-AUC."""
+    return _classifier_search(spark, sf_dir, "gbt")
+
+
+@register("enet_regressor_search")
+def enet_regressor_search(spark, sf_dir):
+    """Five seeded draws from the elastic net's grid on log1p hours, scored by mean OOF MAE."""
+    return _regressor_search(spark, sf_dir, "enet", log1p=True)
+
+
+@register("forest_regressor_search")
+def forest_regressor_search(spark, sf_dir):
+    """Five seeded draws from the forest's grid, scored by mean OOF MAE."""
+    return _regressor_search(spark, sf_dir, "rf")
+
+
+@register("boosting_regressor_search")
+def boosting_regressor_search(spark, sf_dir):
+    """Five seeded draws from the boosting grid, scored by mean OOF MAE."""
+    return _regressor_search(spark, sf_dir, "gbt")

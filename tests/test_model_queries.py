@@ -21,3 +21,35 @@ def test_forest_queries_share_one_whole_forest(spark, monkeypatch):
     assert Q.forest_shap(spark, SF_SMALL).count() == 3 * n > 0
     assert fits == [("rf", Q.FOREST, True)]
     assert Q.FOREST == {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 10, "max_features": "sqrt"}
+
+
+def test_every_model_is_searched_and_the_forest_regressor_competes(spark, monkeypatch):
+    from docket import config as C
+    from docket.plans.registry import load
+
+    seen = []
+
+    def searched(name):
+        def run(folded, kind, space, n, folds, flag=False):
+            seen.append((name, kind, space, n, folds, flag))
+            return {}, spark.createDataFrame([("{}", 1.0)], "params string, score double")
+        return run
+
+    monkeypatch.setattr(ML, "search", searched("classifier"))
+    monkeypatch.setattr(ML, "search_regressor", searched("regressor"))
+    queries = load()[0]
+    for name in [n for n in queries if n.endswith("_search") and n != "threshold_search"]:
+        assert queries[name](spark, SF_SMALL).first()["is_best"] == 1
+    want = [("classifier", "logreg", False), ("classifier", "rf", True), ("classifier", "gbt", False),
+            ("regressor", "enet", True), ("regressor", "rf", False), ("regressor", "gbt", False)]
+    assert sorted(seen, key=str) == sorted([(n, k, C.SEARCH_SPACES[k], 5, 5, f) for n, k, f in want], key=str)
+
+    fits = []
+
+    def trained(ds, kind, params, folds, log):
+        fits.append((kind, params, folds, log))
+        return None, spark.createDataFrame([("validation", 1.0 + len(fits))], "split string, mae double")
+
+    monkeypatch.setattr(ML, "train_regressor", trained)
+    assert Q.regression_training(spark, SF_SMALL).count() == 4
+    assert ("rf", {**Q.FOREST, "max_features": 1.0}, 5, False) in fits
