@@ -29,7 +29,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(ids, shas, lengths):
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(lengths, pa.int64())],
+            [ids, pa.array(shas, pa.string()), pa.array(lengths, pa.int64())],
             ["doc_id", "sha", "run_length"])
 
     for b in batches:
@@ -39,7 +39,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(b.num_rows, dtype=bool)
         same[1:] = pc.equal(text.slice(1), text.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
         same[0] = held is not None and held[2] == text[0].as_py()
-        ids = b.column("doc_id").to_numpy()
+        ids = b.column("doc_id")  # stays an Arrow column: ids may be NULL
         shas = b.column("sha").to_pylist()
         starts = np.flatnonzero(~same)
         # length of the run up to every row, carried over from the batch before
@@ -48,11 +48,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.zeros(b.num_rows, dtype=np.int64)
         ends[starts[starts > 0] - 1] = run[starts[starts > 0] - 1]
         if held is not None:
-            yield out([held[0]], [held[1]], [0 if same[0] else length])
-        yield out(ids[:-1], shas[:-1], ends[:-1])
-        held, length = (int(ids[-1]), shas[-1], text[-1].as_py()), int(run[-1])
+            yield out(held[0], [held[1]], [0 if same[0] else length])
+        yield out(ids.slice(0, b.num_rows - 1), shas[:-1], ends[:-1])
+        held, length = (pa.array([ids[-1].as_py()], pa.int64()), shas[-1], text[-1].as_py()), int(run[-1])
     if held is not None:
-        yield out([held[0]], [held[1]], [length])
+        yield out(held[0], [held[1]], [length])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
@@ -64,7 +64,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tells whether the smallest (``min``) or largest (``max``) id of a group
     stays.  A NULL text counts as the empty text, so NULL and ``''`` form one
     group.  Ids are expected to be unique; of rows with the same id and text
-    each counts and all carry the same ``kept`` flag.  Other columns are
+    each counts and all carry the same ``kept`` flag.  A row with a NULL id counts
+    in its group's size but never stays for the others: ``keep_id`` is the best id that is not NULL (NULL if the group has
+    none) and its own ``kept`` is NULL.  Other columns are
     ignored; an empty table gives an empty result.  Very long texts only need
     to fit into one Arrow batch.
     """

@@ -36,3 +36,14 @@ def test_small_batches(spark):
         assert run(spark, rows, keep="max") == brute(rows, max)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_null_ids(spark):
+    rows = [(None, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (None, "own"), (None, None), (3, ""), (4, "c")]
+    sha = {t: hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    best = {"min": {"a": 1, "": 3, "c": 4}, "max": {"a": 2, "": 3, "c": 4}}
+    size = {"a": 3, "b": 2, "own": 1, "": 2, "c": 1}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for keep in ("min", "max"):
+        want = [(i, best[keep].get(t or ""), size[t or ""], None if i is None else i == best[keep][t or ""], sha[t]) for i, t in rows]
+        assert sorted(map(tuple, exact_dedup(df, keep=keep).collect()), key=str) == sorted(want, key=str)
