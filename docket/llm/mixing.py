@@ -5,13 +5,14 @@ document a posterior over the domains.  Document i with n_i tokens and posterior
 r_i n_i p_i to the expected domain totals.  Rates start at 1, and projected
 gradient steps on the least squares distance to the target totals move them, each clipped to
 [min_rate, max_rate] with min_rate >= 0:  r <- clip(r - p_i . M (T - t)), M the inverse of
-sum n_i p_i p_i', which makes a step of one the safe step length.  A step needs
+sum n_i p_i p_i', which makes a step of one the safe step length; momentum speeds them up.  A step needs
 only the totals T: one pass over a narrow table; the few step vectors so far are
 replayed on every row, so rates are never collected.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,9 @@ from docket.llm.hashing import word_cache
 BITS = 14
 SAMPLE_DOCS = 4_000  # labelled rows the classifier is fitted on
 DOMAINS = 200  # the most frequent labels are learned
-STEPS = 60  # projected-gradient steps at most
+STEPS = 1000  # projected-gradient steps after which the fit fails
 TOLERANCE = 1e-3  # of every target total
+STILL = 1e-4  # share of the wanted tokens below which a step counts as moving nothing
 
 
 def word_vectors(texts: list[str | None], cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,21 +125,28 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 def _rates(p: np.ndarray, steps: np.ndarray, low: float, high: float) -> np.ndarray:
     """Replay the steps from rate 1."""
-    r = np.clip(np.ones(len(p)), low, high)
+    return _last_rates(p, steps, low, high)[2]
+
+
+def _last_rates(p: np.ndarray, steps: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rates before the last step, where its momentum (the last number of a step) led, and after it."""
+    before = ahead = r = np.clip(np.ones(len(p)), low, high)
     for s in steps:
-        r = np.clip(r - p @ s, low, high)
-    return r
+        ahead = r + s[-1] * (r - before)
+        before, r = r, np.clip(ahead - p @ s[:-1], low, high)
+    return before, ahead, r
 
 
 def _totals(steps: np.ndarray, low: float, high: float, gram: bool):
-    """Expected domain totals under the rates so far; ``gram`` adds sum n p p'."""
+    """Expected domain totals under the rates so far and the tokens that the last step moved, and its turn against the momentum; ``gram`` adds sum n p p'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if b.num_rows:
                 p, n = _matrix(b), b.column("n_tokens").to_numpy().astype(float)
-                add = (_rates(p, steps, low, high) * n) @ p
+                before, ahead, r = _last_rates(p, steps, low, high)
+                add = np.append((r * n) @ p, [(np.abs(r - before) * n).sum(), ((ahead - r) * (r - before) * n).sum()])
                 if gram:
                     add = np.concatenate([add, ((p * n[:, None]).T @ p).reshape(-1)])
                 total = add if total is None else total + add
@@ -159,31 +168,51 @@ def fit_steps(table: DataFrame, weights: np.ndarray, total: float | str | None,
     """Projected-gradient steps on the memberships ``table``: step vectors, target totals, totals reached.
 
     ``total`` is the number of tokens wanted, or ``natural`` for as many as there
-    are; None takes the fewest for which no domain has to shrink.
+    are; None takes the fewest for which no domain has to shrink.  Ends when every total is within ``TOLERANCE`` or
+    a step moves nothing any more (``STILL``): the problem is convex, so the totals are then the nearest within the bounds.
     """
     k = len(weights)
-    steps = np.zeros((0, k))
+    steps = np.zeros((0, k + 1))
     first = _measure(table, steps, 1.0, 1.0, gram=True)
     if not len(first) or not first[:k].sum():
         return steps, np.zeros(k), np.zeros(k)
-    natural, gram = first[:k], first[k:].reshape(k, k)
+    natural, gram = first[:k], first[k + 2:].reshape(k, k)
     if total is None:
         total = float((natural[weights > 0] / weights[weights > 0]).max())
     target = weights * (natural.sum() if total == "natural" else float(total))
     metric = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
-    for _ in range(STEPS):
-        now = _measure(table, steps, low, high)
-        if (np.abs(now - target) <= TOLERANCE * np.maximum(target, 1.0)).all():
-            break
-        steps = np.vstack([steps, metric @ (now - target)])
-    else:
-        now = _measure(table, steps, low, high)
-    return steps, target, now
-
-
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-        total: float | str | None = None, min_rate: float = 0.0, max_rate: float = float("inf")) -> DataFrame:
-    """``doc_id, th, n_tokens, domain, posterior, rate, copies`` for every row of ``docs``.
+    last, age = None, 1.0
+    while True:
+        *now, moved, turn = _measure(table, steps, low, high)
+        now = np.array(now)
+        if (np.abs(now - target) <= TOLERANCE * np.maximum(target, 1.0)).all() or len(steps) and moved <= STILL * target.sum():
+            return steps, target, now
+        if len(steps) == STEPS:
+            raise RuntimeError(f"mix not found in {STEPS} steps: targets {target.tolist()}, reached {now.tolist()}")
+        older = 1.0 if turn > 0 else age  # momentum starts afresh when the steps turn against it
+        age = (1 + np.sqrt(1 + 4 * older * older)) / 2
+        momentum = (older - 1) / age
+        ahead = now + momentum * (now - (now if last is None else last))
+        steps = np.vstack([steps, np.append(metric @ (ahead - target), momentum)])
+        last = now
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *args, **kw) -> DataFrame:
+    """The rates of ``plan``; a domain total off its target is warned about."""
+    rated, totals = plan(docs, labelled, weights, *args, **kw)
+    if missed := missed_totals(totals):
+        warnings.warn(f"mix within the bounds only nearest to the wanted totals (domain, target, reached): {missed}", stacklevel=2)
+    return rated
+
+
+def missed_totals(totals: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
+    """The (domain, target, reached) that are off by more than the tolerance."""
+    return [(d, t, x) for d, t, x in totals if abs(x - t) > TOLERANCE * max(t, 1.0)]
+
+
+def plan(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
+        total: float | str | None = None, min_rate: float = 0.0, max_rate: float = float("inf")) -> tuple[DataFrame, list[tuple[str, float, float]]]:
+    """``doc_id, th, n_tokens, domain, posterior, rate, copies`` for every row of ``docs``; and (domain, target total, total reached).
 
     ``weights`` are the wanted shares of the domains (normalised here); labels
     that it does not name get none, names without labelled rows cannot be reached.  ``domain`` is the
@@ -202,7 +231,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
         model = Classifier([""], np.zeros((1 << BITS, 1)), np.zeros(1))
     share = np.array([weights.get(d, 0.0) for d in model.domains])
     table = materialise(memberships(docs, model, id_col, text_col), "memberships")
-    steps = fit_steps(table, share / share.sum(), total, min_rate, max_rate)[0] if share.sum() > 0 else np.zeros((0, len(share)))
+    steps, target, reached = (fit_steps(table, share / share.sum(), total, min_rate, max_rate) if share.sum() > 0
+                              else (np.zeros((0, len(share) + 1)), np.zeros(0), np.zeros(0)))
+    totals = [(d, float(t), float(x)) for d, t, x in zip(model.domains, target, reached)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.domains, dtype=object)
@@ -216,7 +247,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
 
     rated = table.mapInArrow(tidy(run), "doc_id bigint, th bigint, n_tokens bigint, domain string, posterior double, rate double")
     u = F.pmod(F.xxhash64("doc_id", "th", F.lit("copies")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rated.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return rated.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")), totals
 
 
 def sample(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,3 +77,20 @@ def test_odd_rows(spark):
     with pytest.raises(ValueError):
         M.mix(odd, odd, {"a": 1}, min_rate=2.0)
     assert rows.agg(F.max("copies")).first()[0] <= 3
+
+
+def test_scarce_domain_reaches_its_target_and_a_miss_is_told(spark):
+    """A domain of a fiftieth of the largest needs far more than four copies; a domain without a weight cannot go below rate 1."""
+    rows = [(i, f"the cat and dog {i} house", "en", "s", 1) for i in range(200)] + [(1000 + i, f"der hund und katze {i} haus", "de", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    _, totals = M.plan(docs, docs, {"en": 0.5, "de": 0.5}, min_rate=1.0)
+    assert not M.missed_totals(totals) and len(totals) == 2, totals
+    with pytest.warns(UserWarning, match="'de'"):
+        M.mix(docs, docs, {"en": 0.5, "de": 0.5}, min_rate=1.0, max_rate=4.0)
+    assert [d for d, _, _ in M.missed_totals(M.plan(docs, docs, {"en": 1.0}, min_rate=1.0)[1])] == ["de"]
+
+    import corpus_pipeline as P
+
+    out = P.mixing_stage(spark, docs, "")
+    n = {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}
+    assert n["en"] >= 200 and 0.4 <= n["de"] / n["en"] <= 0.6  # wanted: 0.2 against 0.4
