@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words (maximal runs of characters that are
-not ASCII white space); lines of fewer than ``min_words`` words always stay.
+not ASCII white space); lines of fewer than ``min_words`` words always stay, except that
+``short_repeats`` removes their exact repeats too (blank lines always stay).
 Of equal lines the earliest by (document id, line number) stays.  Two different
 lines are near when their word edit distance is at most one; a line goes when
 some earlier line is near it.
@@ -51,7 +52,7 @@ def half_keys(h: RangeHash, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, short_repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache()
         for batch in batches:
@@ -59,16 +60,17 @@ def _lines(min_words: int):
                 docs = [t.encode("utf-8", "replace").split(b"\n") for t in piece.column("text").to_pylist()]
                 words, ends = _batch_words([line for d in docs for line in d], cache)
                 size = [len(d) for d in docs]
-                keep = np.flatnonzero(np.diff(ends) >= min_words)
+                keep = np.flatnonzero(np.diff(ends) >= (1 if short_repeats else min_words))
                 a, b = ends[keep], ends[keep + 1]
                 h1, h2 = RangeHash(words, M1), RangeHash(words, M2)
                 doc = np.repeat(np.arange(len(docs)), size)[keep]
                 line = (np.arange(sum(size)) - np.repeat(np.cumsum(size) - size, size))[keep]
-                halves = signed(half_keys(h1, a, b)).reshape(-1)
+                full = b - a >= min_words  # shorter lines have no halves, so that they are near nothing
+                halves = signed(half_keys(h1, a[full], b[full])).reshape(-1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h1(a, b))), pa.array(signed(h2(a, b))), piece.column("doc_id").take(pa.array(doc)),
                      piece.column("th").take(pa.array(doc)), pa.array(line.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32)), pa.array(halves))],
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * full)]).astype(np.int32)), pa.array(halves))],
                     ["h1", "h2", "doc_id", "th", "line", "halves"])
 
     return run
@@ -130,12 +132,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True) -> DataFrame:
+def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True,
+               short_repeats: bool = False) -> DataFrame:
     """Lines to drop: ``doc_id, th, line, why`` with why ``exact`` or ``near`` (th: xxhash64 of the document's text, line counts from 0)."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     keyed = _keyed(docs, id_col, text_col).filter("text IS NOT NULL")
-    lines = materialise(keyed.mapInArrow(tidy(_lines(min_words)), LINE_SCHEMA), "lines").select("h1", "h2", F.struct(*ROW).alias("me"), "halves")
+    lines = materialise(keyed.mapInArrow(tidy(_lines(min_words, short_repeats)), LINE_SCHEMA), "lines").select("h1", "h2", F.struct(*ROW).alias("me"), "halves")
     # repeated lines: counted first, so that only they are looked at by place
     many = _stored(lines.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "repeated")
     firsts = _stored(lines.join(many, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("me").alias("first")), "firsts")
@@ -193,7 +196,8 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               for n in ("row", "clean_text", "n_exact", "n_near")], ["row", "clean_text", "n_exact", "n_near"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True,
+                short_repeats: bool = False) -> DataFrame:
     """``row`` (struct of all columns of ``docs``), ``clean_text``, ``n_exact``, ``n_near`` (dropped lines of each kind).
 
     A NULL text stays NULL and takes no part.  Rows that repeat a document (same id and
@@ -202,7 +206,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; columns keep their names inside ``row``, so none can clash.
     Texts of any length are read whole.
     """
-    gone = (materialise(line_drops(docs, id_col, text_col, min_words, near), "dropped-lines").groupBy("doc_id", "th")
+    gone = (materialise(line_drops(docs, id_col, text_col, min_words, near, short_repeats), "dropped-lines").groupBy("doc_id", "th")
             .agg(F.collect_list("line").alias("gone"), F.sum(F.when(F.col("why") == "exact", 1).otherwise(0)).alias("n_exact"),
                  F.sum(F.when(F.col("why") == "near", 1).otherwise(0)).alias("n_near")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

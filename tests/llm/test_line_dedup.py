@@ -79,3 +79,9 @@ def test_limits(spark):
     assert run(spark, [(1, "one two three four five"), (2, "one two three four six")], near=False)[1][2] == "one two three four six"
     with pytest.raises(ValueError):
         L.line_drops(spark.createDataFrame([], "doc_id bigint, text string"), min_words=1)
+
+
+def test_short_repeats(spark):
+    rows = [(1, "All rights reserved.\n\none two three four five"), (2, "All rights  reserved.\n\nAll rights\none two three four"), (3, "x\nx\n \n \none two three four six")]
+    assert [c for _, _, c in run(spark, rows, short_repeats=True)] == ["All rights reserved.\n\none two three four five", "\nAll rights\none two three four", "x\n \n "]
+    assert [c for _, _, c in run(spark, rows)] == [rows[0][1], rows[1][1], "x\nx\n \n "]
