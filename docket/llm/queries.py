@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.llm import langid, mixing, secrets, sentencepieces, toxicity
+from docket.llm.centroids import cluster_vectors
 from docket.llm.common import crc_mod
 from docket.llm.exact_dedup import exact_dedup
 from docket.llm.line_dedup import dedup_lines
@@ -152,3 +153,32 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rates whose expected domain tokens have the wanted shares and the natural total."""
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mix(docs, docs, MIX_WEIGHTS, total="natural").drop("th")
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Assignment and update steps written out one after the other."""
+    nearest = """(SELECT rid, vec_id, q, cluster, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) AS r FROM (
+    SELECT v.rid, v.vec_id, v.q, c.cluster, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.q, c.q)]) AS BIGINT) AS distance FROM v, {c} c)) WHERE r = 1)"""
+    steps = ["""v AS (SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, q FROM v QUALIFY cluster < 16)"""]
+    for i in range(1, rounds + 1):
+        steps.append(f"""a{i} AS {nearest.format(c=f"c{i - 1}")},
+s{i} AS (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+  SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY cluster, i),
+m{i} AS (SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY i) AS q FROM s{i} GROUP BY cluster),
+c{i} AS (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{i - 1} c LEFT JOIN m{i} m ON m.cluster = c.cluster)""")
+    return "WITH " + ",\n".join(steps) + f""",
+z AS {nearest.format(c=f"c{rounds}")}
+SELECT z.vec_id, CAST(z.cluster AS INTEGER) AS cluster, z.distance,
+       CAST(sum(z.distance) OVER (PARTITION BY z.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(z.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} c ON c.cluster = z.cluster"""
+
+
+@register("op13_centroid_clustering", _clusters_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen centroids after three rounds, every vector with its cluster and exact distance."""
+    out = cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", *[F.col(c).try_cast("bigint").alias(c) for c in ("distance", "cluster_inertia", "inertia")], "centroid_sha256")
