@@ -18,6 +18,7 @@ from docket.llm.line_dedup import dedup_lines
 from docket.llm.ngram_join import jaccard_components
 from docket.llm.token_automaton import token_counts
 from docket.llm.topk import topk
+from docket.llm.whitening import whiten
 from docket.session import read_table
 
 QUERIES = {}
@@ -155,6 +156,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs, MIX_WEIGHTS, total="natural").drop("th")
 
 
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading whitened components of all vectors."""
+    out = whiten(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def _clusters_sql(rounds: int = 3) -> str:
     """Assignment and update steps written out one after the other."""
     nearest = """(SELECT rid, vec_id, q, cluster, distance FROM (
