@@ -28,7 +28,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path  # for discard
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``materialise``d tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.pop("scratch", None)
+        if path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

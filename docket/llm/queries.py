@@ -16,6 +16,7 @@ from docket.llm.common import crc_mod
 from docket.llm.exact_dedup import exact_dedup
 from docket.llm.line_dedup import dedup_lines
 from docket.llm.ngram_join import jaccard_components
+from docket.llm.suffix_dedup import dedup_substrings
 from docket.llm.token_automaton import token_counts
 from docket.llm.topk import topk
 from docket.llm.whitening import whiten
@@ -163,6 +164,28 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+@register("op12_suffix_array_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+g AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+n AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+s AS (SELECT r, k, min(i) AS s, max(i) + 400 AS e FROM n GROUP BY r, k),
+p AS (SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM s GROUP BY r),
+c AS (SELECT d.r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept
+      FROM (SELECT r, unnest(list_prepend(0, es)) AS a, unnest(list_append(ss, NULL)) AS b0 FROM p) x JOIN d ON d.r = x.r, LATERAL (SELECT coalesce(b0, len(h) // 2) AS b)
+      GROUP BY d.r)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(c.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN c ON c.r = d.r""")
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that lie in a 400-byte string found anywhere else."""
+    out = dedup_substrings(read_table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _clusters_sql(rounds: int = 3) -> str:
     """Assignment and update steps written out one after the other."""
     nearest = """(SELECT rid, vec_id, q, cluster, distance FROM (
