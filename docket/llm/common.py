@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,56 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path  # for discard
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of ``materialise``d tables that nothing reads any more."""
     for df in tables:
-        spark, path = df.sparkSession, df.__dict__.pop("scratch", None)
-        if path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path := df.__dict__.pop("scratch", None):
+            _delete(df.sparkSession, path)
+
+
+#: Folders written inside the open ``temporary`` blocks, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables materialised inside are deleted at the end, except those handed to the function that this yields.
+
+    Shuffle files go when the driver's JVM collects the plans that made them; it is asked to, as
+    a large heap may otherwise not do so for the whole run.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words (maximal runs of characters that are
-not ASCII white space); lines of fewer than ``min_words`` words always stay, except that
-``short_repeats`` removes their exact repeats too (blank lines always stay).
+not ASCII white space); lines of fewer than ``min_words`` words only go as exact repeats, and not
+even then without ``short_repeats`` (blank lines always stay).
 Of equal lines the earliest by (document id, line number) stays.  Two different
 lines are near when their word edit distance is at most one; a line goes when
 some earlier line is near it.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import materialise, sized, slices, tidy
+from docket.llm.common import materialise, sized, slices, temporary, tidy
 from docket.llm.hashing import M1, M2, RangeHash, mix, signed, word_cache
 
 MIN_WORDS = 5
@@ -133,7 +133,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True,
-               short_repeats: bool = False) -> DataFrame:
+               short_repeats: bool = True) -> DataFrame:
     """Lines to drop: ``doc_id, th, line, why`` with why ``exact`` or ``near`` (th: xxhash64 of the document's text, line counts from 0)."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
@@ -197,7 +197,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: bool = True,
-                short_repeats: bool = False) -> DataFrame:
+                short_repeats: bool = True) -> DataFrame:
     """``row`` (struct of all columns of ``docs``), ``clean_text``, ``n_exact``, ``n_near`` (dropped lines of each kind).
 
     A NULL text stays NULL and takes no part.  Rows that repeat a document (same id and
@@ -206,7 +206,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; columns keep their names inside ``row``, so none can clash.
     Texts of any length are read whole.
     """
-    gone = (materialise(line_drops(docs, id_col, text_col, min_words, near, short_repeats), "dropped-lines").groupBy("doc_id", "th")
+    with temporary(docs.sparkSession) as keep:
+        drops = keep(materialise(line_drops(docs, id_col, text_col, min_words, near, short_repeats), "dropped-lines"))
+    gone = (drops.groupBy("doc_id", "th")
             .agg(F.collect_list("line").alias("gone"), F.sum(F.when(F.col("why") == "exact", 1).otherwise(0)).alias("n_exact"),
                  F.sum(F.when(F.col("why") == "near", 1).otherwise(0)).alias("n_near")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -4,22 +4,24 @@ A softmax classifier on hashed words, trained on a labelled table, gives every
 document a posterior over the domains.  Document i with n_i tokens and posterior p_i adds
 r_i n_i p_i to the expected domain totals.  Rates start at 1, and projected
 gradient steps on the least squares distance to the target totals move them, each clipped to
-[min_rate, max_rate] with min_rate >= 0:  r <- clip(r - p_i . M (T - t)), M the inverse of
-sum n_i p_i p_i', which makes a step of one the safe step length; momentum speeds them up.  A step needs
-only the totals T: one pass over a narrow table; the few step vectors so far are
-replayed on every row, so rates are never collected.
+[min_rate, max_rate] with min_rate >= 0:  r <- clip(r - p_i . M (T - t)).  With M the inverse of
+sum n_i p_i p_i' over all documents a step never moves away; with the sum over those documents alone that the last
+step did not clip, it would reach the targets if no other were clipped now, so that a few such steps suffice.  One pass over a narrow
+table measures the totals T and that sum for several lengths of both steps, and the best is
+taken; the step vectors so far are replayed on every row, so rates are never collected.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.llm.common import id_and_text, lowest_hash, materialise, slices, tidy
@@ -27,10 +29,11 @@ from docket.llm.hashing import word_cache
 
 BITS = 14
 SAMPLE_DOCS = 4_000  # labelled rows the classifier is fitted on
-DOMAINS = 200  # the most frequent labels are learned
-STEPS = 1000  # projected-gradient steps after which the fit fails
+RARE_DOCS = 100  # rows of every wanted domain that are added, so that a rare one is learned too
+DOMAINS = 200  # the most frequent labels are learned, and all wanted ones
+PASSES = 60  # passes over the memberships after which the nearest totals so far are taken
 TOLERANCE = 1e-3  # of every target total
-STILL = 1e-4  # share of the wanted tokens below which a step counts as moving nothing
+LENGTHS, SAFE_LENGTHS = (1.0, 0.6, 0.3, 0.1), (1.0, 4.0, 16.0)  # of the two kinds of step, measured in one pass
 
 
 def word_vectors(texts: list[str | None], cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,16 +86,24 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["domain", "buckets", "vals"])
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, domain_col: str) -> Classifier | None:
-    """Classifier from the rows of ``labelled`` with a text and a domain (at most ``SAMPLE_DOCS``, lowest hash of the id); None without any."""
+def fit(labelled: DataFrame, id_col: str, text_col: str, domain_col: str, wanted: Iterable[str] = ()) -> Classifier | None:
+    """Classifier from the rows of ``labelled`` with a text and a domain; None without any.
+
+    At most ``SAMPLE_DOCS`` rows with the lowest hash of the id are learned from, and of each ``wanted`` domain the ``RARE_DOCS`` with the lowest.
+    """
     rows = labelled.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                            F.col(f"`{domain_col}`").cast("string").alias("domain")).filter("text IS NOT NULL AND domain IS NOT NULL")
+    wanted = sorted(wanted)
     chosen = lowest_hash(rows.select("doc_id", "domain"), SAMPLE_DOCS, "doc_id", "domain")
-    # bounded: SAMPLE_DOCS ids
+    lowest = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", "domain"), "doc_id")
+    rare = rows.select("doc_id", "domain").filter(F.col("domain").isin(wanted)).withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= RARE_DOCS)
+    chosen = chosen.unionByName(rare.drop("r")).distinct()
+    # bounded: SAMPLE_DOCS ids and RARE_DOCS a wanted domain
     sample = rows.join(F.broadcast(materialise(chosen, "mix-sample")), ["doc_id", "domain"], "left_semi").select("domain", "text")
     got = sample.mapInArrow(tidy(_sparse), "domain string, buckets binary, vals binary").collect()
     names = [r["domain"] for r in got]
-    domains = sorted(sorted(set(names), key=lambda d: (-names.count(d), d))[:DOMAINS])
+    count = Counter(names)
+    domains = sorted({*sorted(count, key=lambda d: (-count[d], d))[:DOMAINS], *(d for d in wanted if d in count)})
     got = [r for r in got if r["domain"] in set(domains)]
     if not got:
         return None
@@ -125,30 +136,21 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 def _rates(p: np.ndarray, steps: np.ndarray, low: float, high: float) -> np.ndarray:
     """Replay the steps from rate 1."""
-    return _last_rates(p, steps, low, high)[2]
-
-
-def _last_rates(p: np.ndarray, steps: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rates before the last step, where its momentum (the last number of a step) led, and after it."""
-    before = ahead = r = np.clip(np.ones(len(p)), low, high)
+    r = np.clip(np.ones(len(p)), low, high)
     for s in steps:
-        ahead = r + s[-1] * (r - before)
-        before, r = r, np.clip(ahead - p @ s[:-1], low, high)
-    return before, ahead, r
+        r = np.clip(r - p @ s, low, high)
+    return r
 
 
-def _totals(steps: np.ndarray, low: float, high: float, gram: bool):
-    """Expected domain totals under the rates so far and the tokens that the last step moved, and its turn against the momentum; ``gram`` adds sum n p p'."""
+def _totals(steps: np.ndarray, choices: np.ndarray, low: float, high: float):
+    """For every choice of the next step: the expected domain totals after it, and sum n p p' of the rows that it does not clip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if b.num_rows:
                 p, n = _matrix(b), b.column("n_tokens").to_numpy().astype(float)
-                before, ahead, r = _last_rates(p, steps, low, high)
-                add = np.append((r * n) @ p, [(np.abs(r - before) * n).sum(), ((ahead - r) * (r - before) * n).sum()])
-                if gram:
-                    add = np.concatenate([add, ((p * n[:, None]).T @ p).reshape(-1)])
+                add = _choice_totals(p, n, steps, choices, low, high)
                 total = add if total is None else total + add
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "x"])
@@ -156,9 +158,21 @@ def _totals(steps: np.ndarray, low: float, high: float, gram: bool):
     return run
 
 
-def _measure(table: DataFrame, steps: np.ndarray, low: float, high: float, gram: bool = False) -> np.ndarray:
-    rows = table.mapInArrow(_totals(steps, low, high, gram), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(len(rows))
+def _choice_totals(p: np.ndarray, n: np.ndarray, steps: np.ndarray, choices: np.ndarray, low: float, high: float) -> np.ndarray:
+    r, parts = _rates(p, steps, low, high), []
+    for c in choices:
+        ahead = r - p @ c
+        free = (ahead >= low) & (ahead <= high)
+        parts += [(np.clip(ahead, low, high) * n) @ p, ((p[free] * n[free, None]).T @ p[free]).reshape(-1)]
+    return np.concatenate(parts)
+
+
+def _measure(table: DataFrame, steps: np.ndarray, choices: np.ndarray, low: float, high: float) -> np.ndarray | None:
+    c, k = choices.shape
+    rows = table.mapInArrow(_totals(steps, choices, low, high), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # c (k + k^2) rows
+    if not rows:
+        return None
+    out = np.zeros(c * (k + k * k))
     for r in rows:
         out[r["i"]] = r["x"]
     return out
@@ -167,34 +181,44 @@ def _measure(table: DataFrame, steps: np.ndarray, low: float, high: float, gram:
 def fit_steps(table: DataFrame, weights: np.ndarray, total: float | str | None, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projected-gradient steps on the memberships ``table``: step vectors, target totals, totals reached.
 
-    ``total`` is the number of tokens wanted, or ``natural`` for as many as there
-    are; None takes the fewest for which no domain has to shrink.  Ends when every total is within ``TOLERANCE`` or
-    a step moves nothing any more (``STILL``): the problem is convex, so the totals are then the nearest within the bounds.
+    ``total`` is the number of tokens wanted, or ``natural`` for as many as there are; None takes the fewest for which no domain has to
+    shrink, and more if memberships in several domains lift one beyond its target.  Every pass measures a few lengths of both
+    kinds of step and takes the one that ends nearest.  Ends when every total is within ``TOLERANCE``, when no step
+    comes nearer (the problem is convex, so these are the nearest totals within the bounds), or after ``PASSES`` passes.
     """
     k = len(weights)
-    steps = np.zeros((0, k + 1))
-    first = _measure(table, steps, 1.0, 1.0, gram=True)
-    if not len(first) or not first[:k].sum():
+    steps = np.zeros((0, k))
+
+    def measure(choices: np.ndarray, low: float, high: float) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        got = _measure(table, steps, choices, low, high)
+        return None if got is None else [(x[:k], x[k:].reshape(k, k)) for x in got.reshape(len(choices), -1)]
+
+    first = measure(np.zeros((1, k)), 1.0, 1.0)
+    if first is None or not first[0][0].sum():
         return steps, np.zeros(k), np.zeros(k)
-    natural, gram = first[:k], first[k + 2:].reshape(k, k)
+    now, gram = first[0]
+    wanted, grows = weights > 0, total is None
     if total is None:
-        total = float((natural[weights > 0] / weights[weights > 0]).max())
-    target = weights * (natural.sum() if total == "natural" else float(total))
-    metric = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
-    last, age = None, 1.0
-    while True:
-        *now, moved, turn = _measure(table, steps, low, high)
-        now = np.array(now)
-        if (np.abs(now - target) <= TOLERANCE * np.maximum(target, 1.0)).all() or len(steps) and moved <= STILL * target.sum():
-            return steps, target, now
-        if len(steps) == STEPS:
-            raise RuntimeError(f"mix not found in {STEPS} steps: targets {target.tolist()}, reached {now.tolist()}")
-        older = 1.0 if turn > 0 else age  # momentum starts afresh when the steps turn against it
-        age = (1 + np.sqrt(1 + 4 * older * older)) / 2
-        momentum = (older - 1) / age
-        ahead = now + momentum * (now - (now if last is None else last))
-        steps = np.vstack([steps, np.append(metric @ (ahead - target), momentum)])
-        last = now
+        total = float((now[wanted] / weights[wanted]).max())
+    target = weights * (now.sum() if total == "natural" else float(total))
+    ridge = 1e-9 * np.trace(gram) / k * np.eye(k)
+    safe = np.linalg.pinv(gram + ridge)
+    for _ in range(PASSES):
+        gap = now - target
+        if (np.abs(gap) <= TOLERANCE * np.maximum(target, 1.0)).all():
+            break
+        choices = np.outer(LENGTHS, np.linalg.pinv(gram + ridge) @ gap)
+        choices = np.concatenate([choices, np.outer(SAFE_LENGTHS, safe @ gap)])
+        after = measure(choices, low, high)
+        far = [(t - target) @ safe @ (t - target) for t, _ in after]
+        best = int(np.argmin(far))
+        if far[best] < 0.995 * (gap @ safe @ gap):
+            steps, (now, gram) = np.vstack([steps, choices[best]]), after[best]
+        elif grows and (over := float((now[wanted] / target[wanted]).max())) > 1 + TOLERANCE:
+            target = target * (2 * over - 1)
+        else:
+            break
+    return steps, target, now
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *args, **kw) -> DataFrame:
@@ -215,7 +239,7 @@ def plan(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col
     """``doc_id, th, n_tokens, domain, posterior, rate, copies`` for every row of ``docs``; and (domain, target total, total reached).
 
     ``weights`` are the wanted shares of the domains (normalised here); labels
-    that it does not name get none, names without labelled rows cannot be reached.  ``domain`` is the
+    that it does not name get none, names without labelled rows reach 0 tokens, the others keep their shares.  ``domain`` is the
     likeliest domain (ties to the first by name).  ``copies`` rounds the rate to a neighbouring whole number
     by a hash of id and text, so that its expectation is the rate.  A
     NULL, empty or blank text has 0 tokens and rate 1 (within the bounds).  Rows are independent,
@@ -226,14 +250,18 @@ def plan(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col
         raise ValueError("0 <= min_rate <= 1 <= max_rate is needed")
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must be nonnegative and not all zero")
-    model = fit(labelled, id_col, text_col, domain_col)
+    wanted = [d for d, w in weights.items() if w > 0]
+    model = fit(labelled, id_col, text_col, domain_col, wanted)
     if model is None:
         model = Classifier([""], np.zeros((1 << BITS, 1)), np.zeros(1))
-    share = np.array([weights.get(d, 0.0) for d in model.domains])
+    whole = sum(weights.values())
+    share = np.array([weights.get(d, 0.0) / whole for d in model.domains])
     table = materialise(memberships(docs, model, id_col, text_col), "memberships")
-    steps, target, reached = (fit_steps(table, share / share.sum(), total, min_rate, max_rate) if share.sum() > 0
-                              else (np.zeros((0, len(share) + 1)), np.zeros(0), np.zeros(0)))
+    steps, target, reached = (fit_steps(table, share, total, min_rate, max_rate) if share.sum() > 0
+                              else (np.zeros((0, len(share))), np.zeros(0), np.zeros(0)))
     totals = [(d, float(t), float(x)) for d, t, x in zip(model.domains, target, reached)]
+    asked = float(target.sum() / share.sum()) if len(target) else 0.0
+    totals += [(d, asked * weights[d] / whole, 0.0) for d in sorted(set(wanted) - set(model.domains))]  # no row to learn them from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.domains, dtype=object)

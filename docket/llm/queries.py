@@ -126,12 +126,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
            FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM l),
-e AS (SELECT doc_id, line, array_to_string(ws, ' ') AS s, ws, len(ws) AS n, doc_id * 10000000 + line AS place FROM w WHERE len(ws) >= 5),
+e AS (SELECT doc_id, line, array_to_string(ws, ' ') AS s, ws, len(ws) AS n, doc_id * 10000000 + line AS place FROM w WHERE len(ws) >= 1),
 d AS (SELECT s, any_value(ws) AS ws, any_value(n) AS n, min(place) AS first FROM e GROUP BY s),
-v AS (SELECT first, -1 AS pos, s AS v FROM d
+v AS (SELECT first, -1 AS pos, s AS v FROM d WHERE n >= 5
       UNION ALL
       SELECT first, p AS pos, array_to_string(list_concat(ws[1:p], ws[p + 2:]), ' ') AS v
-      FROM (SELECT first, ws, unnest(range(n)) AS p FROM d)),
+      FROM (SELECT first, ws, unnest(range(n)) AS p FROM d WHERE n >= 5)),
 near AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.v = b.v AND b.first < a.first AND (a.pos = b.pos OR a.pos = -1 OR b.pos = -1)),
 gone AS (SELECT e.doc_id, e.line, CASE WHEN e.place <> d.first THEN 'exact' ELSE 'near' END AS why
          FROM e JOIN d ON e.s = d.s LEFT JOIN near ON near.first = d.first WHERE e.place <> d.first OR near.first IS NOT NULL),

@@ -24,15 +24,15 @@ def brute(rows, min_words=5):
     for i, t in docs:
         for n, line in enumerate(t.split("\n")):
             w = tuple(line.encode().split())
-            if len(w) >= min_words:
+            if w:
                 first.setdefault(w, (i, t, n))
-    order = list(first)
+    order = [w for w in first if len(w) >= min_words]
     near = {w for k, w in enumerate(order) if any(abs(len(o) - len(w)) < 2 and edit_distance(o, w) <= 1 for o in order[:k])}
     for i, t in docs:
         keep = []
         for n, line in enumerate(t.split("\n")):
             w = tuple(line.encode().split())
-            if len(w) < min_words or (first[w] == (i, t, n) and w not in near):
+            if not w or (first[w] == (i, t, n) and w not in near):
                 keep.append(line)
         out[i, t] = "\n".join(keep)
     del seen
@@ -83,5 +83,5 @@ def test_limits(spark):
 
 def test_short_repeats(spark):
     rows = [(1, "All rights reserved.\n\none two three four five"), (2, "All rights  reserved.\n\nAll rights\none two three four"), (3, "x\nx\n \n \none two three four six")]
-    assert [c for _, _, c in run(spark, rows, short_repeats=True)] == ["All rights reserved.\n\none two three four five", "\nAll rights\none two three four", "x\n \n "]
-    assert [c for _, _, c in run(spark, rows)] == [rows[0][1], rows[1][1], "x\nx\n \n "]
+    assert [c for _, _, c in run(spark, rows)] == ["All rights reserved.\n\none two three four five", "\nAll rights\none two three four", "x\n \n "]
+    assert [c for _, _, c in run(spark, rows, short_repeats=False)] == [rows[0][1], rows[1][1], "x\nx\n \n "]

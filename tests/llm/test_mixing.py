@@ -36,6 +36,41 @@ def test_rates_match_targets(spark, low, high):
     assert gap(r) <= gap(best) + 0.03
 
 
+def test_few_passes_and_never_an_error():
+    """Random problems without a table: every one ends, the totals are the nearest, and most need few passes."""
+    passes = []
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        k = int(rng.integers(2, 6))
+        p, n = rng.dirichlet([0.2] * k, 300), rng.integers(0, 99, 300).astype(float)
+        calls = []
+
+        def measure(_, steps, choices, low, high, p=p, n=n, calls=calls):
+            calls.append(1)
+            return M._choice_totals(p, n, steps, choices, low, high)
+
+        w = rng.dirichlet([1.0] * k)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(M, "_measure", measure)
+            steps, target, now = M.fit_steps(None, w, None, 1.0, float("inf"))
+        passes.append(len(calls))
+        best = projected_gradient(p, n, target, 1.0, float("inf"), 4000)
+        assert np.abs(now - target).max() <= np.abs((best * n) @ p - target).max() + 2e-3 * target.sum()
+    assert np.median(passes) <= 35 and max(passes) <= M.PASSES + 1, passes
+
+
+def test_rare_and_missing_domains(spark):
+    """One row in 6,001 has the second language: it is learned; a domain without rows is reported and the others keep their shares."""
+    rows = [(i, f"the cat and dog {i} house", "en", 1) for i in range(6000)] + [(9000, "der hund und katze haus maus laus", "de", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint")
+    _, totals = M.plan(docs, docs, {"en": 0.5, "de": 0.5}, min_rate=1.0)
+    assert [d for d, _, _ in totals] == ["de", "en"] and not M.missed_totals(totals), totals
+    _, totals = M.plan(docs, docs, {"en": 0.5, "de": 0.25, "xx": 0.25}, total="natural")
+    got = {d: (t, x) for d, t, x in totals}
+    assert [d for d, _, _ in M.missed_totals(totals)] == ["xx"] and got["xx"][1] == 0
+    assert abs(got["en"][0] / got["xx"][0] - 2) < 1e-9 and abs(got["de"][0] / got["xx"][0] - 1) < 1e-9
+
+
 def test_unreachable_target_is_nearest(spark):
     p = np.array([[1.0, 0.0], [0.8, 0.2]])
     table = spark.createDataFrame([(1, 1, 10, [1.0, 0.0]), (2, 2, 10, [0.8, 0.2])], "doc_id bigint, th bigint, n_tokens bigint, p array<double>")
