@@ -12,7 +12,8 @@ goes.  Windows are found in four steps, none of which compares all shards with a
 3. *Suffix arrays.*  A shard's contexts are sorted by Larsson-Sadakane refinement, Kasai's scan gives the common prefixes,
    and windows that share ``length`` bytes with a neighbour are repeated.
 4. *Merge.*  Grams that were cut between shards: every shard hands over each of their distinct windows once, as a
-   128-bit digest.  The digests go to ranges of bounded size, where binary search finds the windows of one shard in the others.
+   sorted run of 128-bit digests that binary search cuts into ranges of bounded size; in a range, binary search
+   finds the windows of one run in the others.
 
 Any cut of a context or a gram only moves work from step 1 to 3 or from 3 to 4, never changes the result.
 """
@@ -33,12 +34,14 @@ from docket.llm.hashing import M1, mix, signed
 
 BLOCK = 1 << 20  # window starts handled at once
 SHARD_BYTES = 1 << 20  # context bytes of a shard; its last gram may add as many again
-MERGE_ROWS = 400_000  # window digests of a merge range
+MERGE_ROWS = 100_000  # window digests of a merge range, at most so many on average
+#: A window in a run: digest, text, place, whether it still needs an answer.
+WINDOW = np.dtype([("f1", "<u8"), ("f2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("s", "<i4"), ("open", "?")])
 
 ANCHORS = "id bigint, th bigint, lo int, hi int, gram bigint, ctx bigint"
 SUSPECTS = "id bigint, th bigint, lo int, hi int, shard bigint, known boolean, cut boolean"
 CONTEXTS = "shard bigint, id bigint, th bigint, lo int, known boolean, cut boolean, body binary"
-FOUND = "id bigint, th bigint, s int, e int, shard bigint, open boolean, f1 bigint, f2 bigint"
+FOUND = "id bigint, th bigint, s int, e int, range bigint, run binary"
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -296,10 +299,10 @@ def repeats(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return context, place, again[where], kind[where]
 
 
-def _sort_shard(length: int):
+def _sort_shard(length: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         bodies = table.column("body").to_pylist()
-        col = {k: table.column(k).to_numpy() for k in ("id", "th", "lo", "known", "cut", "shard")}
+        col = {k: table.column(k).to_numpy() for k in ("id", "th", "lo", "known", "cut")}
         context, place, again, kind = repeats(bodies, length)
         at = col["lo"][context] + place
         hit = np.flatnonzero(again & ~col["known"][context])
@@ -308,34 +311,43 @@ def _sort_shard(length: int):
         cut = np.flatnonzero(col["cut"][context])
         cut = cut[np.unique(kind[cut], return_index=True)[1]]  # each distinct window once
         digests = [xxhash.xxh3_128_digest(bodies[c][p:p + length]) for c, p in zip(context[cut].tolist(), place[cut].tolist())]
-        f = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-        found, mine = context[hit[new]], context[cut]
-        none, open_ = pa.nulls(len(new), pa.int64()), ~(again[cut] | col["known"][mine])
-        both = [np.concatenate([col[k][found], col[k][mine]]) for k in ("id", "th")]
-        arrays = [pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64()),
-                  pa.array(np.concatenate([at[hit[new]], at[cut]]), pa.int32()), pa.array(np.concatenate([at[hit[last]], at[cut]]), pa.int32()),
-                  pa.concat_arrays([none, pa.array(col["shard"][mine], pa.int64())]), pa.concat_arrays([pa.nulls(len(new), pa.bool_()), pa.array(open_)]),
-                  pa.concat_arrays([none, pa.array(f[:, 0])]), pa.concat_arrays([none, pa.array(f[:, 1])])]
+        mine, windows = context[cut], np.empty(len(cut), WINDOW)
+        both = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+        windows["f1"], windows["f2"], windows["id"], windows["th"] = both[:, 0], both[:, 1], col["id"][mine], col["th"][mine]
+        windows["s"], windows["open"] = at[cut], ~(again[cut] | col["known"][mine])
+        windows = windows[np.lexsort((windows["f2"], windows["f1"]))]
+        ranges, runs = _cut_run(windows, bits)
+        found, none = context[hit[new]], len(ranges)
+        arrays = [pa.concat_arrays([pa.array(x, t), pa.nulls(none, t)]) for x, t in (
+            (col["id"][found], pa.int64()), (col["th"][found], pa.int64()), (at[hit[new]], pa.int32()), (at[hit[last]], pa.int32()))]
+        arrays += [pa.concat_arrays([pa.nulls(len(new), pa.int64()), pa.array(ranges, pa.int64())]),
+                   pa.concat_arrays([pa.nulls(len(new), pa.binary()), pa.array(runs, pa.binary())])]
         return pa.Table.from_arrays(arrays, [x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
 
+def _cut_run(windows: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+    """A sorted run cut at the borders of the 2^bits ranges of digests: the ranges that it reaches and its parts."""
+    if not len(windows):
+        return [], []
+    reached = np.unique(windows["f1"] >> np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+    starts = np.searchsorted(windows["f1"], reached << np.uint64(64 - bits) if bits else reached)
+    return reached.astype(np.int64).tolist(), [windows[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(windows)])]
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """The runs of a range: windows of a shard that binary search finds in the run of another."""
-    col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("f1", "f2", "shard")}
-    order = np.lexsort((col["f2"], col["f1"], col["shard"]))
-    f1, f2, shard = (col[k][order] for k in ("f1", "f2", "shard"))
-    merged = np.sort(f1)
-    left, right = np.searchsorted(merged, f1, "left"), np.searchsorted(merged, f1, "right")
-    twice = np.flatnonzero(right - left > 1)  # a shard holds a window once
-    pair = np.lexsort((f2[twice], f1[twice]))
-    twice = twice[pair]
-    same = (np.diff(f1[twice]) == 0) & (np.diff(f2[twice]) == 0)
-    again = twice[np.append(same, False) | np.concatenate([[False], same])] if len(twice) else twice
-    picked = table.take(pa.array(np.sort(order[again])))
-    picked = picked.filter(picked.column("open"))
-    return picked.select(["id", "th", "s", "e"])
+    """The runs of a range: windows that binary search finds in the run of another shard (a run holds a window once)."""
+    runs = [np.frombuffer(r, WINDOW) for r in table.column("run").to_pylist()]
+    merged = np.sort(np.concatenate([r["f1"] for r in runs]))
+    twice = np.concatenate([r[np.searchsorted(merged, r["f1"], "right") - np.searchsorted(merged, r["f1"], "left") > 1] for r in runs])
+    twice = twice[np.lexsort((twice["f2"], twice["f1"]))]
+    same = (twice["f1"][1:] == twice["f1"][:-1]) & (twice["f2"][1:] == twice["f2"][:-1])
+    again = twice[(np.append(same, False) | np.concatenate([[False], same]))[:len(twice)] & twice["open"]]
+    again = again[np.lexsort((again["s"], again["th"], again["id"]))]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(again["th"]) != 0) | (np.diff(again["id"]) != 0) | (np.diff(again["s"]) != 1)])) if len(again) else np.zeros(0, int)
+    last = np.append(new[1:], len(again))[:len(new)] - 1
+    return pa.table({"id": again["id"][new], "th": again["th"][new], "s": again["s"][new], "e": again["s"][last]})
 
 
 def _keep(length: int):
@@ -387,13 +399,12 @@ def dedup_substrings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     discard(anchors)
     want = suspects.filter("shard IS NOT NULL").groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "shard", "known", "cut")).alias("want"))
     bodies = long.select("id", "th", "text").join(want, ["id", "th"]).mapInArrow(tidy(_fetch(length)), CONTEXTS)
-    found = materialise(bodies.groupBy("shard").applyInArrow(_sort_shard(length), FOUND), "repeats")
-    runs = found.filter("shard IS NOT NULL")
-    bits = max(0, (runs.count() // merge_rows).bit_length())
-    cut = F.shiftrightunsigned("f1", 64 - bits) if bits else F.lit(0)
-    merged = runs.withColumn("range", cut).groupBy("range").applyInArrow(_merge, "id bigint, th bigint, s int, e int")
+    windows = suspects.filter("cut").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0))).first()[0]
+    bits = min(62, max(0, (windows // merge_rows).bit_length()))
+    found = materialise(bodies.groupBy("shard").applyInArrow(_sort_shard(length, bits), FOUND), "repeats")
+    merged = found.filter("range IS NOT NULL").groupBy("range").applyInArrow(_merge, "id bigint, th bigint, s int, e int")
     spans = (suspects.filter("known").select("id", "th", F.col("lo").alias("s"), F.col("hi").alias("e"))
-             .unionByName(found.filter("shard IS NULL").select("id", "th", "s", "e")).unionByName(merged))
+             .unionByName(found.filter("range IS NULL").select("id", "th", "s", "e")).unionByName(merged))
     spans = materialise(spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("found")), "spans")
     discard(suspects, found)
     return rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "found").mapInArrow(
