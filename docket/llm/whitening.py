@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docket.llm.common import materialise
+
 EPS = float(np.finfo(float).eps)
 LARGEST = 1 << 53  # scaled components up to here are exact doubles
 INNER = 12  # MINRES steps of one correction at most
@@ -238,7 +240,7 @@ def whiten(vectors: DataFrame, components: int = 8, scale: int = 1024, shift: in
     if length is None or not length["d"]:
         return spark.createDataFrame([], RESULT)
     d = length["d"]
-    rows = rows.filter(F.size("x") == d)
+    rows = materialise(rows.filter(F.size("x") == d), "integer-vectors")  # read once a pass
     m = fit_moments(rows)
     values, axes, residual = jacobi_davidson(lambda u: covariance_product(rows, m, u), d, components)
     k = len(values)
