@@ -32,8 +32,6 @@ CATEGORICAL_COLUMNS = ["source", "subject", "reason", "type", "neighborhood", "d
 CATEGORICAL_FEATURES = ["source", "subject", "reason", "type", "neighborhood"]
 NUMERIC_FEATURES = ["open_month", "open_weekday", "open_hour", "is_weekend", "sla_duration_hours"]
 ALL_FEATURES = CATEGORICAL_FEATURES + NUMERIC_FEATURES
-OPENING_FIELDS = ["external_id", "created_at", "deadline", "source", "subject", "reason", "type", "neighborhood"]
-OUTCOME_FIELDS = ["completed_at", "current_status", "closure_reason"]
 SNAPSHOT_REQUIRED_KEYS = ["created_at", "deadline", "source", "subject", "reason", "type", "neighborhood"]
 
 MISSING_CODE = "missing"
@@ -41,12 +39,6 @@ UNKNOWN_CODE = "unknown"
 NULL_TOKEN = "<<null>>"
 EMPTY_TOKEN = "<<empty>>"
 
-# Features excluded as leakage or unproven at opening time.
-EXCLUDED_FEATURES = [
-    "department", "queue", "latitude", "longitude",
-    "case_status", "on_time", "closure_reason", "closed_dt", "completed_at",
-]
-
 # Feature display labels (label catalog v1.0.0).
 FEATURE_LABELS = {
     "source": "Bildirim Kaynagi",
@@ -108,11 +100,15 @@ HISTORY_LIMIT = 50
 SIMILAR_K = 5
 PERMUTATION_REPEATS = 5
 
-# Hyper-parameter grids (settings without a counterpart in the fitted library are left out).
+# Hyper-parameter grids.
 SEARCH_SPACES = {
     "logreg": {"C": [0.1, 0.5, 1.0, 5.0, 10.0]},
-    "gbt": {"learning_rate": [0.01, 0.05, 0.1, 0.2], "max_iter": [100, 200, 300], "max_depth": [3, 5, 7, None], "min_samples_leaf": [10, 20, 50]},
-    "rf": {"n_estimators": [100, 200, 300], "max_depth": [5, 10, 20, None], "min_samples_leaf": [1, 5, 10], "max_features": ["sqrt", "log2", 0.5]},
+    "gbt": {"learning_rate": [0.01, 0.05, 0.1, 0.2], "max_iter": [100, 200, 300], "max_leaf_nodes": [15, 31, 63, None], "max_depth": [3, 5, 7, None],
+            "min_samples_leaf": [10, 20, 50], "l2_regularization": [0.0, 0.1, 1.0]},
+    "rf": {"n_estimators": [100, 200, 300], "max_depth": [5, 10, 20, None], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 5, 10],
+           "max_features": ["sqrt", "log2", 0.5], "class_weight": ["balanced", "balanced_subsample", None]},
+    "rf_regressor": {"n_estimators": [100, 200, 300], "max_depth": [5, 10, 20, None], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 5, 10],
+                     "max_features": ["sqrt", "log2", 0.5]},
     "enet": {"alpha": [0.01, 0.1, 0.5, 1.0, 5.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]},
 }
 

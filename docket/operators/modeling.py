@@ -1,8 +1,9 @@
 """Model preparation, training, calibration and scoring on Spark MLlib.
 
 Design
-* Fits are MLlib estimators (distributed); the driver only loops over a
-  handful of folds / candidates and keeps small per-feature statistics.
+* The linear models are MLlib estimators (distributed); the driver only loops over a
+  handful of folds / candidates and keeps small per-feature statistics.  The flows fit forests and boosting with
+  :mod:`docket.operators.trees`: all folds and candidates at once over one binned table.
 * Preprocessing (:func:`fit_prep`) follows the reference semantics:
   categorical NULL -> 'missing', one-hot with an all-zero row for an unseen
   category (StringIndexer keep + OneHotEncoder dropLast drops exactly the
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from docket import config as C
 from docket.functions import exprs as X
+from docket.operators import gram as G
 from docket.operators import metrics as M
+from docket.operators import trees as T
 from docket.operators.ordering import exact_quantiles
 
 MAX_FOREST_DEPTH = 30  # MLlib limit; "unlimited" maps here
@@ -177,7 +180,7 @@ def prob1(col: str = "probability") -> F.Column:
 @dataclasses.dataclass
 class FittedClassifier:
     kind: str
-    prep: PrepModel
+    prep: PrepModel | None  # trees bin the raw features themselves
     model: object
     sigmoid: object | None = None
     isotonic: object | None = None
@@ -185,6 +188,8 @@ class FittedClassifier:
     threshold: float = C.DEFAULT_THRESHOLD
 
     def raw_scores(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.model, T.Ensemble):
+            return self.model.transform(df, "p_raw")
         return self.model.transform(self.prep.transform(df)).withColumn("p_raw", prob1()).drop(
             "features", "rawPrediction", "probability", "prediction")
 
@@ -213,9 +218,61 @@ def fit_classifier(train: DataFrame, kind: str, params: dict | None = None, bala
     return FittedClassifier(kind, prep, model)
 
 
+TREES = ("rf", "gbt")
+_AT_LEAST = {"n_estimators": 1, "max_iter": 1, "max_depth": 1, "max_leaf_nodes": 2, "min_samples_leaf": 1, "min_samples_split": 2, "l2_regularization": 0, "learning_rate": 0}
+
+
+def tree_spec(model: int, kind: str, classes: bool, params: dict | None = None, below: int | None = None, log1p: bool = False,
+              balanced: bool = False, seed: int = 42) -> T.Spec:
+    """M5 / M6 / M9: a checked :class:`trees.Spec`; ``None`` as depth or number of leaves means no limit."""
+    p = dict(params or {})
+    for name, least in _AT_LEAST.items():
+        if p.get(name) is not None and p[name] < least:
+            raise ValueError(f"{name} must be at least {least}, not {p[name]}")
+    if kind == "rf" and classes and balanced:
+        p.setdefault("class_weight", "balanced")
+    return T.Spec(model, kind, classes, tuple(p.items()), below, log1p, seed)
+
+
+def tree_models(folded: DataFrame, kind: str, classes: bool, candidates: Sequence[dict | None], n_splits: int, balanced: bool = False,
+                log1p: bool = False, final: bool = False) -> dict[tuple[int, int], T.Ensemble]:
+    """(candidate, fold) -> ensemble, all fitted at once; fold ``n_splits`` is the fit on all rows (``final``)."""
+    at = folded.select("first_test_index", "fold_test_size").first()  # the same in every row
+    layout = T.fit_layout(folded)
+    specs, keys = [], []
+    for c, params in enumerate(candidates):
+        for k in range(n_splits + (1 if final else 0)):
+            below = at["first_test_index"] + k * at["fold_test_size"] if k < n_splits else None
+            keys.append((c, k))
+            specs.append(tree_spec(len(specs), kind, classes, params, below, log1p, balanced))
+    fits = T.fit_models(folded, layout, specs)
+    return {key: T.Ensemble.of(layout, fits, m) for m, key in enumerate(keys)}
+
+
+def hour_models(folded: DataFrame, kind: str, candidates: Sequence[dict | None], n_splits: int, log1p: bool = False, final: bool = False) -> dict:
+    """(candidate, fold) -> fitted elastic net, forest or booster; fold ``n_splits`` is the fit on all rows."""
+    if kind in TREES:
+        return tree_models(folded, kind, False, candidates, n_splits, log1p=log1p, final=final)
+    if kind == "enet":
+        for p in candidates:
+            if (p or {}).get("alpha", 0.5) < 0 or not 0 <= (p or {}).get("l1_ratio", 0.5) <= 1:
+                raise ValueError(f"alpha must not be negative and l1_ratio lies in [0, 1]: {p}")
+        return G.elastic_nets(folded, [{"alpha": 0.5, "l1_ratio": 0.5, **(p or {})} for p in candidates], n_splits, log1p)
+    raise ValueError(f"unknown regressor {kind!r}")
+
+
+def tree_oof(folded: DataFrame, models: dict, n_splits: int, out_col: str) -> DataFrame:
+    """Every fold's rows scored by the models of earlier rows: the rows, ``candidate``, ``fold`` and ``out_col``."""
+    return reduce(DataFrame.unionByName, [m.transform(folded.where(F.col("test_fold") == k), out_col).withColumns({"fold": F.lit(k), "candidate": F.lit(c)})
+                                          for (c, k), m in models.items() if k < n_splits])
+
+
 def oof_predictions(folded: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5,
                     balanced: bool = False, preps: Sequence[PrepModel] | None = None) -> DataFrame:
     """Out-of-fold raw probabilities: for each fold fit on earlier rows, score the fold."""
+    if kind in TREES:
+        return tree_oof(folded, tree_models(folded, kind, True, [params], n_splits, balanced), n_splits, "p_raw")
+
     def one(k: int) -> DataFrame:
         tr, te = fold_frames(folded, k)
         return fit_classifier(tr, kind, params, balanced, prep=preps[k] if preps else None).raw_scores(te).withColumn("fold", F.lit(k))
@@ -223,6 +280,14 @@ def oof_predictions(folded: DataFrame, kind: str, params: dict | None = None, n_
     return reduce(DataFrame.unionByName, _together(folded.sparkSession, one, n_splits))
 
 
+def _oof_and_final(folded: DataFrame, train: DataFrame, kind: str, params: dict | None, n_splits: int, balanced: bool) -> tuple[DataFrame, FittedClassifier]:
+    """Out-of-fold probabilities and the fit on all rows."""
+    if kind in TREES:
+        models = tree_models(folded, kind, True, [params], n_splits, balanced, final=True)
+        return tree_oof(folded, models, n_splits, "p_raw"), FittedClassifier(kind, None, models[0, n_splits])
+    return oof_predictions(folded, kind, params, n_splits, balanced), fit_classifier(train, kind, params, balanced)
+
+
 def fold_frames(folded: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Rows that fold ``k`` trains on (all earlier ones) and tests on."""
     return (folded.where(F.col("row_index") < F.col("first_test_index") + k * F.col("fold_test_size")),
@@ -283,10 +348,10 @@ def train_classifier(dataset: DataFrame, kind: str, params: dict | None = None,
     train = coh.where(F.col("split") == "train")
     val = coh.where(F.col("split") == "validation")
     folded = M.time_folds(train, n_splits)
-    oof = oof_predictions(folded, kind, params, n_splits, balanced).persist()
+    oof, fc = _oof_and_final(folded, train, kind, params, n_splits, balanced)
+    oof = oof.persist()
     cv = fold_metrics(oof)
     sig, iso = fit_calibrators(oof)
-    fc = fit_classifier(train, kind, params, balanced)
     fc.sigmoid, fc.isotonic = sig, iso
     vraw = fc.raw_scores(val).select("external_id", F.col("label").cast("int").alias("y"), "p_raw")
     variants = None
@@ -322,6 +387,8 @@ class FittedRegressor:
         """Raw prediction ``y_raw`` in hours (expm1 applied for log models; P25)."""
         if self.kind == "median":
             return df.withColumn("y_raw", F.lit(float(self.median)))
+        if isinstance(self.model, (T.Ensemble, G.LinearModel)):
+            return self.model.transform(df, "y_raw")
         t = self.model.transform(self.prep.transform(df))
         y = F.expm1(F.col("prediction")) if self.log1p else F.col("prediction")
         return t.withColumn("y_raw", y).drop("features", "prediction")
@@ -341,12 +408,11 @@ def fit_regressor(train: DataFrame, kind: str, params: dict | None = None, log1p
 
 def oof_hours(folded: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5, log1p: bool = False) -> DataFrame:
     """M11 for hours: each fold predicted by a fit on the rows before it, clamped at 0."""
-    def one(k: int) -> DataFrame:
-        tr, te = fold_frames(folded, k)
-        return fit_regressor(tr, kind, params, log1p).predict(te).select(
-            F.lit(k).alias("fold"), F.col("label").alias("y"), X.clamp_hours("y_raw").alias("yhat"))
+    return _hours(tree_oof(folded, hour_models(folded, kind, [params], n_splits, log1p), n_splits, "y_raw"))
 
-    return reduce(DataFrame.unionByName, _together(folded.sparkSession, one, n_splits))
+
+def _hours(oof: DataFrame) -> DataFrame:
+    return oof.select("candidate", "fold", F.col("label").alias("y"), X.clamp_hours("y_raw").alias("yhat"))
 
 
 def regression_fold_metrics(oof: DataFrame) -> DataFrame:
@@ -365,8 +431,10 @@ def train_regressor(dataset: DataFrame, kind: str, params: dict | None = None, n
     coh = materialize(with_label(cohort(dataset, "total_duration_hours"), "total_duration_hours").select(
         "external_id", "created_at", "split", "label", *C.ALL_FEATURES))
     train, val = coh.where(F.col("split") == "train"), coh.where(F.col("split") == "validation")
-    cv = regression_fold_metrics(oof_hours(M.time_folds(train, n_splits), kind, params, n_splits, log1p)).first()  # one row
-    fr = fit_regressor(train, kind, params, log1p)
+    folded = M.time_folds(train, n_splits)
+    models = hour_models(folded, kind, [params], n_splits, log1p, final=True)
+    fr, oof = FittedRegressor(kind, None, models[0, n_splits], log1p), _hours(tree_oof(folded, models, n_splits, "y_raw"))
+    cv = regression_fold_metrics(oof).first()  # one row
     return fr, regression_eval(fr, val).withColumns({k: F.lit(cv[k]).cast("double") for k in cv.__fields__})
 
 
@@ -443,6 +511,13 @@ def search(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: i
     A candidate whose parameters the estimator refuses stays in the table with
     its error; every other failure is raised.
     """
+    if kind in TREES:
+        def scores(oof: DataFrame) -> DataFrame:
+            per = M.ranking_metrics(oof.select("candidate", "fold", F.col("label").cast("int").alias("y"), F.col("p_raw").alias("p")), ["candidate", "fold"])
+            return per.groupBy("candidate").agg(F.avg("pr_auc").alias("cv_pr_auc_mean"))
+
+        return _search_together(folded, space, n_candidates, n_splits, "cv_pr_auc_mean", True, "p_raw", scores,
+                                lambda cands: tree_models(folded, kind, True, cands, n_splits, balanced), lambda cand: tree_spec(0, kind, True, cand))
     # the preprocessing of a fold is the same for all candidates
     preps = _together(folded.sparkSession, lambda k: fit_prep(fold_frames(folded, k)[0]), n_splits)
     return _search(folded, space, n_candidates, "cv_pr_auc_mean", True,
@@ -452,8 +527,31 @@ def search(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: i
 def search_regressor(folded: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5,
                      log1p: bool = False) -> tuple[dict, DataFrame]:
     """M10 for hours: mean out-of-fold MAE per candidate, the lowest (first on ties) wins."""
-    return _search(folded, space, n_candidates, "cv_mae_mean", False,
-                   lambda cand: regression_fold_metrics(oof_hours(folded, kind, cand, n_splits, log1p)))
+    def scores(oof: DataFrame) -> DataFrame:
+        per = _hours(oof).groupBy("candidate", "fold").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
+        return per.groupBy("candidate").agg(F.avg("mae").alias("cv_mae_mean"))
+
+    return _search_together(folded, space, n_candidates, n_splits, "cv_mae_mean", False, "y_raw", scores,
+                            lambda cands: hour_models(folded, kind, cands, n_splits, log1p), lambda cand: tree_spec(0, kind, False, cand) if kind in TREES else None)
+
+
+def _search_together(folded: DataFrame, space: dict[str, list], n_candidates: int, n_splits: int, metric: str, higher: bool, column: str,
+                     scores, fit, check) -> tuple[dict, DataFrame]:
+    """All candidates and folds are fitted together and scored in one go; a candidate that ``check`` refuses keeps its error."""
+    candidates, errors = random_candidates(space, n_candidates), {}
+    for i, cand in enumerate(candidates):
+        try:
+            check(cand)
+        except ValueError as e:
+            errors[i] = str(e)
+    fine = [i for i in range(len(candidates)) if i not in errors]
+    got = {}
+    if fine:
+        models = fit([candidates[i] for i in fine])
+        got = {fine[r["candidate"]]: r[metric] for r in scores(tree_oof(folded, models, n_splits, column)).collect()}  # one row a candidate
+    rows = [(i, str(c), float(got[i]) if got.get(i) is not None else None, errors.get(i)) for i, c in enumerate(candidates)]
+    best = min((i for i in got if got[i] is not None), key=lambda i: (-got[i] if higher else got[i], i), default=None)
+    return (candidates[best] if best is not None else {}), folded.sparkSession.createDataFrame(rows, f"candidate int, params string, {metric} double, error string")
 
 
 def _search(folded: DataFrame, space: dict[str, list], n_candidates: int, metric: str, higher: bool, run) -> tuple[dict, DataFrame]:

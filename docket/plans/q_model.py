@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docket import config as C
 from docket.operators import dataset as D
+from docket.operators import gram as G
 from docket.operators import metrics as M
 from docket.operators import modeling as ML
 from docket.operators.ordering import exact_quantiles
@@ -72,7 +73,7 @@ def median_baseline_metrics(spark, sf_dir):
 
 # Parameters of the registered fits: 300 trees of unlimited depth with 10 rows a leaf; 100 boosting steps; 5 time folds.
 FOREST = {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 10, "max_features": "sqrt"}
-BOOSTING = {"max_iter": 100, "learning_rate": 0.1, "max_depth": None, "min_samples_leaf": 20}
+BOOSTING = {"max_iter": 100, "learning_rate": 0.1, "max_leaf_nodes": 31, "max_depth": None, "min_samples_leaf": 20, "l2_regularization": 0.0}
 
 
 @register("logreg_training")
@@ -293,7 +294,8 @@ def _classifier_search(spark, sf_dir, kind, balanced=False):
 
 
 def _regressor_search(spark, sf_dir, kind, log1p=False):
-    return _marked(*ML.search_regressor(_search_rows(spark, sf_dir, "total_duration_hours"), kind, C.SEARCH_SPACES[kind], CANDIDATES, SEARCH_FOLDS, log1p))
+    space = C.SEARCH_SPACES["rf_regressor" if kind == "rf" else kind]
+    return _marked(*ML.search_regressor(_search_rows(spark, sf_dir, "total_duration_hours"), kind, space, CANDIDATES, SEARCH_FOLDS, log1p))
 
 
 @register("hyperparameter_search")
@@ -304,8 +306,8 @@ def hyperparameter_search(spark, sf_dir):
 
 @register("forest_search")
 def forest_search(spark, sf_dir):
-    """Five seeded draws from the forest's grid (balanced classes), scored by mean OOF PR-AUC."""
-    return _classifier_search(spark, sf_dir, "rf", balanced=True)
+    """Five seeded draws from the forest's grid (class weights included), scored by mean OOF PR-AUC."""
+    return _classifier_search(spark, sf_dir, "rf")
 
 
 @register("boosting_search")
@@ -330,3 +332,27 @@ def forest_regressor_search(spark, sf_dir):
 def boosting_regressor_search(spark, sf_dir):
     """Five seeded draws from the boosting grid, scored by mean OOF MAE."""
     return _regressor_search(spark, sf_dir, "gbt")
+
+
+def _gram_sql():
+    entry = lambda name, value: "{'n': " + name + ", 'v': CAST(" + value + " AS DOUBLE)}"
+    z = [entry(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '{C.MISSING_CODE}')", "1") for c in C.CATEGORICAL_FEATURES]
+    z += [x for c in C.NUMERIC_FEATURES for x in (entry(f"'{c}'", f"coalesce({c}, 0)"), entry(f"'{c} is null'", f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END"))]
+    z += [entry("'1'", "1"), entry("'label'", "total_duration_hours")]
+    k, size = SEARCH_FOLDS, f"(n // {SEARCH_FOLDS + 1})"
+    return S.with_ctes("", "dsx").rstrip() + f""",
+t AS (SELECT *, row_number() OVER (ORDER BY created_at, external_id) - 1 AS pos, count(*) OVER () AS n
+      FROM {_COH} AND total_duration_hours IS NOT NULL AND split = 'train'),
+z AS (SELECT CASE WHEN pos < n - {k} * {size} THEN 0 ELSE 1 + (pos - (n - {k} * {size})) // {size} END AS segment, [{", ".join(z)}] AS v FROM t),
+x AS (SELECT segment, v, unnest(v) AS x FROM z),
+y AS (SELECT segment, x, unnest(v) AS y FROM x)
+SELECT segment, x.n AS a, y.n AS b, {r("sum(x.v * y.v)")} AS total FROM y GROUP BY ALL HAVING sum(x.v * y.v) <> 0"""
+
+
+@register("gram_sums", _gram_sql())
+def gram_sums(spark, sf_dir):
+    """Sums of products of all one-hot levels, numbers, NULL marks, 1 and the hours, per time segment of the train split."""
+    rows = _search_rows(spark, sf_dir, "total_duration_hours")
+    columns = G.fit_columns(rows)
+    names = F.array(*[F.lit(n) for n in columns.names])
+    return G.gram_sums(rows, columns, G.segment_of(), F.col("label")).select("segment", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "total")

@@ -216,7 +216,7 @@ def test_regressor_folds_and_search(spark, numbers):
     assert 0 < cv["cv_mae_mean"] < 20 and cv["cv_rmse_mean"] >= cv["cv_mae_mean"]
     best, table = ML.search_regressor(folded, "enet", {"alpha": [0.01, 50.0], "l1_ratio": [0.0]}, 2, 3)
     assert best["alpha"] == 0.01 and table.count() == 2
-    _, table = ML.search(M.time_folds(numbers.where("split = 'train'"), 3), "rf", {"max_depth": [40], "n_estimators": [3]}, 1, 3)
+    _, table = ML.search(M.time_folds(numbers.where("split = 'train'"), 3), "rf", {"max_depth": [0], "n_estimators": [3]}, 1, 3)
     assert "max_depth" in table.first()["error"]
 
 
