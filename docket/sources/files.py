@@ -1,12 +1,10 @@
 """Delivery sources: CSV / XLSX scans, file manifest, hashes, row numbers.
 
-* CSV (S1): every cell is text, blanks stay ``""``; ``multiLine`` is off so a
-  file splits into many tasks.  Files with different headers are read per
+* CSV (S1): every cell is text, blanks stay ``""``; quoted cells may hold line breaks and a
+  file still splits into many tasks (:mod:`docket.sources.csv_records`).  Files with different headers are read per
   header group (headers are one short line per file, read as text).
-* Row numbers (S4): the reader tags each row with its file and split start;
-  per-split row counts (one row per split) get prefix offsets inside each
-  file, giving the exact 1-based data-row number without a single-partition
-  window.
+* Row numbers (S4): records are numbered by a prefix over the splits of their file (one row per split), so that the
+  1-based data-row number is exact without a single-partition window.
 * Manifest (S3, S5): ``binaryFile`` gives path, size and bytes; the SHA-256
   of the bytes is computed in the JVM; unsupported extensions are flagged.
 * XLSX (S2): one task per workbook (``mapInPandas`` over ``binaryFile``),
@@ -24,12 +22,13 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docket import config as C
 from docket.functions import exprs as X
+from docket.sources.csv_records import csv_records
 
 
 EMPTY_HASH = hashlib.sha256(b"").hexdigest()
@@ -75,38 +74,21 @@ def csv_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _read_group(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows of files with one header; ``_excess`` marks lines with more cells than the header has."""
-    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))], T.StructField("_corrupt", T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", False).option("quote", '"')
-          .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-          .option("enforceSchema", True).csv(list(paths)))
-    excess = F.coalesce(F.size(F.regexp_extract_all("_corrupt", F.lit(_CELL), 1)) > len(columns), F.lit(False))
-    return df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns) if c not in columns[:i]],
-                     excess.alias("_excess"), F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("_mid"))
-
-
-def with_row_numbers(rows: DataFrame) -> DataFrame:
-    """Exact 1-based row number per file from (_file, _blk, _mid).
-
-    Rows of one split are contiguous in their task, so within a split the
-    number is ``_mid - min(_mid) + 1`` plus the rows of earlier splits of the
-    same file.  The split table has one row per split and is joined back.
-    """
-    seg = rows.groupBy("_file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (rows.join(seg.select("_file", "_blk", "_m0", "_off"), ["_file", "_blk"])
-            .withColumn("_row", F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
-            .drop("_blk", "_mid", "_m0", "_off"))
+    """Rows of files with one header; ``_excess`` marks records with more cells than the header has, or with a quote that never ends."""
+    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))]
+    schema = T.StructType([*cells, T.StructField("_corrupt", T.StringType())])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true", "maxCharsPerColumn": "-1"}
+    rows = csv_records(spark, paths).filter("_row > 0").withColumn("r", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options))
+    excess = F.coalesce(F.size(F.regexp_extract_all("r._corrupt", F.lit(_CELL), 1)) > len(columns), F.lit(False)) | F.col("_open")
+    return rows.select(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns) if c not in columns[:i]],
+                       excess.alias("_excess"), "_file", "_row")
 
 
 def read_csv_deliveries(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """S1 + S4 + F1: (rows, headers).
 
     ``rows`` has every column of its file as text plus ``_excess`` (the line
-    has more cells than the header: the file is malformed), ``_file``,
+    has more cells than the header, or its quotes do not end: the file is malformed), ``_file``,
     ``_file_seq`` (position in ``paths``) and ``_row``; files missing a
     required column are left out of ``rows`` (see :func:`docket.operators.ingest.missing_required_columns`).
     """
@@ -126,7 +108,7 @@ def read_csv_deliveries(spark: SparkSession, paths: Sequence[str]) -> tuple[Data
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], "_file string, _excess boolean, _file_seq int, _row long"), headers
-    return with_file_seq(with_row_numbers(out), paths), headers
+    return with_file_seq(out, paths), headers
 
 
 def with_file_seq(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
