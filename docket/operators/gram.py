@@ -9,6 +9,7 @@ features, without another pass.
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -129,6 +130,20 @@ class LinearModel:
         return df.withColumn(out_col, F.expm1(y) if self.log1p else y)
 
 
+    def save_to(self, path: str) -> None:
+        """All of it as one JSON line below the new folder ``path``."""
+        from pyspark.sql import SparkSession
+
+        record = {**dataclasses.asdict(self), "weights": [w.tolist() for w in self.weights], "slopes": self.slopes.tolist()}
+        SparkSession.getActiveSession().createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(path)
+
+
+def load_linear(spark, path: str) -> LinearModel:
+    """The model that :meth:`LinearModel.save_to` wrote."""
+    r = json.loads(spark.read.text(path).first()["value"])
+    return LinearModel(Columns(**r["columns"]), [np.array(w) for w in r["weights"]], np.array(r["slopes"]), r["medians"], r["intercept"], r["log1p"])
+
+
 def solve(gram: np.ndarray, columns: Columns, medians: Sequence[float], alpha: float, l1_ratio: float, log1p: bool = False) -> LinearModel:
     """Elastic net on imputed, scaled numbers and plain one-hot columns, from the sums of a train set."""
     hot, q = sum(len(v) for v in columns.levels), len(columns.numeric)

@@ -27,13 +27,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket import config as C
 from docket.functions import exprs as X
 from docket.operators import gram as G
+from docket.operators import isotonic as I
 from docket.operators import metrics as M
 from docket.operators import trees as T
 from docket.operators.ordering import exact_quantiles
@@ -315,10 +316,7 @@ def fit_calibrators(oof: DataFrame):
     sig = LogisticRegression(featuresCol="zf", labelCol="label", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                              standardization=False, tol=1e-10, maxIter=200).fit(
         VectorAssembler(inputCols=["z"], outputCol="zf").transform(d))
-    # one row per distinct score: the last step of the isotonic fit runs on the driver
-    steps = d.groupBy("p_raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    iso = IsotonicRegression(featuresCol="p_raw", labelCol="label", weightCol="weight", isotonic=True).fit(steps)
-    return sig, iso
+    return sig, I.fit(d, "p_raw", "label")
 
 
 def apply_calibration(df: DataFrame, p_col: str, method: str, sig, iso) -> DataFrame:
@@ -330,8 +328,7 @@ def apply_calibration(df: DataFrame, p_col: str, method: str, sig, iso) -> DataF
     if method == "sigmoid":
         coef, icpt = float(sig.coefficients[0]), float(sig.intercept)
         return df.withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(coef) * X.logit(p_col) + F.lit(icpt)))))
-    t = iso.setFeaturesCol(p_col).setPredictionCol("_iso").transform(df)
-    return t.withColumn("p", F.col("_iso")).drop("_iso")
+    return iso.transform(df, p_col, "p")
 
 
 def train_classifier(dataset: DataFrame, kind: str, params: dict | None = None, n_splits: int = 5,

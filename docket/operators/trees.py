@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import dataclasses
 import heapq
+import json
 from collections.abc import Generator, Iterator, Sequence
 
 import numpy as np
@@ -752,6 +753,14 @@ class Ensemble:
                 for p in self.parts for t, tree in p.trees for i in range(len(tree.left))]
         return spark.createDataFrame(rows, NODES)
 
+    def save_to(self, path: str) -> None:
+        """The node table and, as one JSON line, bins and parameters below the new folder ``path``."""
+        spark = _session()
+        self.nodes(spark).write.parquet(f"{path}/nodes")
+        lay = {k: getattr(self.layout, k) for k in ("categorical", "numeric", "levels", "cuts", "exact")}
+        record = {"layout": lay, "spec": dataclasses.asdict(self.spec), "fill": [int(x) for x in self.parts[0].fill], "base": self.parts[0].base}
+        spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(f"{path}/record")
+
     def _shards(self) -> list[list[Tree]]:
         out, size = [[]], 0
         for p in self.parts:
@@ -793,3 +802,22 @@ class Ensemble:
         out = 1 / (1 + F.exp(-raw)) if self.spec.kind == "gbt" and self.spec.classes else F.expm1(raw) if self.spec.log1p else raw
         extra = [] if std_col is None else [F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / count) / max(count - 1, 1), F.lit(0.0))).alias(std_col)]
         return rows.select("row.*", out.alias(out_col), *extra)
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession()
+
+
+def load_ensemble(spark, path: str) -> Ensemble:
+    """The ensemble that :meth:`Ensemble.save_to` wrote."""
+    record = json.loads(spark.read.text(f"{path}/record").first()["value"])
+    layout = Layout(**record["layout"])
+    spec = Spec(**{**record["spec"], "params": tuple((k, v) for k, v in record["spec"]["params"])})
+    nodes = spark.read.schema(NODES).parquet(f"{path}/nodes").orderBy("tree", "node").toArrow()  # a model, not rows
+    tree = nodes.column("tree").to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(tree) != 0, [True]]))
+    cols = {k: nodes.column(c).to_numpy() for k, c in (("feature", "feature"), ("bin", "bin"), ("left", "left_node"), ("right", "right_node"), ("value", "value"), ("cover", "cover"))}
+    trees = [(int(tree[a]), Tree(**{k: (v[a:b] if k in ("value", "cover") else v[a:b].astype(np.int64)) for k, v in cols.items()})) for a, b in zip(cut[:-1], cut[1:])]
+    return Ensemble(layout, spec, [Fitted(spec, trees, np.array(record["fill"], dtype=np.int64), record["base"])])

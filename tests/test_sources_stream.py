@@ -117,6 +117,24 @@ def test_bundle_roundtrip_and_version_check(spark, tmp_path):
         SK.load_bundle(spark, path)
 
 
+def test_bundle_of_trees_and_gram_models(spark, tmp_path):
+    from docket.operators import metrics as M
+    from docket.operators import modeling as ML
+
+    ds = D.build_dataset(V.snapshot_view(spark, SF_SMALL), V.process_view(spark, SF_SMALL), C.TEST_SPLITS, C.TEST_CUTOFF)
+    clf, met = ML.train_classifier(ds, "gbt", {"max_iter": 4, "max_leaf_nodes": 5}, n_splits=2)
+    clf.calibration = "isotonic"
+    rcoh = ML.with_label(D.cohort(ds, "total_duration_hours"), "total_duration_hours").where("split = 'train'")
+    reg = ML.FittedRegressor("enet", None, ML.hour_models(M.time_folds(rcoh, 2), "enet", [{}], 2, True)[0, 2], True)
+    path = os.path.join(tmp_path, "bundle")
+    SK.save_bundle(spark, path, clf, reg)
+    clf2, reg2, meta = SK.load_bundle(spark, path)
+    assert (meta["classifier_form"], meta["regressor_form"], met.first()["model"]) == ("trees", "linear", "gbt")
+    feats = ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES)
+    a, b = ({r[0]: (r[1], r[2]) for r in ML.score_cases(feats, *m).select("external_id", "delay_probability", "predicted_hours").collect()} for m in ((clf, reg), (clf2, reg2)))
+    assert len(a) > 100 and a == b
+
+
 def test_dataset_fingerprint_properties(spark):
     ds = D.build_dataset(V.snapshot_view(spark, SF_SMALL), V.process_view(spark, SF_SMALL), C.TEST_SPLITS,
                          C.TEST_CUTOFF).cache()
