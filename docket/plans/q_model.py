@@ -356,3 +356,19 @@ def gram_sums(spark, sf_dir):
     columns = G.fit_columns(rows)
     names = F.array(*[F.lit(n) for n in columns.names])
     return G.gram_sums(rows, columns, G.segment_of(), F.col("label")).select("segment", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "total")
+
+
+@register("isotonic_steps", S.with_ctes("", "dsx").rstrip() + f""",
+sc AS (SELECT round(1 / (1 + exp(-({_Z}))), 2) AS x, is_delayed AS y FROM {_COH} AND is_delayed IS NOT NULL),
+d AS (SELECT x, sum(y) AS s, count(*) AS w FROM sc GROUP BY x),
+c AS (SELECT x, s, w, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM d),
+m AS (SELECT i.x, j.x AS start, min((k.cs - j.cs + j.s) / (k.cw - j.cw + j.w)) AS low
+      FROM c i JOIN c j ON j.x <= i.x JOIN c k ON k.x >= i.x GROUP BY i.x, j.x)
+SELECT x, {r("max(low)")} AS value FROM m GROUP BY x""")
+def isotonic_steps(spark, sf_dir):
+    """Isotonic steps of the delay label on the fixed model's score (two decimals) over all usable cases, and the value at every score."""
+    from docket.operators import isotonic as I
+
+    coh = D.cohort(_dataset(spark, sf_dir), "is_delayed").select(F.round(F.expr(f"1 / (1 + exp(-({_Z})))"), 2).alias("x"), F.col("is_delayed").alias("y"))
+    steps = I.fit(coh, "x", "y")
+    return steps.transform(coh.select("x").distinct(), "x", "value")
