@@ -47,3 +47,37 @@ def test_null_ids(spark):
     for keep in ("min", "max"):
         want = [(i, best[keep].get(t or ""), size[t or ""], None if i is None else i == best[keep][t or ""], sha[t]) for i, t in rows]
         assert sorted(map(tuple, exact_dedup(df, keep=keep).collect()), key=str) == sorted(want, key=str)
+
+
+def test_runs_over_many_ranges(spark):
+    """Runs that begin, end, fill or skip ranges, with small batches and as many ranges as there are partitions."""
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for rows in ([(i, "hot") for i in range(300)],
+                     [(i, "hot" if i % 4 else f"t{i % 40}") for i in range(300)],
+                     [(i, f"{i % 11}" * (i % 3)) for i in range(200)],
+                     [(i, f"u{i}") for i in range(40)] + [(99, "u7"), (98, "u39"), (97, "u0")]):
+            for keep, f in (("max", max), ("min", min)):
+                assert run(spark, rows, keep=keep) == brute(rows, f)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_neighbour_comparison_decides():
+    """The scan alone forms the groups: texts with equal digests but different content stay apart, equal ones meet."""
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    from docket.llm import exact_dedup as E
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3, 4], pa.int64()), "text": ["a", "a", "b", "b"], "sha": ["s"] * 4})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(E.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+        out = pa.Table.from_batches(list(E._neighbours("max")(iter([rows.slice(0, 3), rows.slice(3)])))).to_pandas()
+    assert out[out["size"].isna()]["run"].tolist() == [0, 0, 1, 1]
+    assert [tuple(r) for r in out[out["size"].notna()][["run", "size", "best", "edge"]].to_numpy().astype(np.int64)] == [(0, 2, 2, 1), (1, 2, 4, 2)]
