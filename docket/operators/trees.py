@@ -123,7 +123,8 @@ class Tree:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
-    cover: np.ndarray
+    cover: np.ndarray  # rows
+    weight: np.ndarray  # their weights
 
     def leaves(self, codes: np.ndarray, layout: Layout) -> np.ndarray:
         node = np.zeros(len(codes), dtype=np.int64)
@@ -216,7 +217,7 @@ class _Growing:
 
     def tree(self, value: np.ndarray | None = None) -> Tree:
         c = {k: np.array(self.cols[k], dtype=np.int64) for k in ("feature", "bin", "left", "right")}
-        return Tree(**c, value=np.zeros(len(self.stats)) if value is None else value, cover=np.array([s[0] for s in self.stats]))
+        return Tree(**c, value=np.zeros(len(self.stats)) if value is None else value, cover=np.array([s[0] for s in self.stats]), weight=np.array([s[2] for s in self.stats]))
 
 
 def _merge_missing(hist: np.ndarray, layout: Layout, fill: np.ndarray) -> np.ndarray:
@@ -339,7 +340,7 @@ def _finished(g: _Growing, rules: Rules) -> Tree:
     value = rules.sign * rules.shrink * np.divide(stats[:, 1], weight, out=np.zeros(len(kept)), where=weight > 0)
     col = {k: np.array([g.cols[k][n] for n in kept], dtype=np.int64) for k in ("feature", "bin")}
     kids = {k: np.array([new.get(g.cols[k][n], -1) for n in kept], dtype=np.int64) for k in ("left", "right")}
-    return Tree(**col, **kids, value=value, cover=stats[:, 0])
+    return Tree(**col, **kids, value=value, cover=stats[:, 0], weight=stats[:, 2])
 
 
 # --- models ----------------------------------------------------------------------------------
@@ -440,7 +441,7 @@ def fit_boosting(layout: Layout, spec: Spec) -> Generator:
 
 def _stump() -> Tree:
     none = np.full(1, -1, np.int64)
-    return Tree(none, none, none, none, np.zeros(1), np.zeros(1))
+    return Tree(none, none, none, none, np.zeros(1), np.zeros(1), np.zeros(1))
 
 
 def _tagged(tag: int, inner: Generator) -> Generator:
@@ -730,7 +731,7 @@ def _store_scores(state: DataFrame, layout: Layout, work: list, fills: dict, rou
 
 
 # --- the fitted ensemble ---------------------------------------------------------------------
-NODES = "model int, tree int, node int, feature int, bin int, left_node int, right_node int, value double, cover double"
+NODES = "model int, tree int, node int, feature int, bin int, left_node int, right_node int, value double, cover double, weight double"
 SHARD_NODES = 2_000_000  # nodes sent to the tasks at once
 
 
@@ -749,9 +750,13 @@ class Ensemble:
 
     def nodes(self, spark) -> DataFrame:
         """One row per node."""
-        rows = [(self.spec.model, t, i, *(int(x) for x in (tree.feature[i], tree.bin[i], tree.left[i], tree.right[i])), float(tree.value[i]), float(tree.cover[i]))
-                for p in self.parts for t, tree in p.trees for i in range(len(tree.left))]
-        return spark.createDataFrame(rows, NODES)
+        trees = [(t, tree) for p in self.parts for t, tree in p.trees]
+        join = lambda k: np.concatenate([getattr(tree, k) for _, tree in trees])
+        sizes = [len(tree.left) for _, tree in trees]
+        cols = [np.full(sum(sizes), self.spec.model), np.repeat([t for t, _ in trees], sizes), np.concatenate([np.arange(n) for n in sizes]),
+                *[join(k) for k in ("feature", "bin", "left", "right")]]
+        cols = [c.astype(np.int32) for c in cols] + [join(k).astype(float) for k in ("value", "cover", "weight")]
+        return spark.createDataFrame(pa.table(dict(zip([f.split()[0] for f in NODES.split(", ")], cols))))
 
     def save_to(self, path: str) -> None:
         """The node table and, as one JSON line, bins and parameters below the new folder ``path``."""
@@ -818,6 +823,6 @@ def load_ensemble(spark, path: str) -> Ensemble:
     nodes = spark.read.schema(NODES).parquet(f"{path}/nodes").orderBy("tree", "node").toArrow()  # a model, not rows
     tree = nodes.column("tree").to_numpy()
     cut = np.flatnonzero(np.concatenate([[True], np.diff(tree) != 0, [True]]))
-    cols = {k: nodes.column(c).to_numpy() for k, c in (("feature", "feature"), ("bin", "bin"), ("left", "left_node"), ("right", "right_node"), ("value", "value"), ("cover", "cover"))}
-    trees = [(int(tree[a]), Tree(**{k: (v[a:b] if k in ("value", "cover") else v[a:b].astype(np.int64)) for k, v in cols.items()})) for a, b in zip(cut[:-1], cut[1:])]
+    cols = {k: nodes.column(c).to_numpy() for k, c in (("feature", "feature"), ("bin", "bin"), ("left", "left_node"), ("right", "right_node"), ("value", "value"), ("cover", "cover"), ("weight", "weight"))}
+    trees = [(int(tree[a]), Tree(**{k: (v[a:b] if k in ("value", "cover", "weight") else v[a:b].astype(np.int64)) for k, v in cols.items()})) for a, b in zip(cut[:-1], cut[1:])]
     return Ensemble(layout, spec, [Fitted(spec, trees, np.array(record["fill"], dtype=np.int64), record["base"])])

@@ -229,31 +229,33 @@ def permutation_fixed_scorer(spark, sf_dir):
                                      val.select("external_id", "label", *C.ALL_FEATURES))
 
 
-_FORESTS: dict[tuple[str, str], ML.FittedClassifier] = {}
-
-
 def _fitted_forest(spark, sf_dir):
-    """The balanced FOREST of the whole train split (fitted once per session for all queries) and the prepared usable cases."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The balanced FOREST of the whole train split and the usable cases; the forest is stored under the fingerprint (A17) of its rows and read again."""
+    from docket.operators import trees as T
+    from docket.session import ensure_checkpoint_dir
+    from docket.sources.sinks import _hadoop
+
     ds = ML.materialize(_dataset(spark, sf_dir))
-    if key not in _FORESTS:
-        coh = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed")
-        _FORESTS[key] = ML.fit_classifier(coh.where(F.col("split") == "train"), "rf", FOREST, balanced=True)
-    clf = _FORESTS[key]
-    return clf, clf.prep.transform(ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES))
+    mark = D.dataset_fingerprint(ds, "is_delayed", C.TEST_CUTOFF).first()["fingerprint"]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{mark}-{FOREST['n_estimators']}"
+    fs, done = _hadoop(spark, f"{path}/record/_SUCCESS")
+    if not fs.exists(done):
+        train = ML.with_label(D.cohort(ds, "is_delayed"), "is_delayed").where(F.col("split") == "train")
+        folded = M.time_folds(train.select("external_id", "created_at", "label", *C.ALL_FEATURES), 1)
+        fs.delete(_hadoop(spark, path)[1], True)  # what a broken run left
+        ML.tree_models(folded, "rf", True, [FOREST], 0, balanced=True, final=True)[0, 0].save_to(path)
+    return T.load_ensemble(spark, path), ds.where(F.col("schema_error").isNull()).select("external_id", *C.ALL_FEATURES)
 
 
 @register("forest_spread")
 def forest_spread(spark, sf_dir):
     """X2 + P21: per-tree spread of a random forest and the +-2 std probability interval, every usable case."""
     from docket.functions import exprs as X
-    from docket.operators import forest as FO
 
-    clf, feats = _fitted_forest(spark, sf_dir)
-    sp = FO.forest_spread(feats, clf.model, "external_id")
-    scored = sp.withColumn("p", F.col("tree_mean"))  # this forest is not calibrated: its mean is its probability
+    forest, feats = _fitted_forest(spark, sf_dir)
+    scored = forest.transform(feats, "p", "tree_std")  # this forest is not calibrated: its mean is its probability
     lo, hi = X.prob_interval("p", "tree_std")
-    return scored.select("external_id", "tree_mean", "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
+    return scored.select("external_id", F.col("p").alias("tree_mean"), "tree_std", lo.alias("p_lower"), hi.alias("p_upper"))
 
 
 @register("forest_shap")
@@ -262,10 +264,9 @@ def forest_shap(spark, sf_dir):
     from docket.operators import explain as EX
     from docket.operators import shap as SH
 
-    clf, feats = _fitted_forest(spark, sf_dir)
-    contrib = SH.forest_shap(feats, clf.model, "external_id", clf.prep.feature_names())
+    forest, feats = _fitted_forest(spark, sf_dir)
     lab = EX.feature_label_table(spark)
-    return SH.shap_table(contrib, "external_id", 3).join(F.broadcast(lab), "feature", "left").select(
+    return SH.shap_table(SH.ensemble_shap(feats, forest, "external_id"), "external_id", 3).join(F.broadcast(lab), "feature", "left").select(
         "external_id", "rank", "feature", F.coalesce("label", "feature").alias("label"), "contribution", "direction",
         "base_value")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from docket.operators import modeling as ML
 from docket.plans import q_model as Q
 
@@ -9,18 +12,39 @@ from .conftest import SF_SMALL
 
 
 def test_forest_queries_share_one_whole_forest(spark, monkeypatch):
-    fits, fit = [], ML.fit_classifier
-
-    def small(train, kind, params=None, balanced=False, **kw):
-        fits.append((kind, params, balanced))
-        return fit(train, kind, {**params, "n_estimators": 3, "max_depth": 3}, balanced, **kw)
-
-    monkeypatch.setattr(ML, "fit_classifier", small)
-    monkeypatch.setattr(Q, "_FORESTS", {})
-    n = Q.forest_spread(spark, SF_SMALL).count()
-    assert Q.forest_shap(spark, SF_SMALL).count() == 3 * n > 0
-    assert fits == [("rf", Q.FOREST, True)]
-    assert Q.FOREST == {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 10, "max_features": "sqrt"}
+    fits, fit = [], ML.tree_models
+
+    def small(folded, kind, classes, candidates, n, **kw):
+        fits.append((kind, candidates[0], kw))
+        return fit(folded, kind, classes, [{**candidates[0], "n_estimators": 3, "max_depth": 3}], n, **kw)
+
+    monkeypatch.setattr(ML, "tree_models", small)
+    whole = dict(Q.FOREST)
+    monkeypatch.setitem(Q.FOREST, "n_estimators", 7)  # a store of its own
+    spread = Q.forest_spread(spark, SF_SMALL)
+    n = spread.count()
+    shap = Q.forest_shap(spark, SF_SMALL)
+    assert shap.count() == 3 * n > 0
+    assert fits == [("rf", {**whole, "n_estimators": 7}, {"balanced": True, "final": True})]
+    assert whole == {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 10, "max_features": "sqrt"}
+
+
+def test_contributions_add_up_to_the_forest(spark, monkeypatch):
+    from docket.operators import shap as SH
+    from docket.operators import trees as T
+
+    from .test_trees import data
+
+    layout, codes, _, y = data(8, 90)
+    fitted = T.fit_rows(layout, T.Spec(0, "rf", True, (("min_samples_leaf", 2), ("class_weight", "balanced"))), range(5), codes, y, np.arange(90))
+    e = T.Ensemble(layout, fitted.spec, [fitted])
+    rows = [(i, layout.levels[0][c[0]], layout.levels[1][c[1]], *(None if k == len(cu) else cu[k] for k, cu in zip(c[2:], layout.cuts))) for i, c in enumerate(codes.tolist())]
+    df = spark.createDataFrame(rows, "id int, c0 string, c1 string, n0 double, n1 double")
+    p = {r["id"]: r["p"] for r in e.transform(df, "p").collect()}
+    for limit in (10**6, 30):
+        monkeypatch.setattr(T, "SHARD_NODES", limit)
+        got = SH.ensemble_shap(df, e, "id").groupBy("id").agg(F.sum("contribution").alias("s"), F.first("base_value").alias("b"), F.count("*").alias("n")).collect()
+        assert len(got) == 90 and all(r["n"] == 4 and abs(r["s"] + r["b"] - p[r["id"]]) < 1e-9 for r in got)
 
 
 def test_every_model_is_searched_and_the_forest_regressor_competes(spark, monkeypatch):
