@@ -371,6 +371,17 @@ def train_classifier(dataset: DataFrame, kind: str, params: dict | None = None,
     return fc, out.withColumns({k: F.lit(cvr[k]).cast("double") for k in cv.columns})
 
 
+def search_and_train(dataset: DataFrame, kind: str, space: dict[str, list], n_candidates: int, n_splits: int = 5) -> tuple[FittedClassifier, dict, DataFrame]:
+    """M10 -> M19: search on the train split, then the whole flow (folds, calibration, threshold, refit, validation) on the best parameters."""
+    from docket.operators.dataset import cohort
+
+    train = with_label(cohort(dataset, "is_delayed"), "is_delayed").where(F.col("split") == "train")
+    folded = M.time_folds(materialize(train.select("external_id", "created_at", "label", *C.ALL_FEATURES)), n_splits)
+    best, _ = search(folded, kind, space, n_candidates, n_splits)
+    fitted, metrics = train_classifier(dataset, kind, best, n_splits)
+    return fitted, best, metrics.withColumn("params", F.lit(str(best)))
+
+
 # --- regression ----------------------------------------------------------------------------
 @dataclasses.dataclass
 class FittedRegressor:

@@ -317,6 +317,12 @@ def boosting_search(spark, sf_dir):
     return _classifier_search(spark, sf_dir, "gbt")
 
 
+@register("boosting_selection")
+def boosting_selection(spark, sf_dir):
+    """The boosting search, its best parameters refitted, calibrated and validated."""
+    return ML.search_and_train(ML.materialize(_dataset(spark, sf_dir)), "gbt", C.SEARCH_SPACES["gbt"], CANDIDATES, SEARCH_FOLDS)[2]
+
+
 @register("enet_regressor_search")
 def enet_regressor_search(spark, sf_dir):
     """Five seeded draws from the elastic net's grid on log1p hours, scored by mean OOF MAE."""

@@ -77,3 +77,21 @@ def test_every_model_is_searched_and_the_forest_regressor_competes(spark, monkey
     monkeypatch.setattr(ML, "train_regressor", trained)
     assert Q.regression_training(spark, SF_SMALL).count() == 4
     assert ("rf", {**Q.FOREST, "max_features": 1.0}, 5, False) in fits
+
+
+def test_search_is_refitted_and_validated(spark, monkeypatch):
+    seen = {}
+
+    def searched(folded, kind, space, n, folds):
+        seen["search"] = (kind, space, n, folds, folded.filter("test_fold IS NOT NULL").count() > 0)
+        return {"max_iter": 3}, None
+
+    def trained(ds, kind, params, folds):
+        seen["train"] = (kind, params, folds)
+        return "fitted", spark.createDataFrame([("gbt", 0.5)], "model string, pr_auc double")
+
+    monkeypatch.setattr(ML, "search", searched)
+    monkeypatch.setattr(ML, "train_classifier", trained)
+    fitted, best, metrics = ML.search_and_train(Q._dataset(spark, SF_SMALL), "gbt", {"max_iter": [3]}, 1, 2)
+    assert (fitted, best, metrics.first()["params"]) == ("fitted", {"max_iter": 3}, "{'max_iter': 3}")
+    assert seen == {"search": ("gbt", {"max_iter": [3]}, 1, 2, True), "train": ("gbt", {"max_iter": 3}, 2)}
