@@ -6,7 +6,8 @@
 * Row numbers (S4): records are numbered by a prefix over the splits of their file (one row per split), so that the
   1-based data-row number is exact without a single-partition window.
 * Manifest (S3, S5): ``binaryFile`` gives path, size and bytes; the SHA-256
-  of the bytes is computed in the JVM; unsupported extensions are flagged.
+  of the bytes is computed in the JVM, that of a large file from a stream of chunks in its task (a row
+  cannot hold more than 2 GB); unsupported extensions are flagged.
 * XLSX (S2): one task per workbook (``mapInPandas`` over ``binaryFile``),
   parsed with the standard-library zip + XML modules, first sheet only.
 """
@@ -19,9 +20,11 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,18 +33,49 @@ from docket import config as C
 from docket.functions import exprs as X
 from docket.sources.csv_records import csv_records
 
-
 EMPTY_HASH = hashlib.sha256(b"").hexdigest()
+WHOLE_BYTES = 256 << 20  # larger files are never held as one value
+CHUNK_BYTES = 8 << 20
+
+
+def _open_stream(path: str):
+    """Input stream of a path as the binary reader names it."""
+    if re.match(r"^(file:)?/", path):
+        return pafs.LocalFileSystem().open_input_stream(_bare(path))
+    store, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_stream(name)
+
+
+def _streamed_hash(chunk_bytes: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hashes = []
+            for path, size in zip(frame["path"], frame["size"], strict=True):
+                digest, seen = hashlib.sha256(), 0
+                with _open_stream(path) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                        seen += len(chunk)
+                if seen != size:
+                    raise OSError(f"{path}: {seen} bytes read, {size} listed")
+                hashes.append(digest.hexdigest())
+            yield frame.assign(file_hash=hashes)
+
+    return run
 
 
-def file_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def file_manifest(spark: SparkSession, paths: str | Sequence[str], whole_bytes: int = WHOLE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """S3 + S5: path, name, extension, size, sha256, supported (0/1).
 
+    Files of more than ``whole_bytes`` are hashed ``chunk_bytes`` at a time, whatever their size; a file
+    that changes while it is read fails the job.
     The binary reader leaves out files without a byte; of a list of files they
     are added back, so that every file has its row.
     """
-    df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    df = df.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("file_hash"))
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    held = files.where(F.col("length") <= whole_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("file_hash"))
+    large = files.where(F.col("length") > whole_bytes).select("path", F.col("length").alias("size"))
+    df = held.unionByName(large.mapInPandas(_streamed_hash(chunk_bytes), "path string, size bigint, file_hash string"))
     if not isinstance(paths, str):
         listed = spark.createDataFrame([(str(p), _bare(str(p))) for p in paths], "given string, bare string")
         df = listed.join(df.withColumn("bare", _bare_col(F.col("path"))), "bare", "left").select(

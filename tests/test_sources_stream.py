@@ -64,6 +64,29 @@ def test_xlsx_reader(spark, tmp_path):
     assert SF.read_xlsx_deliveries(spark, q).first()["error"] == "BadZipFile"
 
 
+def test_manifest_hashes_large_files_in_chunks(spark, tmp_path):
+    import hashlib
+
+    want = {}
+    for name, size in (("a.csv", 10), ("b c%20.csv", 1_000), ("d.csv", 5_003), ("e.xlsx", 0)):
+        data = bytes(i * 7 % 251 for i in range(size))
+        (tmp_path / name).write_bytes(data)
+        want[name] = (size, hashlib.sha256(data).hexdigest())
+    paths = [str(tmp_path / n) for n in ("a.csv", "d.csv", "e.xlsx")]
+    whole = SF.file_manifest(spark, str(tmp_path))
+    small = SF.file_manifest(spark, str(tmp_path), whole_bytes=100, chunk_bytes=64)
+    rows = lambda df: {r["file_name"]: (r["size"], r["file_hash"]) for r in df.collect()}
+    assert rows(small) == rows(whole) == {n: v for n, v in want.items() if v[0]}
+    assert rows(SF.file_manifest(spark, paths, whole_bytes=100, chunk_bytes=64)) == {n: want[n] for n in ("a.csv", "d.csv", "e.xlsx")}
+    # a file above the bound is never read as one value
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        assert rows(SF.file_manifest(spark, str(tmp_path), whole_bytes=1_500, chunk_bytes=64)) == rows(whole.sparkSession.createDataFrame(
+            [(n, *v) for n, v in want.items() if v[0]], "file_name string, size long, file_hash string"))
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_manifest_hash_and_format_gate(spark, tmp_path):
     import hashlib
 
