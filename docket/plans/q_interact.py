@@ -69,7 +69,7 @@ def _prior(spark, sf_dir):
     snaps = _snapshots_fp(spark, sf_dir).select(F.col("process_id").alias("user_id"),
                                                 F.col("input_fingerprint").alias("_fp"))
     et = F.col("event_type")
-    return ev.join(snaps, "user_id", "left").select(
+    return ev.join(snaps.hint("merge"), "user_id", "left").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("snapshot_id"),
         F.when(et.isin("click", "view"), F.col("_fp")).otherwise(F.lit("stale")).alias("input_fingerprint"),
         F.when(et == "signup", 2).otherwise(1).alias("model_bundle_id"),
