@@ -128,6 +128,8 @@ FROM dsx WHERE schema_error = 0 AND {target} IS NOT NULL AND split IS NOT NULL""
 @register("dataset_fingerprint", S.with_ctes(_fingerprint_sql("is_delayed") + "\nUNION ALL" + _fingerprint_sql("total_duration_hours"), "dsx"))
 def dataset_fingerprint(spark, sf_dir):
     """A17 for both cohorts."""
-    ds = _dataset(spark, sf_dir)
+    from docket.operators.modeling import materialize
+
+    ds = materialize(_dataset(spark, sf_dir))  # both cohorts read it
     return D.dataset_fingerprint(ds, "is_delayed", C.TEST_CUTOFF).unionByName(
         D.dataset_fingerprint(ds, "total_duration_hours", C.TEST_CUTOFF))

@@ -219,7 +219,9 @@ def live_evaluation(spark, sf_dir):
     """E6 + J7: closed SLA cases scored against actual outcome; skipped / failures counted (Q19)."""
     from docket.operators import interact as I
 
-    return I.live_evaluation(_live(spark, sf_dir), C.DEFAULT_THRESHOLD)
+    from docket.operators.modeling import materialize
+
+    return I.live_evaluation(materialize(_live(spark, sf_dir)), C.DEFAULT_THRESHOLD)  # ranking and counts read it
 
 
 @register("evaluation_drift", S.with_ctes("", "pv", "sfx", "scored").rstrip() + "," + _LIVE_SRC + ", lv AS (SELECT * "
