@@ -155,3 +155,28 @@ def test_scoring_in_shards_and_spread(spark):
         assert all(abs(got[i]["p"] - each[:, i].mean()) < 1e-12 and abs(got[i]["sd"] - each[:, i].std(ddof=1)) < 1e-7 for i in range(120))
     odd = spark.createDataFrame([(1, "new level", None, None, 1e9), (2, None, "x", -5.0, float("nan"))], df.schema)
     assert all(0 <= r["p"] <= 1 for r in e.transform(odd, "p").collect()) and e.transform(df.limit(0), "p").count() == 0
+
+
+def test_stored_forest_scores_like_the_one_in_memory(spark, monkeypatch, tmp_path):
+    from docket.operators import shap as SH
+
+    layout, codes, _, y = data(6, 120)
+    text = lambda f, k: layout.levels[f][k]
+    rows = [(i, str(i), i, float(y[i]), text(0, c[0]), text(1, c[1]), *(None if k == len(cu) else cu[k] for k, cu in zip(c[2:], layout.cuts))) for i, c in enumerate(codes.tolist())]
+    df = spark.createDataFrame(rows, "id int, external_id string, row_index bigint, label double, c0 string, c1 string, n0 double, n1 double")
+    specs = [T.Spec(m, "rf", True, (("n_estimators", 25), ("min_samples_leaf", 4)), below) for m, below in enumerate((None, 90))]
+    held = T.fit_models(df, layout, specs)
+    monkeypatch.setattr(T, "grow_in_tasks", None)  # brings every tree to the driver
+    stored = T.fit_stored(df, layout, specs)
+    monkeypatch.setattr(T, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(T, "GROUP_ROWS", 60)
+    forest = stored[0]
+    forest.save_to(f"{tmp_path}/f")
+    for m, forest in enumerate((T.load_forest(spark, f"{tmp_path}/f"), stored[1])):
+        e = T.Ensemble.of(layout, held, m)
+        want = {r["id"]: r for r in e.transform(df, "p", "sd").collect()}
+        got = {r["id"]: r for r in forest.transform(df, "p", "sd").collect()}
+        assert len(got) == 120 and all(abs(got[i]["p"] - r["p"]) < 1e-12 and abs(got[i]["sd"] - r["sd"]) < 1e-7 and got[i]["c0"] == r["c0"] for i, r in want.items())
+        assert forest.transform(df.limit(0), "p").count() == 0
+        a, b = ({(r["id"], r["feature"]): r for r in SH.ensemble_shap(df, x, "id").collect()} for x in (e, forest))
+        assert a.keys() == b.keys() and all(abs(a[k]["contribution"] - b[k]["contribution"]) < 1e-10 and abs(a[k]["base_value"] - b[k]["base_value"]) < 1e-10 for k in a)
