@@ -139,6 +139,78 @@ def test_table_and_tasks_give_the_same_models(spark):
     assert nodes.filter("left_node >= 0").agg(F.min("cover")).first()[0] >= 2
 
 
+def test_boosters_over_a_large_table_replay_no_trees(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"k{i}", i, float(rng.integers(0, 2)), str(rng.choice(["a", "b", "c"])) if i % 9 else None, float(rng.integers(0, 40)) if i % 7 else None,
+             float(rng.integers(0, 400))) for i in range(500)]
+    df = spark.createDataFrame(rows, "external_id string, row_index bigint, label double, c string, n double, m double").repartition(3)
+    layout = T.fit_layout(df, ["c"], ["n", "m"])
+    specs = [T.Spec(0, "gbt", True, (("max_iter", 4), ("min_samples_leaf", 5), ("max_leaf_nodes", 6))), T.Spec(1, "gbt", False, (("max_iter", 3),), 150),
+             T.Spec(2, "gbt", True, (("max_iter", 3), ("max_leaf_nodes", None), ("max_depth", 3), ("l2_regularization", 1.0)), 200), T.Spec(3, "gbt", False, (("max_iter", 2),), 3)]
+    local, spread = T.fit_models(df, layout, specs), {}
+    passes, scores, one, other = [], [], T._pass, T._scored
+    monkeypatch.setattr(T, "_pass", lambda *a: (passes.append(len(a[3])), one(*a))[1])
+    monkeypatch.setattr(T, "_scored", lambda *a: (scores.append(len(a[5])), other(*a))[1])
+    for collected, every in ((T.COLLECTED, 20), (0, 3)):  # added up on the driver, and in a shuffle
+        monkeypatch.setattr(T, "COLLECTED", collected)
+        monkeypatch.setattr(T, "STATE_EVERY", every)
+        monkeypatch.setattr(T, "PACKED_ROWS", 30 * every)
+        spread = T.fit_models(df, layout, specs, local_bytes=0)
+        assert scores == [4, 4, 3, 1]  # the bases, then one tree of every booster that goes on
+        scores.clear()
+        for a, b in zip(local, spread, strict=True):
+            assert a.spec == b.spec and len(a.trees) == len(b.trees) and abs(a.base - b.base) < 1e-9
+            for (_, x), (_, y) in zip(a.trees, b.trees):
+                assert (x.feature == y.feature).all() and (x.bin == y.bin).all() and np.allclose(x.value, y.value, atol=1e-9) and (x.cover == y.cover).all()
+
+
+def test_no_histograms_at_the_depth_limit():
+    layout, codes, _, y = data(3)
+    rows = T._Rows(layout, T.Spec(0, "gbt", True), codes, y, np.arange(len(y)))
+    rows.begin(0.0)
+    rows.fill = np.zeros(4, np.int64)
+    model = T.grow(layout, T.Rules(max_depth=2, sign=-1.0), rows.fill)
+    ask, asked = next(model), []
+    with pytest.raises(StopIteration) as end:
+        while True:
+            asked.append(len(ask.nodes))
+            ask = model.send(rows.answer(0, ask))
+    assert asked == [1, 1] and (end.value.value.left < 0).sum() == 4 and end.value.value.cover[end.value.value.left < 0].sum() == len(y)
+
+
+@pytest.mark.parametrize("cells", [1, 60, 4096])
+def test_leaf_masks_find_the_leaf_that_the_splits_lead_to(monkeypatch, cells):
+    monkeypatch.setattr(T, "JOINT_CELLS", cells)
+    layout, codes, _, y = data(4, 3000)
+    for leaves in (1, 2, 31, 64, 65):
+        spec = T.Spec(0, "gbt", True, (("max_iter", 1), ("max_leaf_nodes", leaves), ("min_samples_leaf", 2)))
+        fitted = T.fit_rows(layout, spec, [0], codes, y, np.arange(len(y)))
+        tree = fitted.trees[0][1]
+        rows = T._Rows(layout, spec, codes, y, np.arange(len(y)), brief=True)
+        rows.fill, rows.masks = fitted.fill, T.leaf_masks(layout, tree, fitted.fill)
+        assert (rows.masks is None) == ((tree.left < 0).sum() > 64)
+        rows.node = np.zeros(len(y), np.int32)
+        rows._route(tree)
+        assert (rows.node == tree.leaves(T.with_fill(codes, layout, fitted.fill), layout)).all() and (tree.left < 0).sum() == leaves
+
+
+def test_histograms_by_combination_equal_those_by_feature(monkeypatch):
+    layout, codes, _, y = data(9, 3000)
+    rng = np.random.default_rng(1)
+    rows, w = np.flatnonzero(rng.random(3000) < 0.7), rng.random(3000)
+    index = rng.integers(0, 5, len(rows))
+    got = {}
+    for cells in (1, 40, 600):  # no groups, some, all in one
+        monkeypatch.setattr(T, "JOINT_CELLS", cells)
+        got[cells] = T.histogram(layout, codes, T.joint_codes(layout, codes), rows, index, 5, (w[rows], None))
+    assert sorted(f for g in T.joint_features(layout) for f in g) == list(range(4)) and np.allclose(got[1], got[40]) and np.allclose(got[1], got[600])
+    assert (got[1][..., 0] == got[1][..., 2]).all()
+    for f in range(4):
+        for b in range(layout.sizes[f]):
+            hit = codes[rows, f] == b
+            assert np.allclose(got[600][:, layout.offset[f] + b, 1], np.bincount(index[hit], weights=w[rows][hit], minlength=5))
+
+
 def test_scoring_in_shards_and_spread(spark):
     layout, codes, _, y = data(6, 120)
     fitted = T.fit_rows(layout, T.Spec(0, "rf", True, (("min_samples_leaf", 4),)), range(12), codes, y, np.arange(120))
