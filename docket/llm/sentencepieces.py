@@ -26,6 +26,8 @@ from docket.llm.common import id_and_text, slices, tidy
 
 THREADS = 2
 WORDS_KEPT = 500_000  # words a task remembers at once
+WORDS_AT_ONCE = 8_192  # words handed to the libraries together: their results are some hundred times as large as the ids
+DECODED_AT_ONCE = 64  # texts whose ids are lists at a time
 HIDDEN = "\U0010fffe"  # noncharacter: keeps control pieces from matching text
 
 
@@ -116,6 +118,10 @@ class Encoder:
         return sentencepiece.SentencePieceProcessor(model_proto=self.data)
 
     def learn(self, words: list[str], verify: bool):
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            self._learn(words[at:at + WORDS_AT_ONCE], verify)
+
+    def _learn(self, words: list[str], verify: bool):
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
@@ -229,11 +235,12 @@ def verify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for piece in slices(b):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 found, same = encoder.encode(texts, verify=True)
-                ids = [x.tolist() for x in found]
-                back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
+                back = []
+                for at in range(0, len(found), DECODED_AT_ONCE):
+                    back += encoder.tokenizer.decode_batch([x.tolist() for x in found[at:at + DECODED_AT_ONCE]], skip_special_tokens=False)
                 extra = [_id_column(found)] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                    [piece.column("doc_id"), pa.array([len(x) for x in found], pa.int64()),
                      pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]),
                      pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]),
                      pa.array([a == t for a, t in zip(back, texts, strict=True)]), pa.array(same), *extra],

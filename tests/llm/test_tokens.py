@@ -121,3 +121,29 @@ def test_unigram_parity():
         text = "".join(rng.choice("thean dingsro  é") for _ in range(rng.randrange(1, 60)))
         assert tok.encode(text, add_special_tokens=False).ids == library.encode(text)
         assert tok.decode(library.encode(text), skip_special_tokens=False) == library.decode(library.encode(text))
+
+
+def test_words_reach_the_libraries_in_bounded_batches(monkeypatch):
+    from docket.llm.queries import piece_model
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.sizes = inner, []
+
+        def __getattr__(self, name):
+            def call(rows, *a, **k):
+                self.sizes.append(len(rows))
+                return getattr(self.inner, name)(rows, *a, **k)
+
+            return call
+
+    texts = [" ".join(f"word{i * j} café{j}" for j in range(30)) for i in range(40)]
+    want, agrees = E.Encoder(piece_model()).encode(texts, verify=True)
+    monkeypatch.setattr(E, "WORDS_AT_ONCE", 50)
+    coder = E.Encoder(piece_model())
+    coder.tokenizer, coder.library = Spy(coder.tokenizer), Spy(coder.library)
+    got, same = coder.encode(texts, verify=True)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and (same == agrees).all() and same.all()
+    assert len(coder.index) > 400
+    for seen in (coder.tokenizer.sizes, coder.library.sizes):
+        assert max(seen) <= 50 and sum(seen) == len(coder.index)
