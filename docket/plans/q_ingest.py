@@ -10,6 +10,7 @@ from docket.operators import quality as Q
 from docket.plans import sql as S
 from docket.plans import views as V
 from docket.plans.registry import register
+from docket.session import stored
 
 MV = C.CANONICAL_MAPPING_VERSION
 
@@ -26,7 +27,7 @@ def _state1(spark, sf_dir):
     st = st.withColumn("e_mapping_version", F.when(F.col("external_id").cast("long") % 59 == 12, F.lit("0.9.0"))
                        .otherwise(F.col("e_mapping_version")))
     # the state after the first delivery is a stored table, not a recomputation
-    return r1, st.checkpoint(eager=True)
+    return r1, stored(st)
 
 
 def _runs(spark, sf_dir):

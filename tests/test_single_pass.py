@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from docket import config as C
 from docket.operators import dataset as D
 from docket.operators import interact as I
@@ -80,3 +82,26 @@ def test_score_is_computed_once(spark):
     assert _optimized(got).count("EXP(") <= 1
     rows = {r["id"]: r for r in got.collect()}
     assert rows[1]["risk_score"] == 32 and rows[1]["ok"] == 1 and rows[2]["delay_probability"] is None and rows[2]["ok"] == 0
+
+
+def test_texts_are_stripped_and_written_once(spark):
+    """A snapshot's two dates are stripped once each; a fingerprint is one JSON text; an import keeps no source texts."""
+    from pyspark.sql import functions as F
+
+    from docket.functions import exprs as X
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    snaps = spark.createDataFrame([("1", '{"created_at":" 2020-01-02T03:04:05Z ","deadline":null}')], "external_id string, input_json string")
+    parsed = D.parse_snapshot(snaps.repartition(1), ["created_at"])
+    assert plan(parsed).count("trim(") == 2
+    row = parsed.first()
+    assert str(row["snap_created"]) == "2020-01-02 03:04:05" and row["snap_deadline"] is None and row["schema_error"] is None
+    texts = spark.createDataFrame([("a", 'q"', "c")], "x string, y string, z string").repartition(1)
+    fp = texts.select(X.fingerprint({c: F.col(c) for c in "zyx"}).alias("fp"))
+    assert plan(fp).count("to_json") + plan(fp).count("StructsToJson") == 1
+    assert fp.first()["fp"] == hashlib.sha256(b'{"x":"a","y":"q\\"","z":"c"}').hexdigest()
+    rows = spark.createDataFrame([("7", "2020-01-02", "f", 1, i) for i in (1, 2, 3)], "case_enquiry_id string, open_dt string, _file string, _file_seq int, _row long")
+    catalog = spark.createDataFrame([], "column string, raw string, code string, version string")
+    decided = QI.I.run_import(rows, V.empty_state(spark), catalog)["decided"]
+    assert "open_dt" not in decided.columns
+    assert [r["decision"] for r in decided.orderBy("_row").collect()] == ["insert", "skip", "skip"]
