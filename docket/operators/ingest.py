@@ -160,13 +160,13 @@ def decide(valid: DataFrame, state: DataFrame, mapping_version: str = C.CANONICA
     j = valid.join(keys, "external_id")
     base = F.when(F.col("_exists") == 1, F.col("e_opening_fp")).otherwise(F.col("_first_fp"))
     j = stored(j.withColumn("_on_base", F.coalesce(F.col("opening_fp") == base, F.lit(False))).drop("e_opening_fp", "_first_fp"))
-    # only keys delivered more than once can have an earlier row in this batch: the others are not sorted
+    # only keys delivered more than once can have an earlier row in this batch: rows of the others are not sorted
     # and not joined again; when none repeats (the usual delivery) the lag is skipped entirely
-    repeats = F.col("_on_base") & (F.col("_n_rows") > 1)
     none = F.lit(None).cast("string").alias("_prev_in_batch")
     if keys.where(F.col("_n_rows") > 1).limit(1).count():
-        lagged = stored(index_lag(j.where(repeats), "external_id", ["_file_seq", "_row"], "row_fp", "_prev_in_batch"))
-        j = j.where(~repeats).select("*", none).unionByName(lagged)
+        at, more = ["external_id", "_file_seq", "_row"], F.col("_n_rows") > 1
+        lagged = index_lag(j.where(more & F.col("_on_base")).select(*at, "row_fp"), "external_id", at[1:], "row_fp", "_prev_in_batch").select(*at, "_prev_in_batch")
+        j = j.where(~more).select("*", none).unionByName(stored(j.where(more).join(lagged, at, "left")))
     else:
         j = j.select("*", none)
     prev = F.coalesce(F.col("_prev_in_batch"), F.col("e_row_fp"))
