@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 
+from pyspark.sql import functions as F
+
 from docket import config as C
 from docket.operators import dataset as D
 from docket.operators import interact as I
@@ -86,8 +89,6 @@ def test_score_is_computed_once(spark):
 
 def test_texts_are_stripped_and_written_once(spark):
     """A snapshot's two dates are stripped once each; a fingerprint is one JSON text; an import keeps no source texts."""
-    from pyspark.sql import functions as F
-
     from docket.functions import exprs as X
 
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
@@ -105,3 +106,17 @@ def test_texts_are_stripped_and_written_once(spark):
     decided = QI.I.run_import(rows, V.empty_state(spark), catalog)["decided"]
     assert "open_dt" not in decided.columns
     assert [r["decision"] for r in decided.orderBy("_row").collect()] == ["insert", "skip", "skip"]
+
+
+def test_all_columns_of_the_dataset_can_be_read(spark):
+    """Nested columns of a parsed snapshot were lost between generators when the categories and the schema error were read together."""
+    proc = spark.createDataFrame([(k, dt.datetime(2021, 3, 4), None, None) for k, _ in SNAPSHOTS],
+                                 "external_id string, created_at timestamp_ntz, deadline timestamp_ntz, completed_at timestamp_ntz").repartition(1)
+    snaps = _snapshots(spark).repartition(1)
+    rows = {r["external_id"]: r for r in D.build_dataset(snaps, proc).withColumn("schema_error", F.col("schema_error").isNotNull()).collect()}
+    assert [rows["1"][c] for c in C.CATEGORICAL_FEATURES] == list("abcde") and rows["1"]["open_hour"] == 5
+    assert [rows[k]["schema_error"] for k in "1234"] == [False, True, True, True] and rows["3"]["source"] is None
+    parsed = {r["external_id"]: r for r in D.snapshot_features(D.parse_snapshot(snaps)).collect()}
+    assert parsed["1"]["snap"]["reason"] == "c" and parsed["1"]["reason"] == "c" and parsed["4"]["snap"] is None
+    scored = {r["external_id"]: r for r in D.scoring_features(snaps).collect()}
+    assert scored["1"]["type"] == "d" and scored["3"]["feature_error"].startswith("created_at") and scored["4"]["source"] is None
