@@ -22,12 +22,13 @@ def live_cases(processes: DataFrame, features: DataFrame, scores: DataFrame) ->
     ``outcome`` = skipped (no opening snapshot) / failed (snapshot unusable,
     scoring would fail) / ok.  A case without a score keeps p NULL, which
     :func:`live_evaluation` counts as a failure.  ``y`` = completed after deadline.
+    All sides are as long as the case table, so none is broadcast, however well the stored table is compressed.
     """
     closed = processes.where(F.col("completed_at").isNotNull() & F.col("deadline").isNotNull()).select(
         "external_id", (F.col("completed_at") > F.col("deadline")).cast("int").alias("y"),
         F.year("completed_at").cast("string").alias("evaluated_at"))
     snap = features.select("external_id", F.lit(1).alias("_has"), F.col("feature_error").isNotNull().alias("_bad"))
-    j = closed.join(snap, "external_id", "left").join(scores, "external_id", "left")
+    j = closed.join(snap.hint("merge"), "external_id", "left").join(scores.hint("merge"), "external_id", "left")
     outcome = F.when(F.col("_has").isNull(), "skipped").when(F.col("_bad"), "failed").otherwise("ok")
     return j.withColumn("outcome", outcome).drop("_has", "_bad")
 

@@ -120,3 +120,14 @@ def test_all_columns_of_the_dataset_can_be_read(spark):
     assert parsed["1"]["snap"]["reason"] == "c" and parsed["1"]["reason"] == "c" and parsed["4"]["snap"] is None
     scored = {r["external_id"]: r for r in D.scoring_features(snaps).collect()}
     assert scored["1"]["type"] == "d" and scored["3"]["feature_error"].startswith("created_at") and scored["4"]["source"] is None
+
+
+def test_live_cases_do_not_broadcast_the_case_table(spark):
+    t = dt.datetime(2024, 1, 1)
+    procs = spark.createDataFrame([("1", t, t), ("2", t, t), ("3", t, t)], "external_id string, completed_at timestamp_ntz, deadline timestamp_ntz")
+    feats = spark.createDataFrame([("1", None), ("2", "bad")], "external_id string, feature_error string")
+    scores = spark.createDataFrame([("1", 0.9), ("1", 0.8)], "external_id string, p double")
+    live = I.live_cases(procs, feats, scores)
+    assert "BroadcastHashJoin" not in live._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["external_id"], r["outcome"], r["p"]) for r in live.collect()) == [("1", "ok", 0.8), ("1", "ok", 0.9), ("2", "failed", None), ("3", "skipped", None)]
+    assert "BroadcastHashJoin" not in V.scored_view(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
