@@ -163,3 +163,38 @@ def test_decisions_do_not_depend_on_partitioning(spark, tmp_path):
     a = I.run_import(df, empty_state(spark), catalog(spark))["rows"].select("_row", "decision")
     b = I.run_import(df.repartition(7), empty_state(spark), catalog(spark))["rows"].select("_row", "decision")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_import_keeps_only_the_tables_that_its_outputs_read(spark, tmp_path):
+    """Staged rows and key states go once the next table is written; fingerprints come back as they were."""
+    from docket.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark)
+    folders = lambda: {x for x in os.listdir(root.removeprefix("file://")) if x.startswith("stored-")}
+    closed = {**BASE, "closed_dt": "2024-01-18 09:00:00", "case_status": "Closed"}
+    p = write_csv(os.path.join(tmp_path, "a.csv"), [BASE, closed, {**BASE, "case_enquiry_id": "2"}, {**BASE, "case_enquiry_id": ""}])
+    before = folders()
+    res, _ = run(spark, [p])
+    assert {os.path.basename(t.scratch) for t in res["held"]} == folders() - before and len(res["held"]) == 3
+    assert sorted(r["decision"] for r in res["rows"].collect()) == ["REQUIRED_FIELD_MISSING", "insert", "insert", "update"]
+    for r in res["state"].collect():
+        assert len(r["e_opening_fp"]) == len(r["e_row_fp"]) == 64 and r["e_row_fp"] == r["e_row_fp"].lower()
+
+
+def test_fingerprints_of_any_text_are_packed_and_unpacked(spark):
+    from docket.functions import exprs as X
+
+    texts = ["0123456789abcdef" * 4, "0123456789ABCDEF" * 4, "", "x" * 32, "f" * 63, "f" * 64 + "\n", "\u00fc" * 20, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = df.select("i", X.pack_hex("t").alias("p")).select("i", F.length("p").alias("n"), X.unpack_hex("p").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == texts
+    assert [r["n"] == 32 for r in got[:-1]] == [True, *[False] * 6]
+
+
+def test_stored_fingerprints_that_are_no_digests_are_compared(spark):
+    rows = [("a", "o", "r", 1, 1), ("a", "o", "s", 1, 2), ("a", "o", "s", 1, 3), ("b", "x", "r", 1, 4), ("c", "o", "r", 1, 5)]
+    valid = spark.createDataFrame(rows, "external_id string, opening_fp string, row_fp string, _file_seq int, _row int")
+    state = spark.createDataFrame([("a", "o", "r", "1.0.0"), ("b", "o", "r", "1.0.0")], "external_id string, e_opening_fp string, e_row_fp string, e_mapping_version string")
+    got = {r["_row"]: r for r in I.decide(valid, state, "1.0.0").collect()}
+    assert [got[i]["decision"] for i in range(1, 6)] == ["skip", "update", "skip", "skip", "insert"]
+    assert got[2]["row_fp"] == "s" and got[5]["opening_fp"] == "o"
