@@ -164,6 +164,19 @@ def test_boosters_over_a_large_table_replay_no_trees(spark, monkeypatch):
                 assert (x.feature == y.feature).all() and (x.bin == y.bin).all() and np.allclose(x.value, y.value, atol=1e-9) and (x.cover == y.cover).all()
 
 
+def test_plans_over_a_large_table_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """The text of the plan of a round's rows doubled with every round and filled the driver."""
+    rng = np.random.default_rng(9)
+    rows = [(f"k{i}", i, float(rng.integers(0, 2)), str(rng.choice(["a", "b"])), float(rng.integers(0, 9))) for i in range(200)]
+    df = spark.createDataFrame(rows, "external_id string, row_index bigint, label double, c string, n double").repartition(2)
+    sizes, one = [], T._pass
+    monkeypatch.setattr(T, "_pass", lambda state, *a: (sizes.append(len(state._jdf.queryExecution().toString())), one(state, *a))[1])
+    layout, spec = T.fit_layout(df, ["c"], ["n"]), T.Spec(0, "gbt", True, (("max_iter", 8), ("max_leaf_nodes", 2)))
+    assert len(T.fit_models(df, layout, [spec], local_bytes=0)[0].trees) == 8
+    assert max(sizes) < 2 * min(sizes)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_no_histograms_at_the_depth_limit():
     layout, codes, _, y = data(3)
     rows = T._Rows(layout, T.Spec(0, "gbt", True), codes, y, np.arange(len(y)))
